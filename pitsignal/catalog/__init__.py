@@ -1,0 +1,6 @@
+"""Every registered query, by name."""
+
+from pitsignal.catalog import cleaning, explore, features, fuel, shaping  # noqa: F401
+from pitsignal.catalog.registry import QUERIES
+
+__all__ = ["QUERIES"]
