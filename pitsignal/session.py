@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -36,3 +36,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{checkpoint_root(spark).rstrip('/')}/pitsignal-{label}-{uuid.uuid4().hex}"
+
+
+def land(df: DataFrame, label: str) -> DataFrame:
+    """Write a table to the shared folder once and go on from there.
+
+    For results that are costly to make and read by several branches; a lost executor
+    then costs a reread, not a recomputation.
+    """
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
