@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitsignal.layouts import text_schema
-from pitsignal.sources.files import collect_paths, first_line, list_files, spread, union_all
+from pitsignal.sources.files import collect_paths, empty_table, first_line, list_files, spread, union_all
 
 # Separators in the order in which they are looked for.
 SEPARATORS = [";", "\t", ","]
@@ -100,7 +100,7 @@ def read_delimited(
     )
     if not found:
         extra = [T.StructField("source_file", T.StringType())] if with_path else []
-        return spark.createDataFrame([], T.StructType([*text_schema(list(columns)).fields, *extra]))
+        return empty_table(spark, T.StructType([*text_schema(list(columns)).fields, *extra]))
     if len(found) == 1:
         marked.unpersist()
         present = [p for p in patterns if not list_files(spark, p).isEmpty()]

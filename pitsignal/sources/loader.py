@@ -32,7 +32,7 @@ def combine(tables: Sequence[DataFrame], columns: Sequence[str], spark: SparkSes
     """All tables of one kind, by time with nulls last where there is a time."""
     out = files.union_all(tables)
     if out is None:
-        return spark.createDataFrame([], text_schema(list(columns)))
+        return files.empty_table(spark, text_schema(list(columns)))
     return out.orderBy(F.asc_nulls_last("TimeStamp")) if ordered and "TimeStamp" in columns else out
 
 
@@ -57,6 +57,8 @@ def load_kind(
         r["e"] for r in good.filter("length > 0").select(files.extension_of("path").alias("e"))
         .distinct().collect()
     }
+    if not present:
+        return files.empty_table(spark, text_schema(list(columns))), problems
     stem = pattern.removesuffix(".*")
     tables: list[DataFrame] = []
     text = [f"{stem}{e}" for e in (".csv", ".tsv") if e in present]
@@ -91,7 +93,7 @@ def load_datasets(
         datasets[kind], bad = load_kind(spark, pattern, columns, skip_header, drop_long_rows, ordered)
         problems.append(bad)
     unreadable = files.union_all(problems)
-    return Loaded(datasets, spark.createDataFrame([], UNREADABLE) if unreadable is None else unreadable)
+    return Loaded(datasets, files.empty_table(spark, UNREADABLE) if unreadable is None else unreadable)
 
 
 def load_training(

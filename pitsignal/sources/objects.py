@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pitsignal.sources.files import empty_table
+
 
 def read_objects(spark: SparkSession, pattern: str) -> DataFrame:
     """Top-level entries of one-object files: ``path, key, value``.
@@ -18,7 +20,7 @@ def read_objects(spark: SparkSession, pattern: str) -> DataFrame:
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        return spark.createDataFrame([], "path string, key string, value string")
+        return empty_table(spark, "path string, key string, value string")
     return whole.select(
         F.col("_metadata.file_path").alias("path"),
         F.explode(F.from_json("value", "map<string,string>")),
