@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.operators.keyed import GROUP_LIMIT, fits, join_keys
+from pitsignal.operators.keyed import GROUP_LIMIT, fits, spread_join
 from pitsignal.operators.quantiles import exact_quantiles, grouped_stats
 
 
@@ -140,14 +140,17 @@ def correlation_matrix(
 ) -> DataFrame:
     """Pearson correlation of every column pair over the rows that have both.
 
-    One aggregation: a pair and its mirror image share one statistic.
+    One aggregation: a pair and its mirror image share one statistic. A constant column
+    has no correlation.
     """
     used = [c for c in columns if c not in exclude]
     pairs = [(i, j) for i in range(len(used)) for j in range(i + 1)]
 
     def stat(i: int, j: int):
         a, b = F.col(used[i]).cast("double"), F.col(used[j]).cast("double")
-        return F.corr(a, b).alias(f"r_{i}_{j}")
+        both = a.isNotNull() & b.isNotNull()
+        spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+        return F.try_divide(F.covar_pop(a, b), spread).alias(f"r_{i}_{j}")
 
     one = df.agg(*[stat(i, j) for i, j in pairs])
     wanted = (
@@ -196,8 +199,6 @@ def box_stats(
         "__low": F.col("q1") - factor * (F.col("q3") - F.col("q1")),
         "__high": F.col("q3") + factor * (F.col("q3") - F.col("q1")),
     })
-    from pitsignal.operators.keyed import spread_join
-
     near = F.col("__v").between(F.col("__low"), F.col("__high"))
     marked = spread_join(freq, fences, keys, ["__v"])
     return marked.groupBy(*keys).agg(
@@ -211,12 +212,6 @@ def box_stats(
 
 def median_series(df: DataFrame, keys: Sequence[str], value: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Median of a column per group, such as per time and metric."""
-    return grouped_stats(df, list(keys), [], {"median": (value, 0.5)}, group_limit) if fits(
-        df, list(keys), group_limit
-    ) else exact_quantiles(df, list(keys), value, [0.5], group_limit=group_limit).select(
-        *keys, F.col("quantiles")[0].alias("median")
-    )
-
+    q = exact_quantiles(df, list(keys), value, [0.5], group_limit=group_limit)
+    return q.select(*keys, F.col("quantiles")[0].alias("median"))
 
-def attach_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return join_keys(df, totals, list(keys), "left")

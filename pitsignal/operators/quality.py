@@ -46,14 +46,16 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return copies.agg(
         F.coalesce(rows, F.lit(0)).alias("rows"),
         F.coalesce(extra, F.lit(0)).alias("duplicates"),
-        (extra * 100.0 / rows).alias("percent"),
+        F.try_divide(extra * F.lit(100.0), rows).alias("percent"),
     )
 
 
 def completeness(df: DataFrame, below: float | None = None) -> DataFrame:
     """Percent of non-null values per column, optionally only columns under a threshold."""
     share = {
-        c: F.round(F.count(F.when(not_missing(df, c), 1)) * 100.0 / F.count(F.lit(1)), 2)
+        c: F.round(F.try_divide(
+            F.count(F.when(not_missing(df, c), 1)) * F.lit(100.0), F.count(F.lit(1))
+        ), 2)
         for c in df.columns
     }
     one = df.agg(*[v.alias(k) for k, v in share.items()])
@@ -185,5 +187,5 @@ def valid_ratio(df: DataFrame, column: str) -> DataFrame:
     """Rows, rows with a value in ``column``, and their percentage."""
     valid, total = F.count(column), F.count(F.lit(1))
     return df.agg(
-        total.alias("rows"), valid.alias("valid"), (valid * 100.0 / total).alias("percent")
+        total.alias("rows"), valid.alias("valid"), F.try_divide(valid * F.lit(100.0), total).alias("percent")
     )

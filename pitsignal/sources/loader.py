@@ -48,7 +48,7 @@ def load_kind(
     listed = files.list_files(spark, pattern)
     good, bad = files.split_supported(listed)
     problems = bad.select("path", F.lit("unsupported extension").alias("reason")).unionByName(
-        good.filter("length = 0").select("path", F.lit("empty file").alias("reason"))
+        files.empty_files(spark, pattern).select("path", F.lit("empty file").alias("reason"))
     ).unionByName(
         good.filter(files.extension_of("path") == ".xls")
         .select("path", F.lit("legacy workbook").alias("reason"))

@@ -282,3 +282,21 @@ def test_index_semantics(spark):
 def test_allow_list(spark):
     assert shaping.number_range_allow_list([(7, 9), (8, 11)]) == ["007", "008", "009", "010", "011"]
     assert sorted(r[0] for r in shaping.allowed_numbers(spark, [(1, 3), (2, 4)]).collect()) == [1, 2, 3, 4]
+
+
+def test_nothing_divides_by_zero(spark):
+    flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0)], "a double, b double")
+    for df in (flat, flat.limit(0), flat.limit(1)):
+        assert {r["r"] for r in profile.correlation_matrix(df, ["a", "b"], triangle=True).collect()} == {None}
+        profile.ols_trend(df, "a", "b").collect()
+        profile.describe_numeric(df, ["a"]).collect()
+        profile.describe_temporal(df.withColumn("t", F.lit(None).cast("timestamp_ntz")), "t").collect()
+        quality.completeness(df).collect()
+        quality.valid_ratio(df, "a").collect()
+        profile.value_shares(df, "a").collect()
+        distribution.auto_histogram(df, "a").collect()
+        distribution.kernel_density(df, "a").collect()
+        profile.box_stats(df, ["a"], "b").collect()
+        activity.busiest_day(activity.month_axis(df.withColumn("d", F.lit(1)), "d")).collect()
+    stamps = flat.limit(0).withColumn("t", F.lit(None).cast("timestamp_ntz"))
+    assert features.optimal_frequency(stamps, "t").first()["step_seconds"] is None
