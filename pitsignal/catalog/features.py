@@ -73,7 +73,7 @@ def feature_odd_step(spark, sf_dir):
 def speed_bands(spark, sf_dir):
     buckets = f.bucket_features(telemetry(spark, sf_dir), TS, f.DAY_SECONDS)
     means = buckets.select("truck", "metric", "timestamp", "speed_mean")
-    return f.speed_bands(means)
+    return f.speed_bands(means.persist())
 
 
 @query("band_share", having("telemetry", b=_buckets_sql("day"), e=_EDGES_SQL,
@@ -83,7 +83,7 @@ def speed_bands(spark, sf_dir):
            FROM l WHERE speed_category IS NOT NULL GROUP BY speed_category""")
 def band_share(spark, sf_dir):
     buckets = f.bucket_features(telemetry(spark, sf_dir), TS, f.DAY_SECONDS)
-    return value_shares(f.speed_bands(buckets.select("speed_mean")), "speed_category")
+    return value_shares(f.speed_bands(buckets.select("speed_mean").persist()), "speed_category")
 
 
 @query("optimal_freq", having("telemetry",
@@ -148,12 +148,22 @@ def row_gaps(spark, sf_dir):
        + f"""SELECT event_id, {dec('''avg(value) OVER (PARTITION BY truck, metric ORDER BY created_at_local
            ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)''', 'value_rolling')} FROM telemetry""")
 def rolling_mean_chunked(spark, sf_dir):
-    """Trailing mean over raw rows, cut by day with the last rows of earlier days added."""
+    """Trailing mean over raw rows, cut by day; a day is given the last rows before it."""
     rows = telemetry(spark, sf_dir).select("event_id", "truck", "metric", TS, "value")
     out = sequence.trailing_mean(rows, ["truck", "metric"], TS, "value", "value_rolling", 5, "day")
     return out.select("event_id", "value_rolling")
 
 
+@query("rolling_mean", having("telemetry")
+       + f"""SELECT event_id, {dec('''avg(value) OVER (PARTITION BY truck, metric ORDER BY created_at_local
+           ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)''', 'value_rolling')} FROM telemetry""")
+def rolling_mean(spark, sf_dir):
+    """The same, cut only when a series is too big for one task."""
+    rows = telemetry(spark, sf_dir).select("event_id", "truck", "metric", TS, "value")
+    out = sequence.trailing_mean(rows, ["truck", "metric"], TS, "value", "value_rolling", 5, "auto")
+    return out.select("event_id", "value_rolling")
+
+
 @query("speed_flags", having("telemetry", g="SELECT avg(value) AS m, stddev_samp(value) AS sd FROM telemetry")
        + f"""SELECT event_id, {big('CASE WHEN value > m + 3 * sd OR value < m - 3 * sd THEN 1 ELSE 0 END', 'anomaly')}
            FROM telemetry CROSS JOIN g""")

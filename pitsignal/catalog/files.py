@@ -126,24 +126,21 @@ def scan_arrow(spark, sf_dir):
     return _shown(columnar.read_arrow(spark, f"{folder}/*.feather"))
 
 
+# Rows per sheet of the workbooks written here, well under the limit of the format.
+SHEET_ROWS = 100_000
+
+
 @query("scan_workbook", _SENSOR_SQL)
 def scan_workbook(spark, sf_dir):
-    """Positional workbook scan: one sheet per workbook, the first row skipped."""
+    """Positional workbook scan; the first row of each sheet is skipped."""
     base = scratch_dir(spark, "workbook")
+    event = F.col("RecordDuration").cast("bigint")
     rows = _sensor_text(spark, sf_dir).select(
-        F.lit("data").alias("sheet"), (F.col("RecordDuration").cast("int") + 2).alias("row"),
-        F.array(*SENSOR_COLUMNS).alias("values"), F.pmod(F.xxhash64("RecordDuration"), F.lit(8)).alias("book"),
-    )
-    head = F.array(*[F.lit(c) for c in SENSOR_COLUMNS])
-    heads = rows.select("book").distinct().select(
-        F.lit("data").alias("sheet"), F.lit(1).alias("row"), head.alias("values"), "book"
+        F.floor(event / SHEET_ROWS).cast("string").alias("sheet"),
+        (event % SHEET_ROWS + 2).cast("int").alias("row"), F.array(*SENSOR_COLUMNS).alias("values"),
     )
-    named = rows.unionByName(heads).withColumn("sheet", F.concat("sheet", F.col("book").cast("string")))
-    write_workbooks(named, f"{base}/val_data_sensor/raw", "T-210")
-    # A task may write several sheets into one workbook, so all sheets are read.
-    read = workbook.workbook_rows(spark, f"{base}/val_data_sensor/raw/*.xlsx")
-    body = read.filter(F.col("error").isNull() & (F.col("row") > 1))
-    return _shown(body.select(*[F.get("values", F.lit(i)).alias(c) for i, c in enumerate(SENSOR_COLUMNS)]))
+    _one_book_per_sheet(_with_head(rows, SENSOR_COLUMNS), f"{base}/val_data_sensor/raw", "T-210")
+    return _shown(loader.load_datasets(spark, base, "val_data", "T-210", ordered=False).datasets["sensor"])
 
 
 @query("fuel_dispatch_workbook", having("fuel_dispatch", r=_DISPATCH) + f"SELECT {_RESULT} FROM r")
@@ -151,25 +148,24 @@ def fuel_dispatch_workbook(spark, sf_dir):
     """Dispatch workbooks with a header row and a column that is not wanted."""
     folder = scratch_dir(spark, "dispatch")
     names = ["Turno", "Veh", "Descripcion", "fin_desp", "volumCorregido"]
-    text = fuel_dispatch(spark, sf_dir, as_text=True).select(
-        F.lit("A").alias("Turno"), *[F.col(c).cast("string").alias(c) for c in names[1:]]
-    ).withColumn("__n", F.monotonically_increasing_id())
-    books = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parted = text.withColumn("__book", F.pmod(F.xxhash64("__n"), F.lit(books)))
-    rows = parted.select(
-        F.col("__book").cast("string").alias("sheet"), (F.col("__n") % 1_000_000_000 + 2).cast("int").alias("row"),
-        F.array(*names).alias("values"),
+    text = fuel_dispatch(spark, sf_dir, as_text=True, keys=["o_orderkey"]).withColumn("Turno", F.lit("A"))
+    rows = text.select(
+        F.floor(F.col("o_orderkey") / SHEET_ROWS).cast("string").alias("sheet"),
+        (F.col("o_orderkey") % SHEET_ROWS + 2).cast("int").alias("row"),
+        F.array(*[F.col(c).cast("string") for c in names]).alias("values"),
     )
-    head = rows.select("sheet").distinct().select(
-        "sheet", F.lit(1).alias("row"), F.array(*[F.lit(c) for c in names]).alias("values")
-    )
-    # One workbook per sheet, because only first sheets are read.
-    for_book = rows.unionByName(head)
-    _one_book_per_sheet(for_book, folder, "despacho")
+    _one_book_per_sheet(_with_head(rows, names), folder, "despacho")
     raw, _ = workbook.read_named(spark, names[1:], f"{folder}/despacho*.xlsx")
     return fuel.dispatch_readings(raw.withColumn("volumCorregido", to_number("volumCorregido")))
 
 
+def _with_head(rows, names):
+    head = F.array(*[F.lit(c) for c in names])
+    return rows.unionByName(rows.select("sheet").distinct().select(
+        "sheet", F.lit(1).alias("row"), head.alias("values")
+    ))
+
+
 def _one_book_per_sheet(rows, folder: str, stem: str) -> None:
     import pandas as pd
 
@@ -196,22 +192,23 @@ _SHEET_DISPATCH = """SELECT CAST(o_orderdate AS DATE) AS d, '00:00:00' AS TimeSt
 
 @query("equipment_sheets", f"WITH r AS ({_SHEET_DISPATCH}) SELECT {_RESULT} FROM r")
 def equipment_sheets(spark, sf_dir):
-    """A sheet per order date: banner, code header, then code, reception and fuel."""
+    """Sheets by order date: banner, code header, then code, reception and fuel."""
     folder = scratch_dir(spark, "sheets")
+    block = F.floor(F.col("o_orderkey") / SHEET_ROWS).cast("string")
     orders = table(spark, sf_dir, "orders").select(
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("sheet"), "o_orderkey",
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), "o_orderkey",
+        F.concat(F.date_format("o_orderdate", "yyyy-MM-dd "), block).alias("sheet"),
         F.array(
             F.lit(None), (F.lit(200) + F.col("o_custkey") % 50).cast("string"), F.lit("r"),
             F.round("o_totalprice").cast("bigint").cast("string"),
         ).alias("values"),
     )
-    # Positions are numbered inside a date, as one sheet cannot hold more than a date.
     body = fuel.number_in_order(orders, ["sheet"], ["o_orderkey"], "n").select(
         "sheet", (F.col("n") + 2).alias("row"), "values"
     )
-    tops = orders.select("sheet").distinct()
+    tops = orders.select("sheet", "date").distinct()
     banner = tops.select("sheet", F.lit(1).alias("row"), F.array(
-        F.concat(F.lit("Equipo CAEX "), F.date_format(F.to_date("sheet"), "d/M/yyyy"))
+        F.concat(F.lit("Equipo CAEX "), F.date_format(F.to_date("date"), "d/M/yyyy"))
     ).alias("values"))
     header = tops.select("sheet", F.lit(2).alias("row"), F.array(
         F.lit("N"), F.lit("CODIGO EQ."), F.lit("RECEPCION"), F.lit("LITROS")
@@ -221,37 +218,56 @@ def equipment_sheets(spark, sf_dir):
     return fuel.sheet_readings(rows.filter(F.col("error").isNull())).select(*fuel.RESULT)
 
 
-@query("workbook_restructure", """SELECT CAST(l_suppkey AS VARCHAR) AS sheet, round(l_quantity, 6) + 0.0 AS first,
-       round(l_discount, 6) + 0.0 AS second FROM lineitem""")
+@query("workbook_grid", """SELECT (s_suppkey // 100000) AS sheet, 2 + s_suppkey % 100000 AS row,
+       CAST(c AS BIGINT) AS col, CASE c WHEN 1 THEN s_name ELSE CAST(s_nationkey AS VARCHAR) END AS value
+       FROM supplier CROSS JOIN (VALUES (1), (3)) v(c)""")
+def workbook_grid(spark, sf_dir):
+    """Every non-empty cell of all sheets; the second column is empty."""
+    folder = scratch_dir(spark, "grid")
+    rows = table(spark, sf_dir, "supplier").select(
+        F.floor(F.col("s_suppkey") / SHEET_ROWS).cast("string").alias("sheet"),
+        (F.col("s_suppkey") % SHEET_ROWS + 2).cast("int").alias("row"),
+        F.array("s_name", F.lit(None), F.col("s_nationkey").cast("string")).alias("values"),
+    )
+    write_workbooks(rows, folder, "grid")
+    cells = workbook.workbook_cells(workbook.workbook_rows(spark, f"{folder}/grid*.xlsx"))
+    return cells.select(F.col("sheet").cast("bigint").alias("sheet"), "row", "col", "value")
+
+
+@query("workbook_restructure", """SELECT l_suppkey || '-' || (l_orderkey // 100000) AS sheet,
+       round(l_quantity, 6) + 0.0 AS first, round(l_discount, 6) + 0.0 AS second FROM lineitem""")
 def workbook_restructure(spark, sf_dir):
-    """A sheet per supplier, five columns: two are dropped, the last has no partner."""
+    """Sheets by supplier, five columns: two are dropped, the last has no partner."""
     folder = scratch_dir(spark, "restructure")
+    block = F.floor(F.col("l_orderkey") / SHEET_ROWS).cast("string")
     lines = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("sheet"), "l_orderkey", "l_linenumber", "l_partkey",
+        F.concat_ws("-", F.col("l_suppkey").cast("string"), block).alias("sheet"),
+        "l_orderkey", "l_linenumber", "l_partkey",
         F.array(*[F.col(c).cast("string") for c in (
             "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_partkey")]).alias("values"),
     )
     rows = fuel.number_in_order(lines, ["sheet"], ["l_orderkey", "l_linenumber", "l_partkey"], "row")
     write_workbooks(rows, folder, "EQUIPO")
-    rows = land(workbook.workbook_rows(spark, f"{folder}/EQUIPO*.xlsx"), "book-rows")
-    cells = workbook.workbook_cells(rows)
+    read = land(workbook.workbook_rows(spark, f"{folder}/EQUIPO*.xlsx"), "book-rows")
     target = f"{folder}-restructured"
-    sinks.write_restructured(fuel.restructure(cells), folder, target)
+    sinks.write_restructured(fuel.restructure(read.filter(F.col("error").isNull())), folder, target)
     stacked = columnar.read_parquet(spark, target)
     return stacked.select("sheet", to_number("first").alias("first"), to_number("second").alias("second"))
 
 
-@query("json_merge", """SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, event_type) AS value
+@query("json_merge", """SELECT CAST(user_id AS VARCHAR) AS key, max(event_type) AS value
        FROM events GROUP BY user_id""")
 def json_merge(spark, sf_dir):
-    """An object file per event type; for each user the last file wins."""
+    """Object files by event type and block of users; for each user the last file wins."""
     base = scratch_dir(spark, "json")
-    users = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("u")).distinct()
-    objects = users.groupBy("event_type").agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("u", "event_type")))).alias("line")
+    users = table(spark, sf_dir, "events").select("event_type", "user_id").distinct()
+    block = F.floor(F.col("user_id") / 1000).cast("string")
+    entry = F.struct(F.col("user_id").cast("string").alias("u"), "event_type")
+    objects = users.groupBy("event_type", block.alias("block")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("line")
     )
     write_lines(objects.select(
-        F.concat(F.lit("T-"), F.col("event_type")).alias("stem"), F.lit("json").alias("extension"),
+        F.concat_ws("-", F.lit("T"), "event_type", "block").alias("stem"), F.lit("json").alias("extension"),
         F.lit("").alias("header"), "line",
     ), f"{base}/val_data_sensor/raw")
     return loader.load_objects(spark, base, "val_data", "*", ["sensor"])["sensor"]

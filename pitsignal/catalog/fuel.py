@@ -77,29 +77,18 @@ def drop_third_cols(spark, sf_dir):
     return grid(spark, sf_dir).select(*_KEYS, *every_third_dropped(_COLUMNS))
 
 
-def _cells(spark, sf_dir):
-    """The grid as sheet cells: one sheet per order, rows by line."""
+@query("cell_restructure", """SELECT CAST(l_orderkey AS VARCHAR) AS sheet, CAST(0 AS BIGINT) AS pair,
+       CAST(l_linenumber AS BIGINT) AS row, round(l_quantity, 6) + 0.0 AS first, round(l_discount, 6) + 0.0 AS second
+       FROM lineitem""")
+def cell_restructure(spark, sf_dir):
+    """A sheet per order. Columns 2 and 5 of five are dropped; of three left the last has no partner."""
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_suppkey"]
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber").agg(
-        *[F.max(c).cast("double").alias(c) for c in names]
-    )
-    entries = [
-        F.struct(F.lit(i + 1).alias("col"), F.col(c).cast("string").alias("value"))
-        for i, c in enumerate(names)
-    ]
-    return rows.select(
-        F.lit("lines").alias("file"), F.col("l_orderkey").cast("string").alias("sheet"),
-        F.col("l_linenumber").alias("row"), F.inline(F.array(*entries)),
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.lit("lines").alias("file"), F.col("l_orderkey").alias("sheet_no"),
+        F.col("l_orderkey").cast("string").alias("sheet"), F.col("l_linenumber").alias("row"),
+        F.array(*[F.col(c).cast("string") for c in names]).alias("values"),
     )
-
-
-@query("cell_restructure", """WITH r AS (SELECT l_orderkey, l_linenumber, max(l_quantity) AS a, max(l_discount) AS c,
-       max(l_tax) AS d FROM lineitem GROUP BY l_orderkey, l_linenumber)
-       SELECT CAST(l_orderkey AS VARCHAR) AS sheet, CAST(0 AS BIGINT) AS pair, CAST(l_linenumber AS BIGINT) AS row,
-       round(a, 6) + 0.0 AS first, round(c, 6) + 0.0 AS second FROM r""")
-def cell_restructure(spark, sf_dir):
-    """Columns 2 and 5 of five are dropped; of the three left the last has no partner."""
-    out = fuel.restructure(_cells(spark, sf_dir)).drop("file")
+    out = fuel.restructure(rows).drop("file", "sheet_no")
     return out.withColumns({c: to_number(c) for c in ("first", "second")})
 
 

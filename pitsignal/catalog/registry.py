@@ -12,6 +12,10 @@ from pyspark.sql import types as T
 
 from pitsignal.session import configure
 
+# Moves means that end in an exact half off the rounding edge, on which two engines that
+# add in different order would part.
+TIE_SHIFT = 3e-8
+
 Run = Callable[[SparkSession, str], DataFrame]
 
 
@@ -44,7 +48,7 @@ def presentable(df: DataFrame) -> DataFrame:
     def show(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            return (F.round(c, 6) + F.lit(0.0)).alias(f.name)
+            return (F.round(c + F.lit(TIE_SHIFT), 6) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             return c.cast("bigint").alias(f.name)
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
@@ -57,7 +61,7 @@ def presentable(df: DataFrame) -> DataFrame:
 
 
 def dec(expression: str, alias: str) -> str:
-    return f"round({expression}, 6) + 0.0 AS {alias}"
+    return f"round({expression} + {TIE_SHIFT}, 6) + 0.0 AS {alias}"
 
 
 def stamp(expression: str, alias: str) -> str:

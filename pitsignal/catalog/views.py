@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,11 +79,13 @@ def time_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fuel_dispatch(spark: SparkSession, sf_dir: str, as_text: bool = False) -> DataFrame:
+def fuel_dispatch(
+    spark: SparkSession, sf_dir: str, as_text: bool = False, keys: Sequence[str] = ()
+) -> DataFrame:
     model = F.col("o_orderkey") % 3
     finished = F.col("o_orderdate").cast("timestamp_ntz")
     return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("CAM-"), (F.lit(200) + F.col("o_custkey") % 50).cast("string")).alias("Veh"),
+        *keys, F.concat(F.lit("CAM-"), (F.lit(200) + F.col("o_custkey") % 50).cast("string")).alias("Veh"),
         F.when(model == 0, " cat - 789c ").when(model == 1, "CAT - 793D").otherwise("other")
         .alias("Descripcion"),
         (F.date_format(finished, "d/M/yyyy H:m:s") if as_text else finished).alias("fin_desp"),

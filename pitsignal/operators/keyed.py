@@ -21,8 +21,15 @@ def largest_group(df: DataFrame, keys: list) -> int:
     return top.first()[0] or 0
 
 
-def fits(df: DataFrame, keys: list, limit: int = GROUP_LIMIT) -> bool:
-    """Whether every group is small enough for one task. Tries the cheap total first."""
+def fits(
+    df: DataFrame, keys: list, limit: int = GROUP_LIMIT, rows_at_most: int | None = None
+) -> bool:
+    """Whether every group is small enough for one task.
+
+    A bound known from the table's source saves the check; else the total is tried first.
+    """
+    if rows_at_most is not None and rows_at_most <= limit:
+        return True
     return row_total(df) <= limit or (bool(keys) and largest_group(df, keys) <= limit)
 
 

@@ -12,13 +12,16 @@ from pitsignal.operators.quantiles import exact_quantiles, grouped_stats
 
 
 def describe_numeric(
-    df: DataFrame, columns: Sequence[str], group_limit: int = GROUP_LIMIT
+    df: DataFrame,
+    columns: Sequence[str],
+    group_limit: int = GROUP_LIMIT,
+    rows_at_most: int | None = None,
 ) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max, one row per column.
 
     All columns share one aggregation while the table fits a task's quantile buffer.
     """
-    if fits(df, [], group_limit):
+    if fits(df, [], group_limit, rows_at_most):
         aggs = []
         for c in columns:
             aggs += _moments(c, c)

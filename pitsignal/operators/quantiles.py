@@ -96,10 +96,12 @@ def exact_quantiles(
     probs: list[float],
     weight: str | None = None,
     group_limit: int = GROUP_LIMIT,
+    rows_at_most: int | None = None,
 ) -> DataFrame:
     """One row per key with ``quantiles``, an array in the order of ``probs``.
 
     With ``weight`` each row stands for that many equal values. Nulls are left out.
+    ``rows_at_most`` is a row count the caller knows not to be exceeded.
     """
     n = F.col(weight) if weight else F.lit(1)
     rows = df.filter(F.col(value).isNotNull()).select(
@@ -110,7 +112,7 @@ def exact_quantiles(
         q = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs]), F.col("__n"))
         return part.groupBy(*keys).agg(q.alias("quantiles"))
 
-    if fits(rows, keys, group_limit):
+    if fits(df.select(*keys), keys, group_limit, rows_at_most):
         return built_in(rows)
     if not keys:
         return _narrowed_quantiles(rows, keys, probs, weight is not None)

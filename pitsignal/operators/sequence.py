@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsignal.functions.times import seconds_between
-from pitsignal.operators.keyed import GROUP_LIMIT, join_keys, largest_group, row_total
+from pitsignal.operators.keyed import GROUP_LIMIT, fits, join_keys, largest_group, row_total
 
 Chunker = Callable[[Column], Column]
 
@@ -27,19 +27,25 @@ def by_range(width: int) -> Chunker:
     return lambda order: F.floor(order / F.lit(width)).cast("bigint")
 
 
+UNITS = ("day", "hour", "minute", "second")
+
+
+def fitting_units(df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT) -> list[str]:
+    """Units from the day down to the coarsest one whose chunks hold at most ``limit`` rows."""
+    for depth in range(1, len(UNITS)):
+        chunk = [*[F.col(k) for k in keys], F.date_trunc(UNITS[depth - 1], F.col(ts))]
+        if largest_group(df, chunk) <= limit:
+            return list(UNITS[:depth])
+    return list(UNITS)
+
+
 def time_chunks(
-    df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT
+    df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT, rows_at_most: int | None = None
 ) -> list[Chunker]:
-    """Coarsest units, finest first, whose chunks hold at most ``limit`` rows each."""
-    units = ["day", "hour", "minute", "second"]
-    depth = 1
-    if row_total(df) > limit:
-        while depth < len(units):
-            chunk = [*[F.col(k) for k in keys], F.date_trunc(units[depth - 1], F.col(ts))]
-            if largest_group(df, chunk) <= limit:
-                break
-            depth += 1
-    return [by_unit(u) for u in reversed(units[:depth])]
+    """Chunks for stitching, finest first. Small tables are cut by day without looking."""
+    rows = row_total(df) if rows_at_most is None else rows_at_most
+    units = UNITS[:1] if rows <= limit else fitting_units(df, keys, ts, limit)
+    return [by_unit(u) for u in reversed(units)]
 
 
 def stitched_lag(
@@ -79,15 +85,20 @@ def distinct_times(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     )
 
 
-def timed_gaps(times: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
+def timed_gaps(
+    times: DataFrame, keys: list[str], limit: int = GROUP_LIMIT, rows_at_most: int | None = None
+) -> DataFrame:
     """``distinct_times`` with ``gap``, the seconds since the time before it."""
-    linked = stitched_lag(times, keys, "time", "time", time_chunks(times, keys, "time", limit))
+    chunks = time_chunks(times, keys, "time", limit, rows_at_most)
+    linked = stitched_lag(times, keys, "time", "time", chunks)
     return linked.withColumn("gap", seconds_between("time", "previous")).drop("previous")
 
 
-def gap_counts(times: DataFrame, keys: list[str], limit: int = GROUP_LIMIT) -> DataFrame:
+def gap_counts(
+    times: DataFrame, keys: list[str], limit: int = GROUP_LIMIT, rows_at_most: int | None = None
+) -> DataFrame:
     """How often each gap in seconds occurs per key; repeated times are gaps of zero."""
-    gaps = timed_gaps(times, keys, limit)
+    gaps = timed_gaps(times, keys, limit, rows_at_most)
     entries = F.array(
         F.struct(F.col("gap").alias("gap"), F.lit(1).cast("bigint").alias("n")),
         F.struct(F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("n")),
@@ -128,8 +139,11 @@ def trailing_mean(
     """Mean of the current and up to ``rows - 1`` earlier rows, at least one row.
 
     With ``unit`` (``day``, ``month``, ...) the rows of a key are cut into chunks and
-    each chunk is given the last rows of the chunks before it.
+    each chunk is given the last rows of the chunks before it; ``auto`` cuts only when
+    some key is too big for one task, and then as finely as its busiest time needs.
     """
+    if unit == "auto":
+        unit = None if fits(df, keys) else fitting_units(df, keys, ts)[-1]
     frame = (-(rows - 1), 0)
     if unit is None:
         w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(*frame)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,24 +12,13 @@ from pitsignal.functions.times import parse_fixed, to_site_time
 from pitsignal.layouts import SITE_ZONE
 from pitsignal.operators.activity import daily_density
 from pitsignal.operators.filters import require_columns, split_valid
-from pitsignal.operators.keyed import GROUP_LIMIT, join_keys
+from pitsignal.operators.keyed import GROUP_LIMIT, join_keys, row_total
 from pitsignal.operators.profile import describe_numeric, value_counts
 from pitsignal.operators.quality import valid_ratio
 from pitsignal.operators.quantiles import exact_quantiles
 from pitsignal.operators.sequence import distinct_times, gap_counts
 
 
-@dataclass(frozen=True)
-class TemporalReport:
-    clean: DataFrame
-    quarantine: DataFrame
-    quarantine_counts: DataFrame
-    ratio: DataFrame
-    metric_stats: DataFrame
-    density: DataFrame
-    density_stats: DataFrame
-
-
 def parse_times(raw: DataFrame, ts: str = "created_at_local", zone: str = SITE_ZONE) -> DataFrame:
     """Text times to UTC plus the local clock; times that do not parse are null."""
     parsed = parse_fixed(ts) if dict(raw.dtypes)[ts] == "string" else F.col(ts)
@@ -37,15 +26,21 @@ def parse_times(raw: DataFrame, ts: str = "created_at_local", zone: str = SITE_Z
 
 
 def metric_gaps(
-    df: DataFrame, ts: str, keys: Sequence[str] = ("metric",), limit: int = GROUP_LIMIT
+    df: DataFrame,
+    ts: str,
+    keys: Sequence[str] = ("metric",),
+    limit: int = GROUP_LIMIT,
+    rows_at_most: int | None = None,
 ) -> DataFrame:
     """First and last time, rows, and median gap in seconds per metric; 0 for one row."""
     keys = list(keys)
+    bound = row_total(df) if rows_at_most is None else rows_at_most
     times = distinct_times(df, keys, ts)
     spans = times.groupBy(*keys).agg(
         F.min("time").alias("first"), F.max("time").alias("last"), F.sum("n").alias("n")
     )
-    medians = exact_quantiles(gap_counts(times, keys, limit), keys, "gap", [0.5], "n", limit).select(
+    gaps = gap_counts(times, keys, limit, bound)
+    medians = exact_quantiles(gaps, keys, "gap", [0.5], "n", limit, bound).select(
         *keys, F.col("quantiles")[0].alias("__gap")
     )
     return join_keys(spans, medians, keys, "left").withColumn(
@@ -53,23 +48,46 @@ def metric_gaps(
     ).drop("__gap")
 
 
+class TemporalReport:
+    """Telemetry split by valid time, and descriptions of the valid part.
+
+    Each part is made when it is asked for. Density is counted per local date.
+    """
+
+    def __init__(self, raw: DataFrame, metrics: Sequence[str], ts: str, zone: str) -> None:
+        self._raw, self._metrics, self._ts = raw, list(metrics), ts
+        self._parsed = parse_times(raw, ts, zone)
+        self.clean, bad = split_valid(self._parsed, ts)
+        self.quarantine = bad.drop("local_time")
+
+    @cached_property
+    def rows_at_most(self) -> int:
+        """Rows of the raw table, which a scan knows without reading columns."""
+        return row_total(self._raw)
+
+    @cached_property
+    def quarantine_counts(self) -> DataFrame:
+        return value_counts(self.quarantine, "metric")
+
+    @cached_property
+    def ratio(self) -> DataFrame:
+        return valid_ratio(self._parsed, self._ts)
+
+    @cached_property
+    def metric_stats(self) -> DataFrame:
+        return metric_gaps(self.clean, self._ts, rows_at_most=self.rows_at_most)
+
+    @cached_property
+    def density(self) -> DataFrame:
+        return daily_density(self.clean, "local_time", "metric", self._metrics)
+
+    @cached_property
+    def density_stats(self) -> DataFrame:
+        return describe_numeric(self.density, self._metrics, rows_at_most=self.rows_at_most)
+
+
 def clean_temporal(
     raw: DataFrame, metrics: Sequence[str], ts: str = "created_at_local", zone: str = SITE_ZONE
 ) -> TemporalReport:
-    """Split by valid time and describe the valid part.
-
-    Density is counted per local date.
-    """
     require_columns(raw, [ts, "metric", "value"], KeyError)
-    parsed = parse_times(raw, ts, zone)
-    clean, bad = split_valid(parsed, ts)
-    density = daily_density(clean, "local_time", "metric", metrics)
-    return TemporalReport(
-        clean=clean,
-        quarantine=bad.drop("local_time"),
-        quarantine_counts=value_counts(bad, "metric"),
-        ratio=valid_ratio(parsed, ts),
-        metric_stats=metric_gaps(clean, ts),
-        density=density,
-        density_stats=describe_numeric(density, list(metrics)),
-    )
+    return TemporalReport(raw, metrics, ts, zone)

@@ -186,16 +186,16 @@ def test_sheet_without_usable_head(spark, table):
     assert fuel.sheet_readings(sheet(spark, table)).count() == 0
 
 
-def test_restructure_cells(spark):
-    cells = [("f", 0, "s", 1, c, f"r1c{c}") for c in range(1, 8)] + [("f", 0, "s", 2, 1, "r2c1"), ("f", 0, "s", 2, 5, "gone")]
-    df = spark.createDataFrame(cells, "file string, sheet_no int, sheet string, row int, col int, value string")
+def test_restructure(spark):
+    df = sheet(spark, [[f"r1c{c}" for c in range(1, 8)], ["r2c1", "", "", "", "gone"], [], ["", "gone"]])
     dropped = fuel.drop_third_columns(df)
-    assert sorted((r["row"], r["col"], r["value"]) for r in dropped.collect()) == [
-        (1, 1, "r1c1"), (1, 2, "r1c3"), (1, 3, "r1c4"), (1, 4, "r1c6"), (1, 5, "r1c7"), (2, 1, "r2c1")]
-    got = sorted((r["pair"], r["row"], r["first"], r["second"]) for r in fuel.stack_cell_pairs(dropped).collect())
+    assert [r["values"] for r in dropped.orderBy("row").collect()] == [
+        ["r1c1", "r1c3", "r1c4", "r1c6", "r1c7"], ["r2c1", None, None], [], [None]]
+    got = sorted((r["pair"], r["row"], r["first"], r["second"]) for r in fuel.stack_value_pairs(dropped).collect())
     assert got == [(0, 1, "r1c1", "r1c3"), (0, 2, "r2c1", None), (1, 1, "r1c4", "r1c6")]
-    wide_rows = fuel.cells_to_rows(dropped, 5).orderBy("row").collect()
-    assert (wide_rows[0]["c5"], wide_rows[1]["c1"]) == ("r1c7", "r2c1")
+    # The pair exists for a short row when another row of the sheet reaches its second column.
+    short = fuel.stack_value_pairs(sheet(spark, [["a", "b", "c"], ["a", "b", "c", "d"]]))
+    assert short.filter("pair = 1").count() == 2
 
 
 def test_overlay(spark, sensor):
