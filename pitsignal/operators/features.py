@@ -58,10 +58,10 @@ def bucket_features(
     origin = None
     if DAY_SECONDS % step_seconds:
         origin = df.agg(F.date_trunc("day", F.min(ts)).cast("timestamp_ntz")).scalar()
-    rows = df.select(
+    rows = df.filter(F.col(ts).isNotNull()).select(
         *SERIES, bucket_start(ts, step_seconds, origin).alias("timestamp"),
         "value", "speed", "fleet", F.col(ts).alias("__at"),
-    ).filter(F.col("timestamp").isNotNull())
+    )
     return grouped_stats(
         rows, [*SERIES, "timestamp"],
         [

@@ -42,13 +42,19 @@ def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 
 def spread_join(
-    rows: DataFrame, per_key: DataFrame, keys: list[str], spread_on: list[str], salts: int = 64
+    rows: DataFrame,
+    per_key: DataFrame,
+    keys: list[str],
+    spread_on: list[str],
+    how: str = "inner",
+    salts: int = 16,
 ) -> DataFrame:
     """Join a one-row-per-key table to rows whose keys may be hot.
 
     Each key's rows are spread over ``salts`` partitions by a hash of other columns,
-    and the small side is repeated once per salt. When the small side turns out to be
-    tiny Spark broadcasts it by its measured size instead.
+    and the small side is repeated once per salt; adaptive execution splits what is still
+    too big. When the small side turns out to be tiny Spark broadcasts it by its measured
+    size instead.
     """
     salted = rows.withColumn(
         "__salt", F.pmod(F.xxhash64(*spread_on), F.lit(salts)).cast("int")
@@ -56,7 +62,7 @@ def spread_join(
     repeated = per_key.withColumn(
         "__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
-    return join_keys(salted, repeated, [*keys, "__salt"]).drop("__salt")
+    return join_keys(salted, repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def melt_row(df: DataFrame, columns: dict[str, Column | str], name: str, value: str) -> DataFrame:

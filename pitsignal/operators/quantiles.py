@@ -117,11 +117,10 @@ def exact_quantiles(
     if not keys:
         return _narrowed_quantiles(rows, keys, probs, weight is not None)
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    big = sizes.filter(F.col("__size") > group_limit).drop("__size")
-    hot = spread_join(rows, big, keys, ["__v"])
-    cold = spread_join(
-        rows, sizes.filter(F.col("__size") <= group_limit).drop("__size"), keys, ["__v"]
-    )
+    big = sizes.filter(F.col("__size") > group_limit)
+    marked = spread_join(rows, big, keys, ["__v"], "left")
+    hot = marked.filter(F.col("__size").isNotNull()).drop("__size")
+    cold = marked.filter(F.col("__size").isNull()).drop("__size")
     return built_in(cold).unionByName(
         _narrowed_quantiles(hot, keys, probs, weight is not None)
     )
