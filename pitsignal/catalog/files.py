@@ -12,7 +12,7 @@ from pitsignal.functions.text import time_text
 from pitsignal.layouts import SENSOR_COLUMNS
 from pitsignal.operators import distribution, filters
 from pitsignal.plans import fuel, temporal, wide
-from pitsignal.session import land, scratch_dir
+from pitsignal.session import scratch_dir
 from pitsignal.sinks import files as sinks
 from pitsignal.sinks.workbook import write_arrow, write_lines, write_workbooks
 from pitsignal.sources import columnar, delimited, files, loader, workbook
@@ -214,7 +214,7 @@ def equipment_sheets(spark, sf_dir):
         F.lit("N"), F.lit("CODIGO EQ."), F.lit("RECEPCION"), F.lit("LITROS")
     ).alias("values"))
     write_workbooks(body.unionByName(banner).unionByName(header), folder, "equipo")
-    rows = land(workbook.workbook_rows(spark, f"{folder}/equipo*.xlsx"), "sheet-rows")
+    rows = workbook.landed_rows(spark, f"{folder}/equipo*.xlsx")
     return fuel.sheet_readings(rows.filter(F.col("error").isNull())).select(*fuel.RESULT)
 
 
@@ -248,7 +248,7 @@ def workbook_restructure(spark, sf_dir):
     )
     rows = fuel.number_in_order(lines, ["sheet"], ["l_orderkey", "l_linenumber", "l_partkey"], "row")
     write_workbooks(rows, folder, "EQUIPO")
-    read = land(workbook.workbook_rows(spark, f"{folder}/EQUIPO*.xlsx"), "book-rows")
+    read = workbook.landed_rows(spark, f"{folder}/EQUIPO*.xlsx")
     target = f"{folder}-restructured"
     sinks.write_restructured(fuel.restructure(read.filter(F.col("error").isNull())), folder, target)
     stacked = columnar.read_parquet(spark, target)

@@ -11,7 +11,7 @@ from pitsignal.functions.times import bucket_start, micros
 from pitsignal.layouts import SPEED_BANDS
 from pitsignal.operators.keyed import GROUP_LIMIT
 from pitsignal.operators.quantiles import exact_quantiles, grouped_stats
-from pitsignal.operators.sequence import distinct_times, gap_counts, timed_gaps, trailing_mean
+from pitsignal.operators.sequence import by_unit, distinct_times, gap_counts, linked_times, trailing_mean
 
 DAY_SECONDS = 86_400
 SERIES = ("truck", "metric")
@@ -24,14 +24,13 @@ def optimal_frequency(df: DataFrame, ts: str, head: int = 1000) -> DataFrame:
     frequent gap between consecutive times (least on a tie, zero left out). Below a
     minute the step is in whole seconds, at least one, above in whole minutes.
     """
-    bound = df.count()
     times = distinct_times(df, [], ts)
     first = times.orderBy("time").limit(head)
-    lead = timed_gaps(first, [], rows_at_most=head).agg(
+    lead = linked_times(first, [], [by_unit("day")]).agg(
         F.count_distinct("gap").alias("kinds"), F.count("gap").alias("gaps"),
         F.min("gap").alias("gap"), F.max("n").alias("copies"),
     )
-    mode = gap_counts(times, [], rows_at_most=bound).filter(F.col("gap") > 0).agg(
+    mode = gap_counts(df, [], ts).filter(F.col("gap") > 0).agg(
         F.min_by("gap", F.struct((-F.col("n")).alias("n"), "gap")).alias("gap")
     )
     regular = (F.col("kinds") == 1) & (F.col("gaps") >= 2) & (F.col("copies") == 1)

@@ -85,20 +85,21 @@ def distinct_times(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     )
 
 
-def timed_gaps(
-    times: DataFrame, keys: list[str], limit: int = GROUP_LIMIT, rows_at_most: int | None = None
-) -> DataFrame:
+def linked_times(times: DataFrame, keys: list[str], chunkers: list[Chunker]) -> DataFrame:
     """``distinct_times`` with ``gap``, the seconds since the time before it."""
-    chunks = time_chunks(times, keys, "time", limit, rows_at_most)
-    linked = stitched_lag(times, keys, "time", "time", chunks)
+    linked = stitched_lag(times, keys, "time", "time", chunkers)
     return linked.withColumn("gap", seconds_between("time", "previous")).drop("previous")
 
 
 def gap_counts(
-    times: DataFrame, keys: list[str], limit: int = GROUP_LIMIT, rows_at_most: int | None = None
+    df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT, rows_at_most: int | None = None
 ) -> DataFrame:
-    """How often each gap in seconds occurs per key; repeated times are gaps of zero."""
-    gaps = timed_gaps(times, keys, limit, rows_at_most)
+    """How often each gap in seconds occurs per key; repeated times are gaps of zero.
+
+    The chunks are sized by the rows of the table, of which its distinct times are a part.
+    """
+    chunkers = time_chunks(df, keys, ts, limit, rows_at_most)
+    gaps = linked_times(distinct_times(df, keys, ts), keys, chunkers)
     entries = F.array(
         F.struct(F.col("gap").alias("gap"), F.lit(1).cast("bigint").alias("n")),
         F.struct(F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("n")),

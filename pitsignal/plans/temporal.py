@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from pitsignal.operators.keyed import GROUP_LIMIT, join_keys, row_total
 from pitsignal.operators.profile import describe_numeric, value_counts
 from pitsignal.operators.quality import valid_ratio
 from pitsignal.operators.quantiles import exact_quantiles
-from pitsignal.operators.sequence import distinct_times, gap_counts
+from pitsignal.operators.sequence import gap_counts
 
 
 def parse_times(raw: DataFrame, ts: str = "created_at_local", zone: str = SITE_ZONE) -> DataFrame:
@@ -35,11 +36,13 @@ def metric_gaps(
     """First and last time, rows, and median gap in seconds per metric; 0 for one row."""
     keys = list(keys)
     bound = row_total(df) if rows_at_most is None else rows_at_most
-    times = distinct_times(df, keys, ts)
-    spans = times.groupBy(*keys).agg(
-        F.min("time").alias("first"), F.max("time").alias("last"), F.sum("n").alias("n")
+    spans = df.filter(F.col(ts).isNotNull()).groupBy(*keys).agg(
+        F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")
     )
-    gaps = gap_counts(times, keys, limit, bound)
+    gaps = gap_counts(df, keys, ts, limit, bound)
+    if bound > limit:
+        # The gaps are counted once, for the size check and for the medians.
+        gaps = gaps.persist(StorageLevel.MEMORY_AND_DISK)
     medians = exact_quantiles(gaps, keys, "gap", [0.5], "n", limit, bound).select(
         *keys, F.col("quantiles")[0].alias("__gap")
     )

@@ -69,8 +69,8 @@ def load_kind(
     if ".feather" in present:
         tables.append(_as_layout(columnar.read_arrow(spark, f"{stem}.feather"), columns))
     if ".xlsx" in present:
-        tables.append(workbook.read_workbook(spark, f"{stem}.xlsx", columns, int(skip_header)))
-        rows = workbook.workbook_rows(spark, f"{stem}.xlsx", first_sheet=True)
+        rows = workbook.landed_rows(spark, f"{stem}.xlsx", first_sheet=True)
+        tables.append(workbook.positional_table(rows, columns, int(skip_header)))
         problems = problems.unionByName(workbook.workbook_errors(rows))
     return combine(tables, columns, spark, ordered), problems
 

@@ -102,9 +102,10 @@ def test_chunks_get_finer_only_when_needed(spark, moments):
     assert len(time_chunks(times, ["k"], "time", limit=1)) == 4
 
 
-def test_gap_counts(spark, moments):
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+def test_gap_counts(spark, moments, limit):
     df, rows = moments
-    got = {(r["k"], r["gap"]): r["n"] for r in gap_counts(distinct_times(df, ["k"], "t"), ["k"]).collect()}
+    got = {(r["k"], r["gap"]): r["n"] for r in gap_counts(df, ["k"], "t", limit).collect()}
     want = {}
     for k in ("a", "b"):
         stamps = sorted(r[2] for r in rows if r[0] == k)
