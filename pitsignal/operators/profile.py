@@ -151,6 +151,8 @@ def correlation_matrix(
 
     def stat(i: int, j: int):
         a, b = F.col(used[i]).cast("double"), F.col(used[j]).cast("double")
+        if i == j:
+            return F.when(F.var_pop(a) > 0, 1.0).alias(f"r_{i}_{j}")
         both = a.isNotNull() & b.isNotNull()
         spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
         return F.try_divide(F.covar_pop(a, b), spread).alias(f"r_{i}_{j}")

@@ -42,10 +42,19 @@ def fitting_units(df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LI
 def time_chunks(
     df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT, rows_at_most: int | None = None
 ) -> list[Chunker]:
-    """Chunks for stitching, finest first. Small tables are cut by day without looking."""
+    """Chunks for stitching, finest first.
+
+    A small table needs none when it has keys to partition by, and days when it has not.
+    """
     rows = row_total(df) if rows_at_most is None else rows_at_most
-    units = UNITS[:1] if rows <= limit else fitting_units(df, keys, ts, limit)
-    return [by_unit(u) for u in reversed(units)]
+    if rows <= limit:
+        return [] if keys else [by_unit("day")]
+    return [by_unit(u) for u in reversed(fitting_units(df, keys, ts, limit))]
+
+
+def order_chunks(df: DataFrame, keys: list[str], width: int) -> list[Chunker]:
+    """Ranges of a unique integer order, none for a small table with keys."""
+    return [] if keys and row_total(df) <= width else [by_range(width)]
 
 
 def stitched_lag(
@@ -114,7 +123,7 @@ def gap_counts(
 
 def row_gaps(df: DataFrame, keys: list[str], order: str, ts: str, width: int = GROUP_LIMIT) -> DataFrame:
     """Every row with ``gap_seconds`` to the row before it, by a unique integer ``order``."""
-    linked = stitched_lag(df, keys, order, ts, [by_range(width)])
+    linked = stitched_lag(df, keys, order, ts, order_chunks(df, keys, width))
     return linked.withColumn("gap_seconds", seconds_between(ts, "previous")).drop("previous")
 
 
@@ -122,7 +131,7 @@ def order_violations(
     df: DataFrame, keys: list[str], order: str, ts: str, width: int = GROUP_LIMIT
 ) -> DataFrame:
     """Rows per key whose time is before that of the row ahead of them."""
-    linked = stitched_lag(df, keys, order, ts, [by_range(width)])
+    linked = stitched_lag(df, keys, order, ts, order_chunks(df, keys, width))
     return linked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(ts) < F.col("previous")).alias("violations")
     )

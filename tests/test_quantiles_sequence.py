@@ -98,7 +98,8 @@ def test_stitched_lag(spark, moments, units):
 def test_chunks_get_finer_only_when_needed(spark, moments):
     df, _ = moments
     times = distinct_times(df, ["k"], "t")
-    assert len(time_chunks(times, ["k"], "time")) == 1
+    assert time_chunks(times, ["k"], "time") == []
+    assert len(time_chunks(times, [], "time")) == 1
     assert len(time_chunks(times, ["k"], "time", limit=1)) == 4
 
 
