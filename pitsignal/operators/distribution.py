@@ -11,6 +11,8 @@ from pitsignal.operators.keyed import spread_join
 from pitsignal.operators.quantiles import exact_quantiles
 
 GRID_POINTS = 200
+# Bandwidths beyond which exp(-z * z / 2) is zero in double precision.
+KERNEL_REACH = 39.0
 
 
 def value_frequencies(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -78,29 +80,40 @@ def kernel_density(
 ) -> DataFrame:
     """Gaussian density on an even grid from the least to the greatest value.
 
-    Bandwidth is deviation times n to the power -1/5. Every distinct value meets each of
-    the fixed number of grid points, and the sums are formed before the shuffle.
+    Bandwidth is deviation times n to the power -1/5. A distinct value meets only the grid
+    points at which its kernel is not zero in double precision, which with growing n are
+    ever fewer; the sums are formed before the shuffle.
     """
     keys = list(keys)
     freq = value_frequencies(df, keys, value)
-    total = F.sum("n")
+    grid = ["__rows", "__lo", "__hi", "__h"]
     shape = df.groupBy(*keys).agg(
         F.count(value).alias("__rows"), F.stddev_samp(value).alias("__std"),
         F.min(value).cast("double").alias("__lo"), F.max(value).cast("double").alias("__hi"),
     ).withColumn("__h", F.col("__std") * F.pow(F.col("__rows"), F.lit(-0.2)))
+    shape = shape.filter(F.col("__h") > 0).select(*keys, *grid)
     if keys:
         placed = spread_join(freq, shape, keys, ["v"])
     else:
-        placed = freq.withColumns({
-            c: shape.select(c).scalar() for c in ("__rows", "__lo", "__hi", "__h")
-        })
-    placed = placed.filter(F.col("__h") > 0)
+        placed = freq.withColumns({c: shape.select(c).scalar() for c in grid})
+        placed = placed.filter(F.col("__h").isNotNull())
     step = (F.col("__hi") - F.col("__lo")) / F.lit(points - 1)
-    at = placed.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+
+    def point_at(bound: Column) -> Column:
+        return (bound - F.col("__lo")) / step
+
+    reach = F.lit(KERNEL_REACH) * F.col("__h")
+    first = F.greatest(F.ceil(point_at(F.col("v") - reach)), F.lit(0)).cast("int")
+    last = F.least(F.floor(point_at(F.col("v") + reach)), F.lit(points - 1)).cast("int")
+    met = F.when(first <= last, F.sequence(first, last))
     x = F.col("__lo") + F.col("point") * step
     z = (x - F.col("v")) / F.col("__h")
-    kernel = F.sum(F.col("n") * F.exp(-0.5 * z * z))
-    summed = at.groupBy(*keys, "point", "__rows", "__lo", "__hi", "__h").agg(kernel.alias("__k"))
+    kernels = placed.withColumn("point", F.explode(met)).select(
+        *keys, *grid, "point", (F.col("n") * F.exp(-0.5 * z * z)).alias("__k")
+    )
+    every_point = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
+    zeros = shape.select(*keys, *grid, every_point.alias("point"), F.lit(0.0).alias("__k"))
+    summed = kernels.unionByName(zeros).groupBy(*keys, *grid, "point").agg(F.sum("__k").alias("__k"))
     scale = F.col("__rows") * F.col("__h") * F.sqrt(2 * F.pi())
     return summed.select(*keys, "point", x.alias("x"), (F.col("__k") / scale).alias("density"))
 

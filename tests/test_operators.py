@@ -180,6 +180,10 @@ def test_density_against_formula(spark):
         want = np.exp(-0.5 * ((x - values) / h) ** 2).sum() / (len(values) * h * np.sqrt(2 * np.pi))
         assert got[i] == pytest.approx((x, want))
     assert distribution.kernel_density(df.limit(1), "v").count() == 0
+    # A far value leaves grid points that no kernel reaches; they are there with zero.
+    far = spark.createDataFrame([("k", float(v % 7)) for v in range(4000)] + [("k", 1e6)], "k string, v double")
+    curve = distribution.kernel_density(far, "v", ["k"])
+    assert curve.count() == 200 and curve.filter("density = 0").count() > 0
 
 
 def test_activity(spark):
