@@ -168,7 +168,7 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndar
     out = np.zeros(at[-1], dtype=np.uint64)
     padded = np.concatenate([hashes, np.zeros(width, np.uint64)])
     for k in range(width):
-        factor = np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & ((1 << 64) - 1))
+        factor = mix(np.array([k + 1], dtype=np.uint64))[0] | np.uint64(1)
         out += np.where(k < size, padded[begin + k] * factor, np.uint64(0))
     return mix(out + size.astype(np.uint64)), at
 

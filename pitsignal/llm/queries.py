@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import chat, exact_dedup, packing, quality_rules, warc
+from pitsignal.llm import chat, exact_dedup, ngram_join, packing, quality_rules, warc
 from pitsignal.llm.common import id_and_text, table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -85,6 +89,7 @@ FROM p LEFT JOIN g ON p.html = g.html AND n >= 1000
 """
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_examples": op6_chat_examples,
     "op8_packing": op8_packing,
