@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import chat, exact_dedup, ngram_join, packing, quality_rules, warc
+from pitsignal.llm import chat, exact_dedup, line_dedup, ngram_join, packing, quality_rules, warc
 from pitsignal.llm.common import id_and_text, table
 
 
@@ -19,6 +19,10 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
 
@@ -90,6 +94,7 @@ FROM p LEFT JOIN g ON p.html = g.html AND n >= 1000
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_examples": op6_chat_examples,
     "op8_packing": op8_packing,
