@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import chat, exact_dedup, line_dedup, ngram_join, packing, quality_rules, warc
+from pitsignal.llm import chat, exact_dedup, line_dedup, ngram_join, packing, quality_net, quality_rules, warc
 from pitsignal.llm.common import id_and_text, table
 
 
@@ -19,6 +19,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op2_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = id_and_text(docs)
+    vectors = quality_net.context_vectors(texts)
+    net = quality_net.train(texts, table(spark, sf_dir, "labels"), vectors)
+    return quality_net.score(docs, vectors, net)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
 
@@ -94,6 +102,7 @@ FROM p LEFT JOIN g ON p.html = g.html AND n >= 1000
 
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_quality_net": op2_quality_net,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_examples": op6_chat_examples,
