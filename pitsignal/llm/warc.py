@@ -79,24 +79,24 @@ def shard_bounds(pages: DataFrame, key: str, size: Column, target: int) -> list[
     return bounds
 
 
-def with_decisions(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``page_id``, ``url``, ``payload``, its length and digest, and ``refers_to`` for revisits."""
+def payloads(pages: DataFrame) -> DataFrame:
+    """``page_id``, ``url``, ``payload``, its ``size`` and ``digest``."""
     rows = pages.select(
         F.col("page_id").cast("bigint"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    rows = rows.withColumns({"size": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
-    large = rows.filter(F.col("size") >= least_bytes)
+    return rows.withColumns({"size": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
+
+
+def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """``page_id``, ``digest`` and ``refers_to`` of the records that are not responses; no payloads."""
+    large = payloads(pages).filter(F.col("size") >= least_bytes).select("page_id", "digest", "size")
     # Counted in each task before the shuffle, so a payload with many copies is a few rows.
-    chosen = large.groupBy("digest", "size").agg(F.max("page_id").alias("chosen"), F.count(F.lit(1)).alias("n"))
-    chosen = chosen.filter("n > 1").drop("n")
-    joined = rows.join(chosen, ["digest", "size"], "left")
-    revisit = F.col("chosen").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chosen"))
-    refers = F.when(revisit, F.col("chosen"))
-    return joined.select(
-        "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "size", "digest", refers.alias("refers_to")
-    )
+    chosen = large.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
+    joined = large.join(chosen.filter("n > 1"), ["digest", "size"])
+    apart = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    return joined.filter(apart).select("page_id", "digest", "refers_to").distinct()
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -192,24 +192,34 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
         attempt = f"{TaskContext.get().taskAttemptId()}"
         system, inner = file_system(folder)
         system.create_dir(inner, recursive=True)
-        roller, done = None, []
+        roller, done, decided = None, [], (None, None, None)
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(7)), strict=True):
-                shard, *fields = (v.as_py() for v in row)
+                shard, page_id, digest, refers_to, url, payload, size = (v.as_py() for v in row)
+                if payload is None:  # a decision, which comes before the records it is about
+                    decided = (page_id, digest, refers_to)
+                    continue
                 if roller is None or roller.shard != shard:
                     done += roller.close() if roller else ()
                     roller = Roller(folder, shard, attempt, roll_bytes)
-                done += roller.write(record(*fields))
+                target = decided[2] if decided[:2] == (page_id, digest) else None
+                done += roller.write(record(page_id, url, payload, size, digest, target))
         done += roller.close() if roller else ()
         if done:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             arrays = [pa.array(c, t) for c, t in zip(zip(*done, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, names=["file", "shard", "part", "records", "bytes", "sha256"])
 
-    rows = with_decisions(pages, least_bytes).withColumn("shard", shard_of("page_id"))
-    rows = rows.select("shard", "page_id", "url", "payload", "size", "digest", "refers_to")
+    # Payloads travel once, to their shard. Decisions are small rows of the same shuffle, sorted to the front.
+    decisions = revisits(pages, least_bytes).select(
+        "page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"),
+        F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("bigint").alias("size"),
+    )
+    full = payloads(pages).select("page_id", "digest", F.lit(None).cast("bigint").alias("refers_to"), "url", "payload", "size")
+    rows = decisions.unionByName(full).withColumn("shard", shard_of("page_id"))
+    rows = rows.select("shard", "page_id", "digest", "refers_to", "url", "payload", "size")
     placed = rows.repartitionById(len(bounds) + 1, F.col("shard"))
-    ordered = placed.sortWithinPartitions("shard", "page_id", "digest", "url")
+    ordered = placed.sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
     ordered.mapInArrow(work, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
