@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import chat, exact_dedup, line_dedup, ngram_join, packing, quality_net, quality_rules, warc
+from pitsignal.llm import chat, exact_dedup, line_dedup, ngram_join, packing, pieces, pii, quality_net, quality_rules, warc
 from pitsignal.llm.common import id_and_text, table
 
 
@@ -27,6 +27,10 @@ def op2_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_net.score(docs, vectors, net)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,10 @@ FROM c GROUP BY conv_id
 """
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return packed.drop("ids")
@@ -103,9 +111,11 @@ FROM p LEFT JOIN g ON p.html = g.html AND n >= 1000
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_net": op2_quality_net,
+    "op3_pii": op3_pii,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_examples": op6_chat_examples,
+    "op7_pieces": op7_pieces,
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
