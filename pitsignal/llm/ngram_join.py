@@ -3,8 +3,10 @@
 Two documents link when 100 * intersection >= percent * union of their distinct word shingles. Linkable sizes
 lie within a factor of 100 / percent, so sizes are cut into bands and documents meet only in the band of
 the smaller. In a band, two linked sets differ in at most d shingles, for a d that follows from the band's upper end.
-The hashes are dealt to d + 1 parts and some spare ones, so that at least one part of both is the same and not
-empty; a document with more empty parts than there are spare ones shows its empty parts too. Where d is 1, the signatures are the
+The hashes are dealt to d + 1 parts and some spare ones. At least one more part than there are spare ones is then
+the same in both, so one of these is not empty, or both sets have more empty parts than there are spare ones. A set with so many is
+dealt anew with another seed, up to ``DEALS`` times; the last time it shows its empty parts, too.
+Shingles that many documents share stay out of the parts where the others suffice. Where d is 1, the signatures are the
 set itself and the set without each of its shingles. Nothing is missed, and documents that share a
 passage only do not meet. Candidates go to size-ordered tiles with bitmaps and exact intersections
 (:mod:`pitsignal.llm.linking`).
@@ -29,8 +31,10 @@ from pitsignal.llm.common import id_and_text, mix, slices, text_bytes, word_shin
 from pitsignal.llm.linking import components, groups, node_names, star_edges
 from pitsignal.session import land
 
-SPARE_PARTS = 2
-
+#: Share of the documents from which on a shingle counts as common, and share of rare shingles from which on they suffice.
+COMMON_SHARE = 0.001
+RARE = 0.75
+DEALS = 8
 
 @dataclass
 class Bands:
@@ -38,6 +42,7 @@ class Bands:
 
     percent: int
     starts: list[int] = field(default_factory=lambda: [1])
+    spares: dict[int, int] = field(default_factory=dict)
 
     def __post_init__(self):
         while self.starts[-1] < 1 << 40:
@@ -49,6 +54,19 @@ class Bands:
         large = small * 100 // self.percent
         return (small + large) * (100 - self.percent) // (100 + self.percent)
 
+    def spare(self, band: int) -> int:
+        """Spare parts: what a set of the band's lower end leaves empty, as a rule."""
+        if band not in self.spares:
+            extra = 0
+            while True:
+                parts = self.differing(band) + 1 + extra
+                empty = parts * np.exp(-self.starts[band] / parts)
+                if extra >= empty + 1.3 * np.sqrt(empty) or extra > parts // 2:
+                    break
+                extra += 1
+            self.spares[band] = extra
+        return self.spares[band]
+
     def of(self, size: int) -> list[int]:
         """The band of a size, and the one below if a partner can be in it."""
         band = int(np.searchsorted(self.starts, size, side="right")) - 1
@@ -56,32 +74,85 @@ class Bands:
         return [band, band - 1] if below else [band]
 
 
-def signatures(sets: list[np.ndarray], bands: Bands) -> Iterator[np.ndarray]:
-    """For each set its signatures."""
+def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> Iterator[np.ndarray]:
+    """For each set its signatures. ``common`` are sorted shingle hashes that many documents share.
+
+    Two linked sets differ in at most d of their rare shingles, too, so parts are made of the rare ones alone where
+    these are at least ``RARE`` of the set, and of all shingles where they are fewer. Near that limit a set shows both, since its
+    partner may be on the other side of it.
+    """
     for s in sets:
         if not len(s):
             yield np.zeros(0, np.uint64)
             continue
-        members, out = mix(s), []
-        for band in bands.of(len(s)):
-            most = bands.differing(band)
-            salt = mix(np.array([band + 1], dtype=np.uint64))[0]
-            if most == 0:
-                continue
-            if most == 1:
-                whole = np.sum(members, dtype=np.uint64)
-                out.append(mix(np.append(whole - members, whole) ^ salt))
-                continue
-            parts = most + 1 + SPARE_PARTS
-            part = ((members >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
-            low = np.bincount(part, (members & np.uint64(0xFFFFFFFF)).astype(np.float64), parts)
-            high = np.bincount(part, (members >> np.uint64(32)).astype(np.float64), parts)
-            sums = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
-            empty = np.bincount(part, minlength=parts) == 0
-            shown = np.arange(parts) if empty.sum() > SPARE_PARTS else np.flatnonzero(~empty)
-            number = shown.astype(np.uint64) + np.uint64(1)
-            out.append(mix(sums[shown] + number * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt))
-        yield np.concatenate(out) if out else np.zeros(0, np.uint64)
+        own = bands.of(len(s))
+        rare = s[np.take(common, np.searchsorted(common, s), mode="clip") != s] if len(common) else s
+        above = len(rare) - RARE * len(s)
+        out = []
+        if above >= 0:
+            out += [_parts(mix(rare), band, bands, 1) for band in own]
+        if above < RARE * max(bands.differing(band) for band in own):
+            out += [_parts(mix(s), band, bands, 2) for band in own]
+        yield np.concatenate(out)
+
+
+def _parts(members: np.ndarray, band: int, bands: Bands, variant: int) -> np.ndarray:
+    most = bands.differing(band)
+    salt = mix(np.array([2 * band + variant], dtype=np.uint64))[0]
+    if most == 0:
+        return np.zeros(0, np.uint64)
+    if most == 1:
+        whole = np.sum(members, dtype=np.uint64)
+        return mix(np.append(whole - members, whole) ^ salt)
+    spare = bands.spare(band)
+    parts = most + 1 + spare
+    out = []
+    for deal in range(DEALS):
+        dealt = mix(members + np.uint64(deal))
+        part = ((dealt >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        low = np.bincount(part, (dealt & np.uint64(0xFFFFFFFF)).astype(np.float64), parts)
+        high = np.bincount(part, (dealt >> np.uint64(32)).astype(np.float64), parts)
+        sums = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
+        empty = np.bincount(part, minlength=parts) == 0
+        enough = empty.sum() <= spare
+        shown = np.arange(parts) if deal == DEALS - 1 and not enough else np.flatnonzero(~empty)
+        number = shown.astype(np.uint64) + np.uint64(1 + (deal << 48))
+        out.append(mix(sums[shown] + number * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt))
+        if enough:
+            break
+    return np.concatenate(out)
+
+
+def common_shingles(docs: DataFrame, width: int, share: float = COMMON_SHARE) -> np.ndarray:
+    """Sorted hashes of shingles that about ``share`` of all documents or more have.
+
+    Each task counts its own documents and reports what reaches the share there. A document of n shingles adds to n
+    counts, so at most the mean n divided by the share can be reported, however many documents there are. Which
+    shingles are found decides the cost of the join, never its result.
+    """
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for batch in batches:
+            found = [s for _, _, sets in _set_slices(batch.column(1), width) for s in sets]
+            rows += len(found)
+            values, times = np.unique(np.concatenate([known, *found]), return_counts=True)
+            times[np.searchsorted(values, known)] += counts - 1
+            known, counts = values[times > 1], times[times > 1]
+        often = counts >= max(4, share * rows)
+        yield pa.RecordBatch.from_arrays([pa.array(known[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"])
+
+    total = docs.count()
+    found = docs.mapInArrow(work, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = found.filter(F.col("n") >= share * total / 2).select("shingle").toArrow()
+    return np.sort(rows["shingle"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _set_slices(texts: pa.Array, width: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    data, offsets = text_bytes(texts)
+    for a, b in slices(offsets):
+        at = offsets[a : b + 1]
+        yield a, b, word_shingle_sets(data[at[0] : at[-1]], at - at[0], width)
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
@@ -89,10 +160,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets):
-                at = offsets[a : b + 1]
-                sets = word_shingle_sets(data[at[0] : at[-1]], at - at[0], width)
+            for a, b, sets in _set_slices(batch.column(1), width):
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), sizes, pa.array(node_names(sets))], names=["doc_id", "n_shingles", "node"]
@@ -104,19 +172,17 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
 def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Distinct ``(sig, node)`` rows; a set met again in a task is not shown again."""
     bands = Bands(percent)
+    sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            for a, b in slices(offsets):
-                at = offsets[a : b + 1]
-                sets = word_shingle_sets(data[at[0] : at[-1]], at - at[0], width)
+            for _, _, sets in _set_slices(batch.column(1), width):
                 names = node_names(sets)
                 fresh = [i for i in np.unique(names, return_index=True)[1] if int(names[i]) not in seen]
                 if len(seen) < 1 << 20:
                     seen.update(int(names[i]) for i in fresh)
-                found = list(signatures([sets[i] for i in fresh], bands))
+                found = list(signatures([sets[i] for i in fresh], bands, sent.value))
                 if found:
                     node = np.repeat(names[fresh], [len(f) for f in found])
                     sig = np.concatenate(found).view(np.int64)

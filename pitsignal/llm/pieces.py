@@ -4,8 +4,8 @@ A text is a blank and the text itself, with blanks written as U+2581. Its lattic
 vocabulary that matches, and for a character that no piece spells an edge of its byte pieces. A piece of rank r weighs
 ``(r + RANK_SHIFT) ** -ALPHA``; a segmentation is drawn in proportion to the product of its pieces' weights. Weights are summed
 forward over the lattice, and pieces drawn backward from the end: forward filtering, backward sampling.
-Pieces hold blanks only in front, so the lattice falls apart before each blank that follows another
-character, and each distinct unit is filtered once per batch. The draws of a row come from a counter seeded by its key: the same
+Where no piece of the vocabulary goes from letters to other characters, or from another character to a blank, the
+lattice falls apart at such places, and each distinct unit is filtered once per batch. The draws of a row come from a counter seeded by its key: the same
 key and text give the same pieces, in any partitioning and on any retry.
 
 Nulls and edge cases: a null or empty text has no pieces and decodes to an empty text. A literal U+2581, which would
@@ -28,10 +28,14 @@ from pitsignal.llm.common import id_and_text, mix, powers, slices, text_bytes
 BLANK = "▁"
 ALPHA = 1.0
 RANK_SHIFT = 2.0
+FILTER_BITS = 20
+PART_BYTES = 4 << 20
 LITERAL = "\ud800"
 MULTIPLIER = 0x9E3779B97F4A7C55
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-_UNIT = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+# Units that end before a blank, and those that end between letters and other characters as well.
+WIDE_UNIT = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
+FINE_UNIT = rf"{BLANK}*[^\W\d_]+|{BLANK}*(?:(?!{BLANK})[\W\d_])+|{BLANK}+"
 
 
 class Vocabulary:
@@ -53,12 +57,17 @@ class Vocabulary:
                 weight = -alpha * float(np.log(RANK_SHIFT - model.get_score(i)))
                 by_length.setdefault(len(piece), []).append((piece, i, weight))
                 self.texts[i] = piece.replace(BLANK, " ").encode()
+        fine = re.compile(FINE_UNIT)
+        whole = all(fine.fullmatch(p) for found in by_length.values() for p, _, _ in found)
+        self.unit = fine if whole else re.compile(WIDE_UNIT)
+        self.maybe = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.least = min(w for found in by_length.values() for _, _, w in found)
         self.tables = {}
         for length, found in by_length.items():
             flat = Flat("".join(p for p, _, _ in found))
             hashes = flat.hashes(np.arange(len(found)) * length, length)
             order = np.argsort(hashes)
+            self.maybe[hashes >> np.uint64(64 - FILTER_BITS)] = True
             self.tables[length] = (
                 hashes[order], np.array([i for _, i, _ in found])[order], np.array([w for _, _, w in found])[order]
             )
@@ -66,9 +75,10 @@ class Vocabulary:
     def look_up(self, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which hashes are those of a piece, and the pieces and log weights of these."""
         known, pieces, weights = self.tables[length]
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        hit = np.flatnonzero(known[at] == hashes)
-        return hit, pieces[at[hit]], weights[at[hit]]
+        hit = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - FILTER_BITS)])
+        at = np.minimum(np.searchsorted(known, hashes[hit]), len(known) - 1)
+        true = known[at] == hashes[hit]
+        return hit[true], pieces[at[true]], weights[at[true]]
 
 
 class Flat:
@@ -89,7 +99,7 @@ class Lattices:
 
     A cell is an end place in a unit. Cells are numbered place by place, the longest unit first, so all edges into
     one place of all units stand together and the forward sums of a place are one step. For each cell the edges that end
-    there are listed with the running sum of their probabilities; a uniform number picks one by its rank.
+    there are listed with the running sum of their probabilities; a uniform number picks the first that exceeds it.
     """
 
     def __init__(self, vocabulary: Vocabulary, units: list[str]):
@@ -115,7 +125,7 @@ class Lattices:
             pieces.append(piece)
             weights.append(weight)
 
-        for length in vocabulary.tables:
+        for length in sorted(vocabulary.tables, reverse=True):  # long pieces, which are likelier, come first
             at = np.flatnonzero(room >= length)
             hit, piece, weight = vocabulary.look_up(flat.hashes(at, length), length)
             add(at[hit], length, piece, weight)
@@ -144,9 +154,8 @@ class Lattices:
             total = np.add.reduceat(value, cells)
             forward[low:high] = top + np.log(total)
             share[a:b] = value / np.repeat(total, size)
-        running = np.cumsum(share)
-        before = np.concatenate([[0.0], running])[self.at[self.end]]
-        self.ranked = self.end + np.minimum(running - before, 1.0)
+        running = np.concatenate([[0.0], np.cumsum(share)])
+        self.upto = running[1:] - running[self.at[self.end]]
 
     def draw(self, unit: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Occurrence, end and piece of the edges drawn for each occurrence of a unit; ``seed`` is one per occurrence."""
@@ -156,7 +165,11 @@ class Lattices:
             cell = self.first[end] + rank
             noise = mix(seed[left] + end.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             u = (noise >> np.uint64(12)).astype(np.float64) * 2.0**-52
-            edge = np.minimum(np.searchsorted(self.ranked, cell + u, side="right"), self.at[cell + 1] - 1)
+            edge, last = self.at[cell], self.at[cell + 1] - 1
+            going = np.flatnonzero((self.upto[edge] <= u) & (edge < last))
+            while len(going):
+                edge[going] += 1
+                going = going[(self.upto[edge[going]] <= u[going]) & (edge[going] < last[going])]
             seen.append(left)
             ends.append(end)
             found.append(self.piece[edge])
@@ -166,11 +179,11 @@ class Lattices:
         return np.concatenate(seen), np.concatenate(ends), np.concatenate(found)
 
 
-def units_of(text: str) -> list[str]:
+def units_of(text: str, unit: re.Pattern) -> list[str]:
     """The units of a text; a literal U+2581 is written as ``LITERAL``, which no text holds."""
     if not text:
         return []
-    return _UNIT.findall(BLANK + text.replace(BLANK, LITERAL).replace(" ", BLANK))
+    return unit.findall(BLANK + text.replace(BLANK, LITERAL).replace(" ", BLANK))
 
 
 def seeds(keys: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
@@ -188,7 +201,7 @@ def spelled(char: str) -> bytes:
 def encode_rows(vocabulary: Vocabulary, keys: np.ndarray, texts: list[str], seed: int) -> list[np.ndarray]:
     """The sampled piece ids of each text."""
     known: dict[str, int] = {}
-    per_row = [[known.setdefault(u, len(known)) for u in units_of(t)] for t in texts]
+    per_row = [[known.setdefault(u, len(known)) for u in units_of(t, vocabulary.unit)] for t in texts]
     counts = np.array([len(r) for r in per_row], dtype=np.int64)
     if not counts.sum():
         return [np.zeros(0, np.int32) for _ in texts]
@@ -231,7 +244,7 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, alpha: float = ALPHA
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[str]]]:
     for batch in batches:
-        for a, b in slices(text_bytes(batch.column(1))[1]):
+        for a, b in slices(text_bytes(batch.column(1))[1], PART_BYTES):
             part = batch.slice(a, b - a)
             yield part, part.column(0).fill_null(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -148,7 +147,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 # -- the field ---------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=65_536)
 def shape(word: str) -> str:
     """Runs of digits with their length up to 5, runs of letters by case, other marks once each in a row."""
     out: list[str] = []
