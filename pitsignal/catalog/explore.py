@@ -338,21 +338,21 @@ def mean_use(spark, sf_dir):
 
 @query("hash_sample", having("keyed_sensor")
        + f"""SELECT event_id, {dec('Speed', 'Speed')}, {dec('RPM', 'RPM')} FROM keyed_sensor
-           ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 10000""")
+           ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 2000""")
 def hash_sample(spark, sf_dir):
     rows = keyed_sensor(spark, sf_dir).select("event_id", "Speed", "RPM")
-    return activity.sample_rows(rows, "event_id", reports.SCATTER_ROWS)
+    return activity.sample_rows(rows, "event_id", 2000)
 
 
 @query("map_sample", having("keyed_sensor")
        + f"""SELECT event_id, {dec('Latitude', 'Latitude')}, {dec('Longitude', 'Longitude')}, {dec('Speed', 'Speed')}
            FROM keyed_sensor WHERE Latitude BETWEEN -90 AND 90 AND Longitude BETWEEN -180 AND 180
-           ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 5000""")
+           ORDER BY md5(CAST(event_id AS VARCHAR)), event_id LIMIT 1000""")
 def map_sample(spark, sf_dir):
     rows = keyed_sensor(spark, sf_dir)
     placed = rows.filter(filters.valid_position("Latitude", "Longitude"))
     return activity.sample_rows(
-        placed.select("event_id", "Latitude", "Longitude", "Speed"), "event_id", reports.MAP_ROWS
+        placed.select("event_id", "Latitude", "Longitude", "Speed"), "event_id", 1000
     )
 
 
@@ -405,6 +405,12 @@ def truck_report(spark, sf_dir):
     return total
 
 
+@query("hourly_activity", having("sensor")
+       + "SELECT coalesce(hour(TimeStamp), 0) AS hour, count(*) AS n FROM sensor WHERE Equipment = 'T-212' GROUP BY 1")
+def hourly_activity(spark, sf_dir):
+    return reports.truck_report({"sensor": sensor(spark, sf_dir)}, "T-212")["hourly_activity"]
+
+
 @query("telemetry_report", having("telemetry", o=_OUT)
        + f"""SELECT 'mean_value' AS item, {dec('avg(value)', 'amount')} FROM telemetry
        UNION ALL SELECT 'distinct_times', {dec('count(DISTINCT created_at_local)', 'amount')} FROM telemetry
@@ -430,17 +436,3 @@ def telemetry_report(spark, sf_dir):
         total = total.unionByName(p)
     return total
 
-
-@query("approx_quantiles")
-def approx_quantiles(spark, sf_dir):
-    """Sketch-based quartiles; no exact SQL states the same numbers."""
-    from pitsignal.operators.quantiles import approximate_quantiles
-
-    q = approximate_quantiles(
-        table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75]
-    )
-    return q.select("l_returnflag", *[
-        F.col("quantiles")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))
-    ])
-
-

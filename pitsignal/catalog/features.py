@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from pitsignal.catalog.registry import big, dec, query, stamp
-from pitsignal.catalog.views import METRICS, having, telemetry
+from pitsignal.catalog.views import METRICS, having, table, telemetry
 from pitsignal.functions.times import to_site_time
 from pitsignal.operators import features as f
 from pitsignal.operators import sequence
@@ -89,7 +89,7 @@ def band_share(spark, sf_dir):
 @query("optimal_freq", having("telemetry",
        t="SELECT created_at_local AS t, count(*) AS n FROM telemetry GROUP BY 1",
        g="SELECT (epoch_us(t) - epoch_us(lag(t) OVER (ORDER BY t))) / 1e6 AS gap, n, row_number() OVER (ORDER BY t) AS i FROM t",
-       h="SELECT count(DISTINCT gap) = 1 AND count(gap) >= 2 AND max(n) = 1 AS regular, min(gap) AS gap FROM g WHERE i <= 1000",
+       h="SELECT count(DISTINCT gap) = 1 AND count(gap) >= 2 AND max(n) = 1 AS regular, min(gap) AS gap FROM g",
        m="SELECT gap FROM g WHERE gap > 0 GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1",
        p="SELECT CASE WHEN regular THEN h.gap ELSE m.gap END AS gap, regular FROM h CROSS JOIN m",
        w="SELECT CAST(CASE WHEN gap < 60 THEN greatest(floor(gap), 1) ELSE floor(gap / 60) * 60 END AS BIGINT) AS s, regular FROM p")
@@ -100,6 +100,19 @@ def optimal_freq(spark, sf_dir):
     return f.optimal_frequency(telemetry(spark, sf_dir), TS)
 
 
+@query("optimal_freq_changed", """WITH e AS (SELECT event_id, CASE WHEN event_id < 1200 THEN event_id ELSE event_id * 60 END AS s FROM events),
+       g AS (SELECT s - lag(s) OVER (ORDER BY s) AS gap FROM e),
+       m AS (SELECT gap FROM g WHERE gap > 0 GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1)
+       SELECT CAST(CASE WHEN gap < 60 THEN gap ELSE gap // 60 * 60 END AS BIGINT) AS step_seconds,
+         CASE WHEN gap < 60 THEN CAST(gap AS BIGINT) || 'S' ELSE CAST(gap // 60 AS BIGINT) || 'T' END AS frequency,
+         'modal' AS source FROM m""")
+def optimal_freq_changed(spark, sf_dir):
+    """A table that is even for its first 1200 times and goes on at another rate."""
+    seconds = F.when(F.col("event_id") < 1200, F.col("event_id")).otherwise(F.col("event_id") * 60)
+    times = table(spark, sf_dir, "events").select(F.timestamp_seconds(seconds + 1_704_067_200).cast("timestamp_ntz").alias("t"))
+    return f.optimal_frequency(times, "t")
+
+
 @query("hour_metric_crosstab", having("telemetry", b=_buckets_sql("hour"),
        l="SELECT hour(timezone('America/Santiago', timezone('UTC', bucket))) AS h, metric, value FROM b")
        + "SELECT CAST(h AS BIGINT) AS hour, "

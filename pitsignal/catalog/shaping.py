@@ -185,7 +185,14 @@ def date_axis(spark, sf_dir):
     )
 
 
-@query("random_normal")
+@query("random_normal", """SELECT c AS "column", (SELECT count(*) FROM events) AS rows, 0 AS nulls, true AS mean_near_0, true AS deviation_near_1
+       FROM (VALUES ('a'), ('b'), ('c'), ('d')) t(c)""")
 def random_columns(spark, sf_dir):
-    """Four normal columns per event; random, so without SQL."""
-    return random_normal(table(spark, sf_dir, "events").select("event_id"), ["a", "b", "c", "d"], 7)
+    """Whether four normal columns beside the events have the rows, the mean and the deviation they should have."""
+    drawn = random_normal(table(spark, sf_dir, "events").select("event_id"), ["a", "b", "c", "d"], 7)
+    long = drawn.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in "abcd"])).alias("x")).select("x.*")
+    n = F.count(F.lit(1))
+    return long.groupBy("column").agg(
+        n.alias("rows"), F.count_if(F.col("v").isNull()).alias("nulls"),
+        (F.abs(F.avg("v")) < 6 / F.sqrt(n)).alias("mean_near_0"), (F.abs(F.stddev("v") - 1) < 6 / F.sqrt(n)).alias("deviation_near_1"),
+    )

@@ -60,9 +60,5 @@ def grouped_number(c: str | Column, decimals: int = 0) -> Column:
     return F.format_number(col(c), decimals)
 
 
-def day_text(c: str | Column) -> Column:
-    return F.date_format(col(c), "yyyy-MM-dd")
-
-
 def time_text(c: str | Column) -> Column:
     return F.date_format(col(c), "yyyy-MM-dd HH:mm:ss.SSSSSS")

@@ -27,6 +27,7 @@ CYCLE_COLUMNS = [
     "G_Latitude", "G_Longitude", "G_Elevation", "D_Latitude", "D_Longitude",
     "D_Elevation",
 ]
+# The older layout, which the training files have.
 CYCLE_OLD_COLUMNS = [
     "travel_empty_seconds", "haul_loaded_seconds", "waiting_loader_seconds",
     "spotting_time_seconds", "loading_time_seconds", "waiting_dump_seconds",
@@ -55,6 +56,7 @@ MONTHS_ES = [
     "Julio", "Agosto", "Septiembre", "Octubre", "Noviembre", "Diciembre",
 ]
 SPEED_BANDS = ["Muy Baja", "Baja", "Media", "Alta", "Muy Alta"]
+# The time zone of the site and the fleet's number ranges.
 SITE_ZONE = "America/Santiago"
 FLEET_NUMBER_RANGES = [(210, 225), (230, 243)]
 
@@ -81,6 +83,7 @@ LAYOUTS = {
     "time_model": TIME_MODEL_COLUMNS,
     "cycle": CYCLE_COLUMNS,
 }
+TRAINING_LAYOUTS = {**LAYOUTS, "cycle": CYCLE_OLD_COLUMNS}
 
 _TEXT_COLUMNS = {
     "Shift", "Equipment", "TruckFleet", "Status", "Category", "Event", "Shovel",

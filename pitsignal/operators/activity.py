@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsignal.functions.times import month_name_es
@@ -109,9 +109,21 @@ def hour_metric_crosstab(
     return df.filter(F.col(metric).isin(list(metrics))).groupBy(F.hour(time).alias("hour")).agg(*means)
 
 
-def sample_rows(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most ``n`` rows, chosen by the digest of a key so that a rerun picks the same."""
-    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+def sample_rows(df: DataFrame, key: str | Sequence[str], n: int) -> DataFrame:
+    """At most ``n`` rows, chosen by the digest of a key so that a rerun picks the same.
+
+    Rows are counted by the first three digits of the digest. Only those up to the digits that
+    hold the n-th row are ordered, so a task passes on few rows, not its own first ``n``.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    texts = [F.col(k).cast("string") for k in keys]
+    one = texts[0] if len(texts) == 1 else F.concat_ws("\x1f", *[F.coalesce(t, F.lit("\x00")) for t in texts])
+    digest = F.coalesce(F.md5(one), F.lit(""))
+    upto = F.sum("n").over(Window.orderBy("digits"))  # 4097 rows at most
+    counts = df.groupBy(F.substring(digest, 1, 3).alias("digits")).agg(F.count(F.lit(1)).alias("n"))
+    last = counts.withColumn("upto", upto).agg(F.min(F.when(F.col("upto") >= n, F.col("digits"))))
+    wanted = F.substring(digest, 1, 3) <= F.coalesce(last.scalar(), F.lit("fff"))
+    return df.filter(wanted).orderBy(digest, *keys).limit(n)
 
 
 def head_rows(df: DataFrame, order: str, n: int) -> DataFrame:

@@ -11,32 +11,28 @@ from pitsignal.functions.times import bucket_start, micros
 from pitsignal.layouts import SPEED_BANDS
 from pitsignal.operators.keyed import GROUP_LIMIT
 from pitsignal.operators.quantiles import exact_quantiles, grouped_stats
-from pitsignal.operators.sequence import by_unit, distinct_times, gap_counts, linked_times, trailing_mean
+from pitsignal.operators.sequence import gap_counts, trailing_mean
 
 DAY_SECONDS = 86_400
 SERIES = ("truck", "metric")
 
 
-def optimal_frequency(df: DataFrame, ts: str, head: int = 1000) -> DataFrame:
+def optimal_frequency(df: DataFrame, ts: str) -> DataFrame:
     """Bucket length of a table: ``step_seconds``, its label and how it was found.
 
-    When the first ``head`` times are evenly spaced that spacing is taken, else the most
-    frequent gap between consecutive times (least on a tie, zero left out). Below a
-    minute the step is in whole seconds, at least one, above in whole minutes.
+    When all times are evenly spaced that spacing is taken, else the most frequent gap
+    between consecutive times (least on a tie, zero left out). Below a minute the step is in
+    whole seconds, at least one, above in whole minutes.
     """
-    times = distinct_times(df, [], ts)
-    first = times.orderBy("time").limit(head)
-    lead = linked_times(first, [], [by_unit("day")]).agg(
-        F.count_distinct("gap").alias("kinds"), F.count("gap").alias("gaps"),
-        F.min("gap").alias("gap"), F.max("n").alias("copies"),
+    known = F.when(F.col("gap") > 0, F.col("gap"))
+    found = gap_counts(df, [], ts).agg(
+        F.count_distinct("gap").alias("kinds"), F.sum("n").alias("gaps"), F.min("gap").alias("least"),
+        F.min_by(known, F.when(F.col("gap") > 0, F.struct((-F.col("n")).alias("n"), "gap"))).alias("mode"),
     )
-    mode = gap_counts(df, [], ts).filter(F.col("gap") > 0).agg(
-        F.min_by("gap", F.struct((-F.col("n")).alias("n"), "gap")).alias("gap")
-    )
-    regular = (F.col("kinds") == 1) & (F.col("gaps") >= 2) & (F.col("copies") == 1)
-    picked = lead.select(
-        F.when(regular, F.col("gap")).otherwise(mode.scalar()).alias("gap"),
-        F.when(regular, "regular").otherwise("modal").alias("source"),
+    regular = (F.col("kinds") == 1) & (F.col("gaps") >= 2) & (F.col("least") > 0)
+    picked = found.select(
+        F.when(regular, F.col("least")).otherwise(F.col("mode")).alias("gap"),
+        F.when(F.coalesce(regular, F.lit(False)), "regular").otherwise("modal").alias("source"),
     )
     whole = F.when(F.col("gap") < 60, F.greatest(F.floor("gap"), F.lit(1))).otherwise(
         F.floor(F.col("gap") / 60) * 60

@@ -72,14 +72,10 @@ def null_counts(df: DataFrame) -> DataFrame:
     return melt_row(one, {c: c for c in df.columns}, "column", "nulls")
 
 
-def null_patterns(df: DataFrame, min_columns: int = 5) -> DataFrame:
-    """How often each combination of nulls occurs; ``1`` marks a null.
-
-    Like the picture it stands for, it is empty for tables of few columns.
-    """
+def null_patterns(df: DataFrame) -> DataFrame:
+    """How often each combination of nulls occurs; ``1`` marks a null."""
     flags = [F.when(not_missing(df, c), "0").otherwise("1") for c in df.columns]
-    out = df.groupBy(F.concat(*flags).alias("pattern")).agg(F.count(F.lit(1)).alias("rows"))
-    return out if len(df.columns) > min_columns else out.limit(0)
+    return df.groupBy(F.concat(*flags).alias("pattern")).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def measured(df: DataFrame, dataset: str, stage: str, date_column: str = "ShiftDate") -> DataFrame:

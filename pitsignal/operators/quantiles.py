@@ -153,10 +153,3 @@ def grouped_stats(
         })
     return out
 
-
-def approximate_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000
-) -> DataFrame:
-    """The sketch-based variant for exploratory use on very large tables."""
-    q = F.percentile_approx(value, [float(p) for p in probs], accuracy)
-    return df.groupBy(*keys).agg(q.alias("quantiles"))

@@ -89,7 +89,10 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataF
     from pitsignal.session import checkpoint_root
 
     checkpoint_root(df.sparkSession)
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).checkpoint()
+    # A hash of the whole row ends the order, so rows of one hot value are spread over partitions, too.
+    tail = "__tail"
+    tailed = df.withColumn(tail, F.xxhash64(*df.columns))
+    placed = tailed.repartitionByRange(*order, tail).sortWithinPartitions(*order, tail).drop(tail).checkpoint()
     placed = placed.withColumns({
         "__part": F.spark_partition_id(),
         "__seq": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,18 +11,21 @@ from pitsignal.functions.times import parse_iso, year_month
 from pitsignal.operators import activity, distribution, filters, profile, quality
 from pitsignal.operators.shaping import columns_of_kind
 
-SCATTER_ROWS = 10_000
-MAP_ROWS = 5_000
 LOW_COMPLETENESS = 98.0
 PERFORMANCE = ["Speed", "RPM", "FuelLevel"]
 
 
 def truck_report(
-    tables: Mapping[str, DataFrame], truck: str | None = None, key: str | None = None
+    tables: Mapping[str, DataFrame],
+    truck: str | None = None,
+    key: str | None = None,
+    scatter_rows: int | None = None,
+    map_rows: int | None = None,
 ) -> dict[str, DataFrame]:
     """Summary, quality, activity, distributions, positions and correlations of a truck.
 
-    ``key`` names a column that identifies sensor rows, which makes the samples repeatable.
+    The scatter and map tables have all rows, or a sample of the given number. A sample goes by the
+    digest of ``key``, a column that identifies sensor rows, or else of all columns.
     """
     if truck is not None:
         tables = {
@@ -42,7 +45,9 @@ def truck_report(
     if "ShiftDate" in sensor.columns:
         out["daily_activity"] = activity.daily_counts(sensor, "ShiftDate")
     if "TimeStamp" in sensor.columns:
-        hour = F.coalesce(F.substring("TimeStamp", 1, 2).try_cast("int"), F.lit(0))
+        timed = dict(sensor.dtypes)["TimeStamp"].startswith("timestamp")
+        hour = F.hour("TimeStamp") if timed else F.substring("TimeStamp", 1, 2).try_cast("int")
+        hour = F.coalesce(hour, F.lit(0))
         out["hourly_activity"] = sensor.groupBy(hour.alias("hour")).agg(
             F.count(F.lit(1)).alias("n")
         )
@@ -53,20 +58,25 @@ def truck_report(
         out[f"performance.{c}.histogram"] = distribution.auto_histogram(sensor, c)
         out[f"performance.{c}.density"] = distribution.kernel_density(sensor, c)
     if {"RPM", "Speed"} <= set(sensor.columns):
-        out["scatter"] = activity.sample_rows(
-            sensor.select(*{key or "RPM", *measured}), key or "RPM", SCATTER_ROWS
-        )
+        shown = [*([key] if key else []), *[c for c in measured if c != key]]
+        out["scatter"] = _sampled(sensor, key, shown, scatter_rows)
     if {"Latitude", "Longitude"} <= set(sensor.columns):
         placed = sensor.filter(filters.valid_position("Latitude", "Longitude"))
         out["positions"] = placed.agg(F.count(F.lit(1)).alias("rows"))
-        columns = [c for c in (key, "Latitude", "Longitude", "Speed") if c in sensor.columns]
-        out["map"] = activity.sample_rows(placed.select(*columns), key or "Latitude", MAP_ROWS)
+        shown = list(dict.fromkeys(c for c in (key, "Latitude", "Longitude", "Speed") if c in sensor.columns))
+        out["map"] = _sampled(placed, key, shown, map_rows)
     numeric = columns_of_kind(sensor, "number")
     if len([c for c in numeric if not c.startswith("Shift")]) >= 2:
         out["correlation"] = profile.correlation_matrix(sensor, numeric, triangle=True)
     return out
 
 
+def _sampled(df: DataFrame, key: str | None, columns: list[str], rows: int | None) -> DataFrame:
+    if rows is None:
+        return df.select(*columns)
+    return activity.sample_rows(df, key or df.columns, rows).select(*columns)
+
+
 def telemetry_report(
     df: DataFrame, ts: str = "created_at_local", value: str = "value"
 ) -> dict[str, DataFrame]:
@@ -134,14 +144,3 @@ def comparison(
         }),
     }
 
-
-def quality_summary(tables: Mapping[str, DataFrame], columns: Sequence[str] = ()) -> DataFrame:
-    """Completeness of several datasets in one table."""
-    parts = [
-        quality.completeness(t.select(*columns) if columns else t).withColumn("dataset", F.lit(n))
-        for n, t in tables.items()
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

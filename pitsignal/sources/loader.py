@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.layouts import LAYOUTS, text_schema
+from pitsignal.layouts import LAYOUTS, TRAINING_LAYOUTS, text_schema
 from pitsignal.plans.wide import parse_dates
 from pitsignal.sources import columnar, delimited, files, objects, workbook
 
@@ -97,9 +97,9 @@ def load_datasets(
 
 
 def load_training(
-    spark: SparkSession, base: str, truck: str, layouts: Mapping[str, Sequence[str]] = LAYOUTS
+    spark: SparkSession, base: str, truck: str, layouts: Mapping[str, Sequence[str]] = TRAINING_LAYOUTS
 ) -> dict[str, DataFrame]:
-    """The older layout: comma files without header, long rows dropped, times parsed."""
+    """The older layouts: comma files without header, long rows dropped, times parsed."""
     if files.list_files(spark, files.training_pattern(base, "*", truck)).isEmpty():
         raise ValueError(f"no files for truck {truck}")
     out = {}

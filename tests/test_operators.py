@@ -78,8 +78,7 @@ def test_completeness_and_patterns(spark, small):
     assert got == {"id": 100.0, "a": 50.0, "b": 50.0, "t": 50.0}
     assert quality.completeness(small, 98).count() == 3
     assert {r["column"]: r["nulls"] for r in quality.null_counts(small).collect()}["b"] == 2
-    assert quality.null_patterns(small).count() == 0
-    assert quality.null_patterns(small, 3).count() == 4
+    assert quality.null_patterns(small).count() == 4
     assert quality.completeness(spark.createDataFrame([(float("nan"),), (1.0,)], "a double")).first()["percent"] == 50.0
 
 

@@ -118,6 +118,49 @@ def test_truck_report(spark, sensor):
     assert "daily_activity" not in reports.truck_report({"time_model": sensor})
 
 
+def test_report_hours_and_samples(spark):
+    df = spark.range(5000).select(
+        F.lit("T-1").alias("Equipment"), F.timestamp_seconds(F.col("id") * 60).cast("timestamp_ntz").alias("TimeStamp"),
+        (F.col("id") % 5).cast("double").alias("RPM"), F.col("id").cast("double").alias("Speed"),
+        F.lit(1.0).alias("Latitude"), F.lit(2.0).alias("Longitude"),
+    )
+    out = reports.truck_report({"sensor": df}, scatter_rows=500, map_rows=100)
+    assert {r["hour"] for r in out["hourly_activity"].collect()} == set(range(24))
+    got = out["scatter"].collect()
+    assert len(got) == 500 and {r["RPM"] for r in got} == {0.0, 1.0, 2.0, 3.0, 4.0}
+    assert out["map"].count() == 100
+    assert reports.truck_report({"sensor": df})["scatter"].count() == 5000
+
+
+def test_shared_folder_is_demanded_on_a_cluster(spark):
+    from pitsignal import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "spark://host:7077"}.get(key, default)
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_root(Session())
+
+
+def test_hot_value_spans_partitions(spark):
+    from pitsignal.operators.shaping import number_rows
+
+    df = spark.range(4000).select(F.lit(1).alias("k"), "id").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    placed = number_rows(df, ["k"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert placed.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(r["idx"] for r in placed.collect()) == list(range(4000))
+
+
 def test_telemetry_report_needs_a_time(spark):
     df = spark.createDataFrame([("x", "rpm", 1.0, "T-1", "F", 2.0)], RAW)
     with pytest.raises(TypeError):

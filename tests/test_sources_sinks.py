@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pitsignal.layouts import CYCLE_COLUMNS, SENSOR_COLUMNS
+from pitsignal.layouts import CYCLE_COLUMNS, CYCLE_OLD_COLUMNS, SENSOR_COLUMNS
 from pitsignal.sinks import files as sinks
 from pitsignal.sinks.workbook import write_book, write_workbooks
 from pitsignal.sources import columnar, delimited, files, loader, objects, tables, workbook
@@ -101,6 +101,10 @@ def test_training_layout(spark, tmp_path):
     assert [None if r["TimeStamp"] is None else r["TimeStamp"].hour for r in got] == [7, None]
     with pytest.raises(ValueError):
         loader.load_training(spark, str(tmp_path), "T-1")
+    put(f"{tmp_path}/train_data_cycle/test_1/T-210_1.csv", ",".join(f"v{i}" for i in range(36)) + "\n")
+    cycle = loader.load_training(spark, str(tmp_path), "t-210")["cycle"]
+    assert cycle.columns == CYCLE_OLD_COLUMNS
+    assert cycle.first()["travel_empty_seconds"] == "v0" and cycle.first()["dump_location"] == "v34"
 
 
 def test_round_trip_of_extractor_frame(spark, tmp_path):
