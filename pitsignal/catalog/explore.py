@@ -146,7 +146,7 @@ def quantiles_split(spark, sf_dir):
     from pitsignal.operators.quantiles import exact_quantiles
 
     q = exact_quantiles(
-        table(spark, sf_dir, "events"), ["event_type"], "value", [0.05, 0.5, 0.95], group_limit=200
+        table(spark, sf_dir, "events"), ["event_type"], "value", [0.05, 0.5, 0.95]
     )
     return q.select("event_type", *[
         F.col("quantiles")[i].alias(n) for i, n in enumerate(("p05", "p50", "p95"))

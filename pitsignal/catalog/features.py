@@ -171,9 +171,9 @@ def rolling_mean_chunked(spark, sf_dir):
        + f"""SELECT event_id, {dec('''avg(value) OVER (PARTITION BY truck, metric ORDER BY created_at_local
            ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)''', 'value_rolling')} FROM telemetry""")
 def rolling_mean(spark, sf_dir):
-    """The same, cut only when a series is too big for one task."""
+    """The same over raw rows, cut into hours."""
     rows = telemetry(spark, sf_dir).select("event_id", "truck", "metric", TS, "value")
-    out = sequence.trailing_mean(rows, ["truck", "metric"], TS, "value", "value_rolling", 5, "auto")
+    out = sequence.trailing_mean(rows, ["truck", "metric"], TS, "value", "value_rolling", 5, "hour")
     return out.select("event_id", "value_rolling")
 
 

@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.functions.times import bucket_start, micros
+from pitsignal.functions.times import bucket_start
 from pitsignal.layouts import SPEED_BANDS
-from pitsignal.operators.keyed import GROUP_LIMIT
-from pitsignal.operators.quantiles import exact_quantiles, grouped_stats
+from pitsignal.operators.quantiles import exact_quantiles
 from pitsignal.operators.sequence import gap_counts, trailing_mean
 
 DAY_SECONDS = 86_400
@@ -46,9 +45,7 @@ def optimal_frequency(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
-def bucket_features(
-    df: DataFrame, ts: str, step_seconds: int, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def bucket_features(df: DataFrame, ts: str, step_seconds: int) -> DataFrame:
     """Value and speed statistics per truck, metric and time bucket."""
     origin = None
     if DAY_SECONDS % step_seconds:
@@ -57,16 +54,13 @@ def bucket_features(
         *SERIES, bucket_start(ts, step_seconds, origin).alias("timestamp"),
         "value", "speed", "fleet", F.col(ts).alias("__at"),
     )
-    return grouped_stats(
-        rows, [*SERIES, "timestamp"],
-        [
-            F.avg("value").alias("value"), F.max("value").alias("value_max"),
-            F.avg("speed").alias("speed_mean"), F.stddev_samp("speed").alias("speed_std"),
-            F.max("speed").alias("speed_max"),
-            F.min_by("fleet", F.struct("__at", "fleet")).alias("fleet"),
-        ],
-        {"value_p95": ("value", 0.95)},
-        group_limit,
+    # A group is one series in one bucket, so its values fit in a task.
+    return rows.groupBy(*SERIES, "timestamp").agg(
+        F.avg("value").alias("value"), F.max("value").alias("value_max"),
+        F.avg("speed").alias("speed_mean"), F.stddev_samp("speed").alias("speed_std"),
+        F.max("speed").alias("speed_max"),
+        F.min_by("fleet", F.struct("__at", "fleet")).alias("fleet"),
+        F.percentile("value", F.lit(0.95)).alias("value_p95"),
     )
 
 
@@ -79,10 +73,10 @@ def flag_outside_sigmas(df: DataFrame, column: str, out: str, sigmas: float = 3.
     return df.withColumn(out, F.coalesce(outside, F.lit(False)).cast("int"))
 
 
-def band_edges(df: DataFrame, column: str, bands: int = 5, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def band_edges(df: DataFrame, column: str, bands: int = 5) -> DataFrame:
     """One row ``edges``: the inner quantile edges, nearly equal neighbours collapsed."""
     probs = [i / bands for i in range(bands + 1)]
-    q = exact_quantiles(df, [], column, probs, group_limit=group_limit)
+    q = exact_quantiles(df, [], column, probs)
     edges = F.col("quantiles")
     positions = F.sequence(F.lit(0), F.lit(bands))
     apart = F.filter(
@@ -99,10 +93,9 @@ def speed_bands(
     column: str = "speed_mean",
     out: str = "speed_category",
     labels: Sequence[str] = SPEED_BANDS,
-    group_limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Label of the quantile band of a column, left-closed; null stays null."""
-    edges = band_edges(df, column, len(labels), group_limit).scalar()
+    edges = band_edges(df, column, len(labels)).scalar()
     passed = [
         F.coalesce((F.get(edges, F.lit(i)) <= F.col(column)).cast("int"), F.lit(0))
         for i in range(len(labels) - 1)
@@ -114,19 +107,13 @@ def speed_bands(
     )
 
 
-def rolling_value(
-    df: DataFrame, rows: int = 5, step_seconds: int = DAY_SECONDS, limit: int = GROUP_LIMIT
-) -> DataFrame:
+def rolling_value(df: DataFrame, rows: int = 5, step_seconds: int = DAY_SECONDS) -> DataFrame:
     """Trailing mean of ``value`` per truck and metric over the bucket table.
 
-    A series has at most one row per bucket, so its length is bounded by the time span;
-    only a span of more than ``limit`` buckets is cut into days or months.
+    A series has one row per bucket at most; it is cut into years, months or days, of some thousand
+    buckets at most for steps of a minute and more.
     """
-    ends = df.agg(F.min(micros("timestamp")), F.max(micros("timestamp"))).first()
-    span = 0 if ends[0] is None else (ends[1] - ends[0]) // (step_seconds * 1_000_000)
-    unit = None
-    if span > limit:
-        unit = "day" if step_seconds < 3600 else "month"
+    unit = "day" if step_seconds < 600 else "month" if step_seconds < DAY_SECONDS else "year"
     return trailing_mean(df, list(SERIES), "timestamp", "value", "value_rolling", rows, unit)
 
 

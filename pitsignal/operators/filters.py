@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pitsignal.functions.times import add_days, col
-from pitsignal.operators.keyed import GROUP_LIMIT
 from pitsignal.operators.quantiles import exact_quantiles
 
 
@@ -82,14 +81,12 @@ def split_valid(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col(column).isNotNull()), df.filter(F.col(column).isNull())
 
 
-def iqr_outliers(
-    df: DataFrame, value: str, factor: float = 1.5, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def iqr_outliers(df: DataFrame, value: str, factor: float = 1.5) -> DataFrame:
     """Rows strictly outside the quartiles of the whole column by ``factor`` ranges.
 
     The fences are scalar subqueries, so the filter is a plain comparison at the scan.
     """
-    q = exact_quantiles(df, [], value, [0.25, 0.75], group_limit=group_limit)
+    q = exact_quantiles(df, [], value, [0.25, 0.75])
     q1, q3 = F.col("quantiles")[0], F.col("quantiles")[1]
     low = q.select(q1 - factor * (q3 - q1)).scalar()
     high = q.select(q3 + factor * (q3 - q1)).scalar()

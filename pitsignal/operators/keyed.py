@@ -1,37 +1,10 @@
-"""Helpers shared by the grouped operators: sizes, joins on keys, row melting."""
+"""Helpers shared by the grouped operators: joins on keys, row melting."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows one task may hold for one group before the group is split.
-GROUP_LIMIT = 1_000_000
-
-
-def row_total(df: DataFrame) -> int:
-    return df.count()
-
-
-def largest_group(df: DataFrame, keys: list) -> int:
-    """Rows of the biggest group, counted with map-side partial counts."""
-    if not keys:
-        return df.count()
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
-    return top.first()[0] or 0
-
-
-def fits(
-    df: DataFrame, keys: list, limit: int = GROUP_LIMIT, rows_at_most: int | None = None
-) -> bool:
-    """Whether every group is small enough for one task.
-
-    A bound known from the table's source saves the check; else the total is tried first.
-    """
-    if rows_at_most is not None and rows_at_most <= limit:
-        return True
-    return row_total(df) <= limit or (bool(keys) and largest_group(df, keys) <= limit)
-
 
 def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on same-named keys in which null matches null; keys come from the left."""

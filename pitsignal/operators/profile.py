@@ -7,44 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.operators.keyed import GROUP_LIMIT, fits, spread_join
-from pitsignal.operators.quantiles import exact_quantiles, grouped_stats
+from pitsignal.operators.keyed import join_keys, spread_join
+from pitsignal.operators.quantiles import bounded_quantiles, exact_quantiles
 
 
-def describe_numeric(
-    df: DataFrame,
-    columns: Sequence[str],
-    group_limit: int = GROUP_LIMIT,
-    rows_at_most: int | None = None,
-) -> DataFrame:
+def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max, one row per column.
 
-    All columns share one aggregation while the table fits a task's quantile buffer.
+    The plain statistics of all columns are one aggregation, and the quartiles of all are one set of scans of
+    the columns laid below each other.
     """
-    if fits(df, [], group_limit, rows_at_most):
-        aggs = []
-        for c in columns:
-            aggs += _moments(c, c)
-            q = F.percentile(c, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-            aggs.append(q.alias(f"{c}__q"))
-        one = df.agg(*aggs)
-    else:
-        one = df.agg(*[m for c in columns for m in _moments(c, c)])
-        one = one.withColumns({
-            f"{c}__q": exact_quantiles(df, [], c, [0.25, 0.5, 0.75], group_limit=group_limit)
-            .select("quantiles").scalar()
-            for c in columns
-        })
+    one = df.agg(*[m for c in columns for m in _moments(c, c)])
     rows = [
         F.struct(
             F.lit(c).alias("column"), F.col(f"{c}__count").alias("count"),
-            *[F.col(f"{c}__{s}").alias(s) for s in ("mean", "std", "min")],
-            *[F.col(f"{c}__q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))],
-            F.col(f"{c}__max").alias("max"),
+            *[F.col(f"{c}__{s}").alias(s) for s in ("mean", "std", "min", "max")],
         )
         for c in columns
     ]
-    return one.select(F.inline(F.array(*rows)))
+    plain = one.select(F.inline(F.array(*rows)))
+    entries = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("__value")) for c in columns]
+    long = df.select(F.inline(F.array(*entries)))
+    q = exact_quantiles(long, ["column"], "__value", [0.25, 0.5, 0.75], few=True)
+    named = q.select("column", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    return join_keys(plain, named, ["column"], "left").select(
+        "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
+    )
 
 
 def _moments(column: str, prefix: str) -> list:
@@ -56,20 +44,16 @@ def _moments(column: str, prefix: str) -> list:
     return [v.alias(f"{prefix}__{k}") for k, v in stats.items()]
 
 
-def describe_grouped(
-    df: DataFrame, keys: Sequence[str], value: str, group_limit: int = GROUP_LIMIT
-) -> DataFrame:
+def describe_grouped(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """The same statistics of one column per group."""
-    v = F.col(value)
-    return grouped_stats(
-        df, list(keys),
-        [
-            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-            F.min(v).alias("min"), F.max(v).alias("max"),
-        ],
-        {"q25": (value, 0.25), "q50": (value, 0.5), "q75": (value, 0.75)},
-        group_limit,
+    keys, v = list(keys), F.col(value)
+    plain = df.groupBy(*keys).agg(
+        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
     )
+    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75])
+    named = q.select(*keys, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    return join_keys(plain, named, keys, "left")
 
 
 def describe_temporal(df: DataFrame, column: str) -> DataFrame:
@@ -186,8 +170,7 @@ def smallest_rows(df: DataFrame, column: str) -> DataFrame:
 
 
 def box_stats(
-    df: DataFrame, keys: Sequence[str], value: str, factor: float = 1.5,
-    group_limit: int = GROUP_LIMIT,
+    df: DataFrame, keys: Sequence[str], value: str, factor: float = 1.5
 ) -> DataFrame:
     """Quartiles, whisker ends and outlier count per group.
 
@@ -197,7 +180,7 @@ def box_stats(
     freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(
         F.count(F.lit(1)).alias("__n")
     )
-    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], group_limit=group_limit)
+    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75])
     fences = q.select(
         *keys, *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))]
     ).withColumns({
@@ -215,8 +198,8 @@ def box_stats(
     )
 
 
-def median_series(df: DataFrame, keys: Sequence[str], value: str, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Median of a column per group, such as per time and metric."""
-    q = exact_quantiles(df, list(keys), value, [0.5], group_limit=group_limit)
+def median_series(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Median of a column per time and metric, or other groups that are small by nature."""
+    q = bounded_quantiles(df, list(keys), value, [0.5])
     return q.select(*keys, F.col("quantiles")[0].alias("median"))
 

@@ -1,10 +1,10 @@
-"""Exact quantiles (linear interpolation) that stay exact when a group is huge.
+"""Exact quantiles (linear interpolation) of groups of any size, on one route.
 
-Groups up to ``GROUP_LIMIT`` rows use the built-in ``percentile``, which holds the
-distinct values of a group in one task. Larger groups are narrowed first: a sketch
-gives a bracket around each wanted rank, exact counts say which interval really holds
-the rank, and only the values of those intervals are ordered. The sketch decides speed
-only; the counts decide the answer.
+The range of each group is cut into ``CELLS`` equal cells and the cells are counted; only a cell that
+holds a wanted rank is looked at again, first cut once more and then value by value. A group has at most two
+such cells per quantile, so what goes from step to step is one small row per group, and what is ordered is
+about a sixteen-millionth part of a group's range. No choice depends on the size of the data, and no job runs before
+the result is asked for.
 """
 
 from __future__ import annotations
@@ -12,42 +12,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitsignal.operators.keyed import GROUP_LIMIT, fits, join_keys, spread_join
+from pitsignal.operators.keyed import join_keys
 
-_SKETCH_ACCURACY = 100_000
-_BRACKET = 2.0 / _SKETCH_ACCURACY
-_EVEN_CUTS = [i / 64 for i in range(1, 64)]
+CELLS = 4096
+CUTS = 2
 
 
-def _cut_points(probs: list[float], weighted: bool) -> list[float]:
-    if weighted:
-        return _EVEN_CUTS
-    edges = {min(1.0, max(0.0, p + s)) for p in probs for s in (-_BRACKET, _BRACKET)}
-    return sorted(edges)
+def _cell_of(low: Column, high: Column) -> Column:
+    """Number of the cell that holds ``__v``; never falls as the value grows."""
+    share = (F.col("__v") - low) / (high - low)
+    return F.when(high > low, F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("int")
 
 
-def _narrowed_quantiles(
-    rows: DataFrame, keys: list[str], probs: list[float], weighted: bool
+def _with_ranks(cells: DataFrame, group: list[str], part: list[str]) -> DataFrame:
+    """Counts of ordered parts to those that hold wanted ranks.
+
+    ``__base`` is the number of smaller values in earlier parts of the group, ``__ranks`` the wanted ranks.
+    """
+    upto = F.sum("__n").over(Window.partitionBy(*group, "__start").orderBy(*part))
+    placed = cells.withColumn("__base", F.col("__base") + upto - F.col("__n"))
+    held = F.filter("__ranks", lambda r: (r >= F.col("__base")) & (r < F.col("__base") + F.col("__n")))
+    return placed.withColumn("__ranks", held).filter(F.size("__ranks") > 0)
+
+
+def _inside(rows: DataFrame, cells: DataFrame, group: list[str], few: bool, most: int) -> DataFrame:
+    """The rows that lie in a wanted cell, of which a group has ``most``, with that cell's columns."""
+    own = F.struct("__low", "__high", "__base", "__ranks")
+    per_group = cells.groupBy(*group).agg(F.collect_list(own).alias("__cells"))
+    # One row per group; where the caller knows the groups to be few, a row each is all that is broadcast.
+    joined = join_keys(rows, F.broadcast(per_group) if few else per_group, group)
+    each = [F.get("__cells", F.lit(i)) for i in range(most)]
+    own_cell = F.coalesce(*[F.when(F.col("__v").between(c["__low"], c["__high"]), c) for c in each])
+    found = joined.withColumn("__cell", own_cell).filter(F.col("__cell").isNotNull())
+    return found.select(*group, "__v", "__n", "__cell.*").withColumnRenamed("__low", "__start")
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], weight: str | None = None, few: bool = False
 ) -> DataFrame:
-    """Exact quantiles of ``rows(keys, __v, __n)`` for groups too big for one task."""
-    group = keys or ["__all"]
-    rows = rows if keys else rows.withColumn("__all", F.lit(0))
+    """One row per key with ``quantiles``, an array in the order of ``probs``.
 
-    cuts = rows.groupBy(*group).agg(
-        F.percentile_approx("__v", _cut_points(probs, weighted), _SKETCH_ACCURACY).alias("__cuts")
+    With ``weight`` each row stands for that many equal values. Nulls are left out. ``few`` says that the number of
+    keys is fixed by the caller, as with columns, and does not grow with the data.
+    """
+    n = F.col(weight) if weight else F.lit(1)
+    group, few = (keys, few) if keys else (["__all"], True)
+    named = df if keys else df.withColumn("__all", F.lit(0))
+    rows = named.filter(F.col(value).isNotNull()).select(
+        *group, F.col(value).cast("double").alias("__v"), n.cast("bigint").alias("__n")
+    )
+    total = rows.groupBy(*group).agg(
+        F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__n").alias("__total")
     )
-    placed = spread_join(rows, cuts, group, ["__v"]).withColumn(
-        "__b", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
-    ).drop("__cuts")
-    cell = [*group, "__b"]
-
-    per_cell = placed.groupBy(*cell).agg(F.sum("__n").alias("__cell_n"))
-    upto = Window.partitionBy(*group).orderBy("__b")
-    whole = Window.partitionBy(*group)
-    per_cell = per_cell.withColumns({
-        "__before": F.sum("__cell_n").over(upto) - F.col("__cell_n"),
-        "__total": F.sum("__cell_n").over(whole),
-    })
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("__total") - 1)
@@ -55,101 +71,39 @@ def _narrowed_quantiles(
     ranks = F.array_distinct(F.array(
         *[f(position(p)).cast("bigint") for p in probs for f in (F.floor, F.ceil)]
     ))
-    wanted = per_cell.withColumn("__ranks", F.filter(
-        F.transform(ranks, lambda r: r - F.col("__before")),
-        lambda r: (r >= 0) & (r < F.col("__cell_n")),
-    )).filter(F.size("__ranks") > 0)
-
-    inside = spread_join(
-        placed, wanted.select(*cell, "__ranks", "__before", "__total"), cell, ["__v"]
-    )
-    values = inside.groupBy(*cell, "__v").agg(
-        F.sum("__n").alias("__n"), F.first("__ranks").alias("__ranks"),
-        F.first("__before").alias("__before"), F.first("__total").alias("__total"),
-    )
-    running = F.sum("__n").over(Window.partitionBy(*cell).orderBy("__v"))
-    hits = values.withColumn("__upto", running).withColumn("__hit", F.explode(F.filter(
-        "__ranks",
-        lambda r: (r >= F.col("__upto") - F.col("__n")) & (r < F.col("__upto")),
-    )))
+    cells = total.withColumns({"__ranks": ranks, "__base": F.lit(0).cast("bigint")})
+    kept = [F.first(c).alias(c) for c in ("__base", "__ranks")]
+    for _ in range(CUTS):
+        inside = _inside(rows, cells, group, few, 2 * len(probs))
+        counted = inside.withColumn("__part", _cell_of(F.col("__start"), F.col("__high"))).groupBy(*group, "__start", "__part").agg(
+            F.sum("__n").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), *kept
+        )
+        cells = _with_ranks(counted, group, ["__part"])
+    values = _inside(rows, cells, group, few, 2 * len(probs)).groupBy(*group, "__start", "__v").agg(F.sum("__n").alias("__n"), *kept)
+    hits = _with_ranks(values, group, ["__v"]).select(*group, "__v", F.explode("__ranks").alias("__rank"))
     found = hits.groupBy(*group).agg(
-        F.map_from_entries(F.collect_set(
-            F.struct((F.col("__hit") + F.col("__before")).alias("k"), F.col("__v").alias("v"))
-        )).alias("__at"),
-        F.max("__total").alias("__total"),
+        F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at")
     )
+    placed = join_keys(found, total.select(*group, "__total"), group)
 
     def interpolated(p: float) -> Column:
         pos, at = position(p), F.col("__at")
         low = F.element_at(at, F.floor(pos).cast("bigint"))
         high = F.element_at(at, F.ceil(pos).cast("bigint"))
-        weight = pos - F.floor(pos)
-        return F.when(low == high, low).otherwise(low * (1 - weight) + high * weight)
+        share = pos - F.floor(pos)
+        return F.when(low == high, low).otherwise(low * (1 - share) + high * share)
 
-    return found.select(*keys, F.array(*[interpolated(p) for p in probs]).alias("quantiles"))
+    return placed.select(*keys, F.array(*[interpolated(p) for p in probs]).alias("quantiles"))
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    weight: str | None = None,
-    group_limit: int = GROUP_LIMIT,
-    rows_at_most: int | None = None,
+def bounded_quantiles(
+    df: DataFrame, keys: list[str], value: str, probs: list[float], weight: str | None = None
 ) -> DataFrame:
-    """One row per key with ``quantiles``, an array in the order of ``probs``.
+    """The same by the built-in aggregate, for groups that are small by their nature.
 
-    With ``weight`` each row stands for that many equal values. Nulls are left out.
-    ``rows_at_most`` is a row count the caller knows not to be exceeded.
+    Such are the rows of one series in one time bucket or at one time; a group's distinct values are held
+    in one task.
     """
     n = F.col(weight) if weight else F.lit(1)
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("__v"), n.cast("bigint").alias("__n")
-    )
-
-    def built_in(part: DataFrame) -> DataFrame:
-        q = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs]), F.col("__n"))
-        return part.groupBy(*keys).agg(q.alias("quantiles"))
-
-    if fits(df.select(*keys), keys, group_limit, rows_at_most):
-        return built_in(rows)
-    if not keys:
-        return _narrowed_quantiles(rows, keys, probs, weight is not None)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    big = sizes.filter(F.col("__size") > group_limit)
-    marked = spread_join(rows, big, keys, ["__v"], "left")
-    hot = marked.filter(F.col("__size").isNotNull()).drop("__size")
-    cold = marked.filter(F.col("__size").isNull()).drop("__size")
-    return built_in(cold).unionByName(
-        _narrowed_quantiles(hot, keys, probs, weight is not None)
-    )
-
-
-def grouped_stats(
-    df: DataFrame,
-    keys: list[str],
-    aggregates: list[Column],
-    quantiles: dict[str, tuple[str, float]],
-    group_limit: int = GROUP_LIMIT,
-) -> DataFrame:
-    """Plain aggregates and named quantiles of one grouping.
-
-    One aggregation when every group fits in a task; otherwise the quantiles of each
-    column are computed apart and joined on the keys.
-    """
-    if fits(df, keys, group_limit):
-        built_in = [F.percentile(c, F.lit(float(p))).alias(a) for a, (c, p) in quantiles.items()]
-        return df.groupBy(*keys).agg(*aggregates, *built_in)
-    out = df.groupBy(*keys).agg(*aggregates)
-    by_column: dict[str, list[tuple[str, float]]] = {}
-    for alias, (column, p) in quantiles.items():
-        by_column.setdefault(column, []).append((alias, p))
-    for column, wanted in by_column.items():
-        q = exact_quantiles(df, keys, column, [p for _, p in wanted], group_limit=group_limit)
-        named = q.select(*keys, *[F.col("quantiles")[i].alias(a) for i, (a, _) in enumerate(wanted)])
-        out = join_keys(out, named, keys, "left") if keys else out.withColumns({
-            a: named.select(a).scalar() for a, _ in wanted
-        })
-    return out
-
+    q = F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in probs]), n)
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(q.alias("quantiles"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsignal.functions.times import seconds_between
-from pitsignal.operators.keyed import GROUP_LIMIT, fits, join_keys, largest_group, row_total
+from pitsignal.operators.keyed import join_keys
 
 Chunker = Callable[[Column], Column]
 
@@ -27,34 +27,13 @@ def by_range(width: int) -> Chunker:
     return lambda order: F.floor(order / F.lit(width)).cast("bigint")
 
 
-UNITS = ("day", "hour", "minute", "second")
+# Width of the ranges into which an integer order is cut.
+RANGE_ROWS = 1_000_000
 
 
-def fitting_units(df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT) -> list[str]:
-    """Units from the day down to the coarsest one whose chunks hold at most ``limit`` rows."""
-    for depth in range(1, len(UNITS)):
-        chunk = [*[F.col(k) for k in keys], F.date_trunc(UNITS[depth - 1], F.col(ts))]
-        if largest_group(df, chunk) <= limit:
-            return list(UNITS[:depth])
-    return list(UNITS)
-
-
-def time_chunks(
-    df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT, rows_at_most: int | None = None
-) -> list[Chunker]:
-    """Chunks for stitching, finest first.
-
-    A small table needs none when it has keys to partition by, and days when it has not.
-    """
-    rows = row_total(df) if rows_at_most is None else rows_at_most
-    if rows <= limit:
-        return [] if keys else [by_unit("day")]
-    return [by_unit(u) for u in reversed(fitting_units(df, keys, ts, limit))]
-
-
-def order_chunks(df: DataFrame, keys: list[str], width: int) -> list[Chunker]:
-    """Ranges of a unique integer order, none for a small table with keys."""
-    return [] if keys and row_total(df) <= width else [by_range(width)]
+def time_chunks() -> list[Chunker]:
+    """Chunks for stitching, finest first: hours of a key, then its days."""
+    return [by_unit("hour"), by_unit("day")]
 
 
 def stitched_lag(
@@ -100,15 +79,9 @@ def linked_times(times: DataFrame, keys: list[str], chunkers: list[Chunker]) ->
     return linked.withColumn("gap", seconds_between("time", "previous")).drop("previous")
 
 
-def gap_counts(
-    df: DataFrame, keys: list[str], ts: str, limit: int = GROUP_LIMIT, rows_at_most: int | None = None
-) -> DataFrame:
-    """How often each gap in seconds occurs per key; repeated times are gaps of zero.
-
-    The chunks are sized by the rows of the table, of which its distinct times are a part.
-    """
-    chunkers = time_chunks(df, keys, ts, limit, rows_at_most)
-    gaps = linked_times(distinct_times(df, keys, ts), keys, chunkers)
+def gap_counts(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
+    """How often each gap in seconds occurs per key; repeated times are gaps of zero."""
+    gaps = linked_times(distinct_times(df, keys, ts), keys, time_chunks())
     entries = F.array(
         F.struct(F.col("gap").alias("gap"), F.lit(1).cast("bigint").alias("n")),
         F.struct(F.lit(0.0).alias("gap"), (F.col("n") - 1).alias("n")),
@@ -121,17 +94,17 @@ def gap_counts(
     )
 
 
-def row_gaps(df: DataFrame, keys: list[str], order: str, ts: str, width: int = GROUP_LIMIT) -> DataFrame:
+def row_gaps(df: DataFrame, keys: list[str], order: str, ts: str, width: int = RANGE_ROWS) -> DataFrame:
     """Every row with ``gap_seconds`` to the row before it, by a unique integer ``order``."""
-    linked = stitched_lag(df, keys, order, ts, order_chunks(df, keys, width))
+    linked = stitched_lag(df, keys, order, ts, [by_range(width)])
     return linked.withColumn("gap_seconds", seconds_between(ts, "previous")).drop("previous")
 
 
 def order_violations(
-    df: DataFrame, keys: list[str], order: str, ts: str, width: int = GROUP_LIMIT
+    df: DataFrame, keys: list[str], order: str, ts: str, width: int = RANGE_ROWS
 ) -> DataFrame:
     """Rows per key whose time is before that of the row ahead of them."""
-    linked = stitched_lag(df, keys, order, ts, order_chunks(df, keys, width))
+    linked = stitched_lag(df, keys, order, ts, [by_range(width)])
     return linked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.col(ts) < F.col("previous")).alias("violations")
     )
@@ -148,12 +121,9 @@ def trailing_mean(
 ) -> DataFrame:
     """Mean of the current and up to ``rows - 1`` earlier rows, at least one row.
 
-    With ``unit`` (``day``, ``month``, ...) the rows of a key are cut into chunks and
-    each chunk is given the last rows of the chunks before it; ``auto`` cuts only when
-    some key is too big for one task, and then as finely as its busiest time needs.
+    With ``unit`` (``hour``, ``day``, ...) the rows of a key are cut into chunks and each chunk is
+    given the last rows of the chunks before it.
     """
-    if unit == "auto":
-        unit = None if fits(df, keys) else fitting_units(df, keys, ts)[-1]
     frame = (-(rows - 1), 0)
     if unit is None:
         w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(*frame)

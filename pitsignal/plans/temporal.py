@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +12,10 @@ from pitsignal.functions.times import parse_fixed, to_site_time
 from pitsignal.layouts import SITE_ZONE
 from pitsignal.operators.activity import daily_density
 from pitsignal.operators.filters import require_columns, split_valid
-from pitsignal.operators.keyed import GROUP_LIMIT, join_keys, row_total
+from pitsignal.operators.keyed import join_keys
 from pitsignal.operators.profile import describe_numeric, value_counts
 from pitsignal.operators.quality import valid_ratio
-from pitsignal.operators.quantiles import exact_quantiles
+from pitsignal.operators.quantiles import bounded_quantiles
 from pitsignal.operators.sequence import gap_counts
 
 
@@ -26,24 +25,16 @@ def parse_times(raw: DataFrame, ts: str = "created_at_local", zone: str = SITE_Z
     return raw.withColumn(ts, parsed).withColumn("local_time", to_site_time(ts, zone))
 
 
-def metric_gaps(
-    df: DataFrame,
-    ts: str,
-    keys: Sequence[str] = ("metric",),
-    limit: int = GROUP_LIMIT,
-    rows_at_most: int | None = None,
-) -> DataFrame:
-    """First and last time, rows, and median gap in seconds per metric; 0 for one row."""
+def metric_gaps(df: DataFrame, ts: str, keys: Sequence[str] = ("metric",)) -> DataFrame:
+    """First and last time, rows, and median gap in seconds per metric; 0 for one row.
+
+    The medians are taken over the counts of distinct gaps, of which a metric has few.
+    """
     keys = list(keys)
-    bound = row_total(df) if rows_at_most is None else rows_at_most
     spans = df.filter(F.col(ts).isNotNull()).groupBy(*keys).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")
     )
-    gaps = gap_counts(df, keys, ts, limit, bound)
-    if bound > limit:
-        # The gaps are counted once, for the size check and for the medians.
-        gaps = gaps.persist(StorageLevel.MEMORY_AND_DISK)
-    medians = exact_quantiles(gaps, keys, "gap", [0.5], "n", limit, bound).select(
+    medians = bounded_quantiles(gap_counts(df, keys, ts), keys, "gap", [0.5], "n").select(
         *keys, F.col("quantiles")[0].alias("__gap")
     )
     return join_keys(spans, medians, keys, "left").withColumn(
@@ -63,11 +54,6 @@ class TemporalReport:
         self.clean, bad = split_valid(self._parsed, ts)
         self.quarantine = bad.drop("local_time")
 
-    @cached_property
-    def rows_at_most(self) -> int:
-        """Rows of the raw table, which a scan knows without reading columns."""
-        return row_total(self._raw)
-
     @cached_property
     def quarantine_counts(self) -> DataFrame:
         return value_counts(self.quarantine, "metric")
@@ -78,7 +64,7 @@ class TemporalReport:
 
     @cached_property
     def metric_stats(self) -> DataFrame:
-        return metric_gaps(self.clean, self._ts, rows_at_most=self.rows_at_most)
+        return metric_gaps(self.clean, self._ts)
 
     @cached_property
     def density(self) -> DataFrame:
@@ -86,7 +72,7 @@ class TemporalReport:
 
     @cached_property
     def density_stats(self) -> DataFrame:
-        return describe_numeric(self.density, self._metrics, rows_at_most=self.rows_at_most)
+        return describe_numeric(self.density, self._metrics)
 
 
 def clean_temporal(

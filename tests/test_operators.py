@@ -63,7 +63,6 @@ def test_outliers_are_strictly_outside(spark):
     q1, q3 = np.quantile(values, [0.25, 0.75])
     want = [i for i, v in enumerate(values) if v < q1 - 1.5 * (q3 - q1) or v > q3 + 1.5 * (q3 - q1)]
     assert ids(filters.iqr_outliers(df, "v")) == want
-    assert ids(filters.iqr_outliers(df, "v", group_limit=2)) == want
     assert filters.iqr_outliers(df.limit(0), "v").count() == 0
 
 
@@ -111,13 +110,12 @@ def test_summary(spark, small):
 def test_describe(spark):
     values = [1.0, 2.0, 2.5, 9.0]
     df = spark.createDataFrame([(v, None) for v in values], "v double, empty double")
-    for limit in (1000, 2):
-        got = {r["column"]: r for r in profile.describe_numeric(df, ["v", "empty"], limit).collect()}
-        r = got["v"]
-        assert (r["count"], r["min"], r["max"]) == (4, 1.0, 9.0)
-        assert [r["q25"], r["q50"], r["q75"]] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
-        assert r["std"] == pytest.approx(np.std(values, ddof=1))
-        assert (got["empty"]["count"], got["empty"]["q50"]) == (0, None)
+    got = {r["column"]: r for r in profile.describe_numeric(df, ["v", "empty"]).collect()}
+    r = got["v"]
+    assert (r["count"], r["min"], r["max"]) == (4, 1.0, 9.0)
+    assert [r["q25"], r["q50"], r["q75"]] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
+    assert r["std"] == pytest.approx(np.std(values, ddof=1))
+    assert (got["empty"]["count"], got["empty"]["q50"]) == (0, None)
 
 
 def test_categorical_ties_and_nulls(spark):
@@ -147,11 +145,10 @@ def test_trend_and_least(spark):
     assert sorted(r["r"] for r in profile.smallest_rows(routes, "c").collect()) == ["E", "S"]
 
 
-@pytest.mark.parametrize("limit", [1000, 3])
-def test_box(spark, limit):
+def test_box(spark):
     values = [1.0, 2.0, 3.0, 4.0, 5.0, 30.0, 3.0]
     df = spark.createDataFrame([("m", v) for v in values] + [("n", 1.0)], "k string, v double")
-    got = {r["k"]: r for r in profile.box_stats(df, ["k"], "v", group_limit=limit).collect()}
+    got = {r["k"]: r for r in profile.box_stats(df, ["k"], "v").collect()}
     assert (got["m"]["whisker_low"], got["m"]["whisker_high"], got["m"]["outliers"]) == (1.0, 5.0, 1)
     assert got["m"]["median"] == np.median(values)
     assert (got["n"]["q1"], got["n"]["outliers"]) == (1.0, 0)

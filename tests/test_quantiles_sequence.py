@@ -5,9 +5,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitsignal.operators.quantiles import exact_quantiles, grouped_stats
+from pitsignal.operators.quantiles import bounded_quantiles, exact_quantiles
 from pitsignal.operators.sequence import (
-    by_range, by_unit, distinct_times, gap_counts, order_violations, row_gaps, stitched_lag, time_chunks,
+    by_range, by_unit, distinct_times, gap_counts, order_violations, row_gaps, stitched_lag,
     trailing_mean,
 )
 
@@ -32,35 +32,49 @@ def wanted(rows):
     return {k: np.quantile(vs, PROBS) for k, vs in groups.items()}
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 50, 1])
-def test_quantiles_per_key(spark, skewed, limit):
+@pytest.mark.parametrize("few", [False, True])
+def test_quantiles_per_key(spark, skewed, few):
     df, rows = skewed
-    got = {r["k"]: r["quantiles"] for r in exact_quantiles(df, ["k"], "v", PROBS, group_limit=limit).collect()}
+    got = {r["k"]: r["quantiles"] for r in exact_quantiles(df, ["k"], "v", PROBS, few=few).collect()}
     want = wanted(rows)
     assert set(got) == set(want)
     for k in want:
         assert got[k] == pytest.approx(list(want[k]))
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 10])
-def test_quantiles_of_all_rows_and_weighted(spark, skewed, limit):
+def test_quantiles_of_all_rows_and_weighted(spark, skewed):
     df, rows = skewed
     want = np.quantile([v for _, v in rows if v is not None], PROBS)
-    assert exact_quantiles(df, [], "v", PROBS, group_limit=limit).first()["quantiles"] == pytest.approx(list(want))
+    assert exact_quantiles(df, [], "v", PROBS).first()["quantiles"] == pytest.approx(list(want))
     counted = df.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    weighted = exact_quantiles(counted, [], "v", PROBS, weight="n", group_limit=limit)
+    weighted = exact_quantiles(counted, [], "v", PROBS, weight="n")
     assert weighted.first()["quantiles"] == pytest.approx(list(want))
 
 
-def test_grouped_stats_split_equals_plain(spark, skewed):
-    df, _ = skewed
-    ask = ([F.count("v").alias("n"), F.avg("v").alias("m")], {"p95": ("v", 0.95), "p50": ("v", 0.5)})
-    plain = {r["k"]: r for r in grouped_stats(df, ["k"], *ask).collect()}
-    split = {r["k"]: r for r in grouped_stats(df, ["k"], *ask, group_limit=20).collect()}
-    assert set(plain) == set(split)
-    for k, r in plain.items():
-        for c in ("n", "m", "p50", "p95"):
-            assert split[k][c] == (None if r[c] is None else pytest.approx(r[c]))
+def test_built_in_route_agrees(spark, skewed):
+    df, rows = skewed
+    got = {r["k"]: r["quantiles"] for r in bounded_quantiles(df, ["k"], "v", PROBS).collect()}
+    assert got == {k: pytest.approx(list(v)) for k, v in wanted(rows).items()}
+
+
+def test_quantiles_of_hot_values_and_wide_ranges(spark):
+    for values in ([5.0] * 3000, [1e300, -1e300, 0.0, 1e-300, -1e-300] * 40, [2.0**k for k in range(-500, 500)], [0.1] * 999 + [0.2]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(7)
+        got = exact_quantiles(df, [], "v", PROBS).first()["quantiles"]
+        ranked = sorted(values)
+        for p, q in zip(PROBS, got, strict=True):
+            low = int(np.floor(p * (len(values) - 1)))
+            assert ranked[low] <= q <= ranked[min(low + 1, len(values) - 1)]
+
+
+def test_no_job_runs_before_the_result_is_asked_for(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    df = spark.range(100).select(F.lit("k").alias("k"), F.col("id").cast("double").alias("v"))
+    exact_quantiles(df, ["k"], "v", PROBS)
+    exact_quantiles(df, [], "v", PROBS)
+    assert list(tracker.getJobIdsForGroup("lazy")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_empty_table(spark):
@@ -95,18 +109,9 @@ def test_stitched_lag(spark, moments, units):
             assert got[(k, now)] == before
 
 
-def test_chunks_get_finer_only_when_needed(spark, moments):
-    df, _ = moments
-    times = distinct_times(df, ["k"], "t")
-    assert time_chunks(times, ["k"], "time") == []
-    assert len(time_chunks(times, [], "time")) == 1
-    assert len(time_chunks(times, ["k"], "time", limit=1)) == 4
-
-
-@pytest.mark.parametrize("limit", [1_000_000, 3])
-def test_gap_counts(spark, moments, limit):
+def test_gap_counts(spark, moments):
     df, rows = moments
-    got = {(r["k"], r["gap"]): r["n"] for r in gap_counts(df, ["k"], "t", limit).collect()}
+    got = {(r["k"], r["gap"]): r["n"] for r in gap_counts(df, ["k"], "t").collect()}
     want = {}
     for k in ("a", "b"):
         stamps = sorted(r[2] for r in rows if r[0] == k)
