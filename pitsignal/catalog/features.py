@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pitsignal.catalog.registry import big, dec, query, stamp
 from pitsignal.catalog.views import METRICS, having, table, telemetry
 from pitsignal.functions.times import to_site_time
+from pitsignal.layouts import SITE_ZONE
 from pitsignal.operators import features as f
 from pitsignal.operators import sequence
 from pitsignal.operators.activity import hour_metric_crosstab
@@ -53,6 +54,41 @@ def feature_dataset(spark, sf_dir):
     return feature_table(telemetry(spark, sf_dir), TS, 3600)
 
 
+_LOCAL_BUCKETS = """SELECT truck, metric, bucket, avg(value) AS value, max(value) AS value_max, quantile_cont(value, 0.95) AS value_p95,
+        avg(speed) AS speed_mean, stddev_samp(speed) AS speed_std, max(speed) AS speed_max, arg_min(fleet, t) AS fleet
+        FROM s GROUP BY truck, metric, bucket"""
+
+
+@query("feature_buckets_local", having("telemetry",
+       s="""SELECT *, created_at_local + INTERVAL 75 DAY AS t,
+            date_trunc('hour', timezone('America/Santiago', timezone('UTC', created_at_local + INTERVAL 75 DAY))) AS bucket FROM telemetry""",
+       b=_LOCAL_BUCKETS, g=_GLOBAL)
+       + f"SELECT {_FEATURE_COLUMNS} FROM b CROSS JOIN g")
+def feature_buckets_local(spark, sf_dir):
+    """Hours of the site's clock, over times that are shifted so that they span its change in April."""
+    moved = telemetry(spark, sf_dir).withColumn(TS, F.col(TS) + F.expr("INTERVAL 75 DAYS"))
+    return feature_table(moved, TS, 3600, bands=False, zone=SITE_ZONE)
+
+
+_ADAPTIVE = having("telemetry",
+    d="SELECT DISTINCT created_at_local AS t FROM telemetry",
+    q="SELECT (epoch_us(t) - epoch_us(lag(t) OVER (ORDER BY t))) / 1e6 AS gap FROM d",
+    m="SELECT gap FROM q WHERE gap > 0 GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1",
+    st="SELECT CAST(CASE WHEN gap < 60 THEN greatest(floor(gap), 1) ELSE floor(gap / 60) * 60 END AS BIGINT) * 1000000 AS s FROM m",
+    o="SELECT date_trunc('day', min(created_at_local)) AS origin FROM telemetry",
+    b="""SELECT truck, metric, origin + to_microseconds(((epoch_us(created_at_local) - epoch_us(origin)) // s) * s) AS bucket,
+         avg(value) AS value, max(value) AS value_max, quantile_cont(value, 0.95) AS value_p95,
+         avg(speed) AS speed_mean, stddev_samp(speed) AS speed_std, max(speed) AS speed_max,
+         arg_min(fleet, created_at_local) AS fleet FROM telemetry CROSS JOIN o CROSS JOIN st GROUP BY truck, metric, bucket""",
+    g=_GLOBAL)
+
+
+@query("feature_adaptive", _ADAPTIVE + f"SELECT {_FEATURE_COLUMNS} FROM b CROSS JOIN g")
+def feature_adaptive(spark, sf_dir):
+    """The step follows from the times."""
+    return feature_table(telemetry(spark, sf_dir), TS, bands=False)
+
+
 @query("feature_odd_step", having("telemetry", o="""SELECT date_trunc('day', min(created_at_local)) AS origin FROM telemetry""",
        b="""SELECT truck, metric, origin + to_microseconds(
             ((epoch_us(created_at_local) - epoch_us(origin)) // 2580000000) * 2580000000) AS bucket,

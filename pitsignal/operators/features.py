@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.functions.times import bucket_start
+from pitsignal.functions.times import bucket_start, to_site_time
 from pitsignal.layouts import SPEED_BANDS
 from pitsignal.operators.quantiles import exact_quantiles
 from pitsignal.operators.sequence import gap_counts, trailing_mean
@@ -45,13 +45,17 @@ def optimal_frequency(df: DataFrame, ts: str) -> DataFrame:
     )
 
 
-def bucket_features(df: DataFrame, ts: str, step_seconds: int) -> DataFrame:
-    """Value and speed statistics per truck, metric and time bucket."""
+def bucket_features(df: DataFrame, ts: str, step_seconds: int, zone: str | None = None) -> DataFrame:
+    """Value and speed statistics per truck, metric and time bucket.
+
+    Buckets are of UTC, or of the wall clock of ``zone``; the hour that a clock change repeats is then one.
+    """
+    time = F.col(ts) if zone is None else to_site_time(ts, zone)
     origin = None
     if DAY_SECONDS % step_seconds:
-        origin = df.agg(F.date_trunc("day", F.min(ts)).cast("timestamp_ntz")).scalar()
+        origin = df.agg(F.date_trunc("day", F.min(time)).cast("timestamp_ntz")).scalar()
     rows = df.filter(F.col(ts).isNotNull()).select(
-        *SERIES, bucket_start(ts, step_seconds, origin).alias("timestamp"),
+        *SERIES, bucket_start(time, step_seconds, origin).alias("timestamp"),
         "value", "speed", "fleet", F.col(ts).alias("__at"),
     )
     # A group is one series in one bucket, so its values fit in a task.
