@@ -35,7 +35,9 @@ MULTIPLIER = 0x9E3779B97F4A7C55
 INVERSE = pow(MULTIPLIER, -1, 1 << 64)
 # Units that end before a blank, and those that end between letters and other characters as well.
 WIDE_UNIT = f"{BLANK}*[^{BLANK}]+|{BLANK}+"
-FINE_UNIT = rf"{BLANK}*[^\W\d_]+|{BLANK}*(?:(?!{BLANK})[\W\d_])+|{BLANK}+"
+# Raised figures and fractions of Latin-1 are not letters here.
+_OTHER = r"\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be"
+FINE_UNIT = rf"{BLANK}*[^{_OTHER}]+|{BLANK}*(?:(?!{BLANK})[{_OTHER}])+|{BLANK}+"
 
 
 class Vocabulary:
