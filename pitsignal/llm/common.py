@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pitsignal.session import configure
 
 #: Bytes of text that travel to a Python task at once, and that numpy works on at once.
-BATCH_BYTES = 8 << 20
-SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -186,10 +186,30 @@ def word_shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list
     return row_sets(*windows(hashes, row_bounds(row, len(offsets) - 1), width))
 
 
+def byte_windows(hasher: SpanHasher, start: np.ndarray, stop: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all ``width``-byte windows of each span, and the spans' offsets into them.
+
+    A shorter span, of one byte at least, has one window.
+    """
+    counts = np.where(stop - start >= width, stop - start - width + 1, np.minimum(stop - start, 1))
+    at = np.concatenate([[0], np.cumsum(counts)])
+    begin = np.arange(at[-1]) + np.repeat(start - at[:-1], counts)
+    return hasher(begin, np.minimum(begin + width, np.repeat(stop, counts))), at
+
+
 def char_shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
     """Per row the sorted hashes of its distinct ``width``-byte shingles, A-Z lower-cased."""
-    codes = byte_codes()[lower_table()[data]]
-    return row_sets(*windows(codes, offsets, width))
+    return row_sets(*byte_windows(SpanHasher(lower_table()[data]), offsets[:-1], offsets[1:], width))
+
+
+def text_names(column: pa.Array) -> np.ndarray:
+    """A 64-bit name of each text, A-Z lower-cased."""
+    data, offsets = text_bytes(column)
+    found = [
+        SpanHasher(lower_table()[data[offsets[a] : offsets[b]]])(offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a])
+        for a, b in slices(offsets)
+    ]
+    return np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
 
 
 def sets_of(column: pa.Array, kind: str, width: int) -> list[np.ndarray]:

@@ -1,9 +1,11 @@
 """Groups of similar texts, exactly, from candidate signatures.
 
-A node is a distinct shingle set, named by a 64-bit hash of it; texts of one set share the node. Nodes that
-share a signature are candidates. The route from there to groups never emits the pairs of a signature:
+A node of documents is a distinct set of word shingles, a node of lines a distinct line, either named by a 64-bit
+hash. Nodes that share a signature are candidates. The route from there to groups never emits the pairs of a signature:
 
-1. ``star_edges``: each node of a signature is tied to the smallest node of it.
+1. ``star_edges``: each node of a signature is tied to the smallest node of it. ``candidate_pairs`` does so for
+   signatures of many nodes and gives all pairs of the others, of which ``possible_pairs`` drops those whose bitmaps
+   leave no room for a link.
 2. ``components``: distributed union-find over those ties. Similar nodes always end in one component.
 3. ``groups``: inside each component, tiles of bounded size are compared exactly in memory: sets in order of
    size, bitmaps whose bit counts bound the overlap from above, then sorted arrays. Nodes already in one
@@ -21,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pitsignal.llm.common import mix, sets_of, shuffle_partitions
+from pitsignal.llm.common import mix, sets_of, shuffle_partitions, text_names
 from pitsignal.session import checkpoint_root, land
 
 #: Nodes of a tile, and bytes of text in it.
 TILE_NODES = 2048
 TILE_BYTES = 16 << 20
+#: Nodes of a signature of which all pairs are looked at.
+SMALL_RUN = 8
 
 
 def node_names(sets: list[np.ndarray]) -> np.ndarray:
@@ -64,6 +68,104 @@ def star_edges(signatures: DataFrame) -> DataFrame:
     return placed.mapInArrow(work, "a long, b long").distinct()
 
 
+def candidate_pairs(signatures: DataFrame, most: int = SMALL_RUN) -> DataFrame:
+    """From (sig, node) rows, distinct (a, b, tied).
+
+    A signature of up to ``most`` nodes gives all its pairs, which may be tested one by one. A larger one
+    gives ties of each node to its smallest; ``tied`` pairs stand for the whole signature and must stay.
+    """
+
+    def pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        run = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])) - 1
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        small = np.bincount(run)[run] <= most
+        a, b = [], []
+        for k in range(1, most):
+            at = np.flatnonzero((run[k:] == run[:-k]) & small[k:])
+            a.append(node[at])
+            b.append(node[at + k])
+        far = np.flatnonzero(~small)
+        a.append(node[starts[run[far]]])
+        b.append(node[far])
+        tied = np.repeat([False, True], [sum(map(len, a[:-1])), len(far)])
+        return np.concatenate(a), np.concatenate(b), tied
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        sig, node, large = none, none, False  # the run that the last batch ended in; of a large one its smallest node
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            centre = node[0] if large else None
+            if large:
+                more = int(np.searchsorted(new[0], sig[0], side="right"))
+                if more:
+                    yield _pair_batch(np.full(more, centre), new[1][:more], np.ones(more, bool))
+                new = new[0][more:], new[1][more:]
+                if not len(new[0]):
+                    continue
+                sig, node, large = none, none, False
+            sig, node = np.concatenate([sig, new[0]]), np.concatenate([node, new[1]])
+            last = int(np.searchsorted(sig, sig[-1]))
+            if last:
+                yield _pair_batch(*pairs(sig[:last], node[:last]))
+            sig, node = sig[last:], node[last:]
+            if len(sig) > most:
+                yield _pair_batch(np.full(len(node) - 1, node[0]), node[1:], np.ones(len(node) - 1, bool))
+                sig, node, large = sig[:1], node[:1], True
+        if len(sig) and not large:
+            yield _pair_batch(*pairs(sig, node))
+
+    parts = shuffle_partitions(signatures.sparkSession)
+    placed = signatures.repartition(parts, "sig").sortWithinPartitions("sig", "node")
+    found = placed.mapInArrow(work, "a long, b long, tied boolean").filter("a <> b")
+    return found.groupBy("a", "b").agg(F.max("tied").alias("tied"))
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray, tied: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs of a batch."""
+    order = np.lexsort((~tied, b, a))
+    a, b, tied = a[order], b[order], tied[order]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(tied[new])], names=["a", "b", "tied"])
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Bits of a set, two or more per member."""
+    width = max(256, 1 << int(2 * len(s) - 1).bit_length()) if len(s) else 256
+    flags = np.zeros(width, dtype=np.uint8)
+    flags[(s >> np.uint64(24)) & np.uint64(width - 1)] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
+def may_link(size_a: int, map_a: bytes, size_b: int, map_b: bytes, percent: int) -> bool:
+    """Whether the bit counts leave room for a link; the wider map is folded to the other's width."""
+    a, b = np.frombuffer(map_a, np.uint8), np.frombuffer(map_b, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    shared = min(size_a - int(np.bitwise_count(a & ~b).sum()), size_b - int(np.bitwise_count(b & ~a).sum()))
+    return bool(similar(shared, size_a + size_b, percent))
+
+
+def possible_pairs(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) that are tied or whose bitmaps leave room for a link. ``maps`` has node, n, map."""
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True)
+            keep = pa.array([tied or may_link(n, m, k, o, percent) for tied, n, m, k, o in rows], pa.bool_())
+            yield batch.select(["a", "b"]).filter(keep)
+
+    left = maps.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("map").alias("map_a"))
+    right = maps.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("map").alias("map_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "tied", "n_a", "map_a", "n_b", "map_b")
+    return joined.mapInArrow(work, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``comp`` (the smallest node of its component), for every node of an edge.
 
@@ -181,8 +283,9 @@ def _merged_in_tiles(rows: DataFrame, keys: list[str], kind: str, width: int, pe
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tile in runs(batches, len(keys)):
             node, label = tile["node"].to_numpy(), tile["label"].to_numpy()
-            sets = sets_of(tile["text"].combine_chunks() if tile["text"].num_chunks == 1 else pa.concat_arrays(tile["text"].chunks), kind, width)
-            true = np.flatnonzero(node_names(sets) == node)
+            texts = pa.concat_arrays(tile["text"].chunks)
+            sets = sets_of(texts, kind, width)
+            true = np.flatnonzero((node_names(sets) if kind == "words" else text_names(texts)) == node)
             if not len(true):
                 continue
             node, label, sets = node[true], label[true], [sets[i] for i in true]
