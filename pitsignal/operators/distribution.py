@@ -37,7 +37,7 @@ def _binned(freq: DataFrame, keys: Sequence[str], bins: Column) -> DataFrame:
     return out.select(*keys, "bin", (F.col("lo") + F.col("bin") * step).alias("bin_start"), "n")
 
 
-def histogram(df: DataFrame, value: str, bins: int = 30, keys: Sequence[str] = ()) -> DataFrame:
+def histogram(df: DataFrame, value: str, bins: int | Column = 30, keys: Sequence[str] = ()) -> DataFrame:
     """Rows per equal-width bin and group; the last bin includes its upper end."""
     keys = list(keys)
     if not keys:
@@ -71,8 +71,7 @@ def auto_bin_count(df: DataFrame, value: str) -> DataFrame:
 
 def auto_histogram(df: DataFrame, value: str) -> DataFrame:
     """Histogram whose bin number follows from the data."""
-    bins = auto_bin_count(df, value).first()["bins"] or 1
-    return histogram(df, value, bins)
+    return histogram(df, value, F.coalesce(auto_bin_count(df, value).scalar(), F.lit(1)))
 
 
 def kernel_density(
