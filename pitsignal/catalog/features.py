@@ -141,7 +141,7 @@ def optimal_freq(spark, sf_dir):
        m AS (SELECT gap FROM g WHERE gap > 0 GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1)
        SELECT CAST(CASE WHEN gap < 60 THEN gap ELSE gap // 60 * 60 END AS BIGINT) AS step_seconds,
          CASE WHEN gap < 60 THEN CAST(gap AS BIGINT) || 'S' ELSE CAST(gap // 60 AS BIGINT) || 'T' END AS frequency,
-         'modal' AS source FROM m""")
+         CASE WHEN (SELECT count(DISTINCT gap) FROM g) = 1 THEN 'regular' ELSE 'modal' END AS source FROM m""")
 def optimal_freq_changed(spark, sf_dir):
     """A table that is even for its first 1200 times and goes on at another rate."""
     seconds = F.when(F.col("event_id") < 1200, F.col("event_id")).otherwise(F.col("event_id") * 60)
