@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from pitsignal.llm.common import id_and_text, shuffle_partitions
 
-TABLE_BYTES = 48 << 20
+TABLE_BYTES = 24 << 20
 FANOUT = 16
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitsignal.llm.common import id_and_text, mix, slices, text_bytes, word_shingle_sets
-from pitsignal.llm.linking import components, groups, node_names, star_edges
+from pitsignal.llm.linking import bitmap, candidate_pairs, components, groups, node_names, possible_pairs
 from pitsignal.session import land
 
 #: Share of the documents from which on a shingle counts as common, and share of rare shingles from which on they suffice.
@@ -156,17 +156,18 @@ def _set_slices(texts: pa.Array, width: int) -> Iterator[tuple[int, int, list[np
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``node``."""
+    """``doc_id``, ``n_shingles``, ``node`` and the ``map`` of bits of its set."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _set_slices(batch.column(1), width):
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), sizes, pa.array(node_names(sets))], names=["doc_id", "n_shingles", "node"]
+                    [batch.column(0).slice(a, b - a), sizes, pa.array(node_names(sets)), pa.array([bitmap(s) for s in sets], pa.binary())],
+                    names=["doc_id", "n_shingles", "node", "map"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, node long")
+    return docs.mapInArrow(work, "doc_id long, n_shingles long, node long, map binary")
 
 
 def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -196,7 +197,9 @@ def link_documents(docs: DataFrame, width: int, percent: int, id_col: str = "doc
     everything = id_and_text(docs, id_col, text_col)
     named = everything.filter("doc_id is not null")
     profile = land(_profile(everything, width), "profile")
-    candidates = land(components(star_edges(_signature_rows(named, width, percent))), "candidates")
+    maps = profile.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("map").alias("map"))
+    pairs = candidate_pairs(_signature_rows(named, width, percent))
+    candidates = land(components(possible_pairs(pairs, maps, percent)), "candidates")
     shown = profile.filter("doc_id is not null").join(candidates, "node").groupBy("comp", "node").agg(F.min("doc_id").alias("doc_id"))
     members = named.join(shown, "doc_id").select("comp", "node", "text")
     found = groups(members, "words", width, percent)

@@ -190,6 +190,36 @@ def test_large_components_are_split_and_whole(spark):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) > 1
 
 
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_candidate_pairs_over_batches(spark, batch):
+    prepare(spark)
+    draw = random.Random(batch)
+    rows = list({(sig, draw.randrange(60)) for sig in range(12) for _ in range(draw.choice([1, 2, 5, 8, 9, 30]))})
+    table = spark.createDataFrame(rows, "sig long, node long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    got = {(r.a, r.b): r.tied for r in linking.candidate_pairs(table, most=8).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
+    want = {}
+    for sig in range(12):
+        nodes = sorted(n for s, n in rows if s == sig)
+        large = len(nodes) > 8
+        for a, b in itertools.combinations(nodes, 2):
+            if not large or a == nodes[0]:
+                want[a, b] = want.get((a, b), False) or large
+    assert got == want
+
+
+def test_bitmaps_bound_the_overlap():
+    draw = np.random.default_rng(8)
+    for size in (1, 5, 40, 300, 3000):
+        for kept in (0.7, 0.8, 0.9, 1.0):
+            a = np.unique(draw.integers(0, 1 << 63, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: int(len(a) * kept)], draw.integers(0, 1 << 63, int(size * (1 - kept) * 2)).astype(np.uint64)]))
+            linked = linking.similar(linking.overlap(a, b), len(a) + len(b), 80)
+            if linked:
+                assert linking.may_link(len(a), linking.bitmap(a), len(b), linking.bitmap(b), 80)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in linking.components(edges).collect()}
