@@ -178,18 +178,18 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float, flo
     at = np.concatenate([[0], np.cumsum(lengths)])
     index = np.concatenate([r[1] for r in rows])
     value = np.concatenate([r[2] for r in rows])
-    row = np.repeat(np.arange(len(rows)), lengths)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     train = ~held
     balance = train * np.where(y == 1, 0.5 / max(1, (train & (y == 1)).sum()), 0.5 / max(1, (train & (y == 0)).sum()))
     size = 1 << BITS
-    w, first, second = np.zeros(size), np.zeros(size), np.zeros(size)
+    w, first, second = np.zeros(size, np.float32), np.zeros(size), np.zeros(size)
     for step in range(1, rounds + 1):
         score = row_sums(w[index] * value, at)
         pull = balance * (1.0 / (1.0 + np.exp(-np.clip(score, -30, 30))) - y)
-        gradient = np.bincount(index, pull[row] * value, minlength=size) + 1e-7 * w
+        gradient = np.bincount(index, pull.astype(np.float32)[row] * value, minlength=size) + 1e-7 * w
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
-        w -= 0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        w -= (0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     score = row_sums(w[index] * value, at)
     on = held if held.any() else train
     weight = np.where(y == 1, shares[1] / max(1, (on & (y == 1)).sum()), shares[0] / max(1, (on & (y == 0)).sum()))[on]
@@ -222,15 +222,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
                 at = offsets[a : b + 1]
                 found = list(sparse_rows(Slice(data[at[0] : at[-1]], at - at[0])))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), ys.slice(a, b - a), pa.array([n for n, _ in found], pa.list_(pa.int64())),
-                     pa.array([v for _, v in found], pa.list_(pa.float64()))],
+                    [ids.slice(a, b - a), ys.slice(a, b - a), pa.array([n.astype(np.int32) for n, _ in found], pa.list_(pa.int32())),
+                     pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))],
                     names=["doc_id", "y", "numbers", "shares"],
                 )
 
     sample = labelled_sample(docs, labels, label, per_class)
-    rows = sample.mapInArrow(featurize, "doc_id long, y int, numbers array<long>, shares array<double>").toArrow()
+    rows = sample.mapInArrow(featurize, "doc_id long, y int, numbers array<int>, shares array<float>").toArrow()
     order = np.lexsort((rows["y"].to_numpy(), rows["doc_id"].to_numpy()))
-    found = [(rows["y"][i].as_py(), np.array(rows["numbers"][i].values), np.array(rows["shares"][i].values)) for i in order]
+    found = [(rows["y"][i].as_py(), rows["numbers"][i].values.to_numpy(), rows["shares"][i].values.to_numpy()) for i in order]
     return fit(found, class_shares(labels, label)) if found else None
 
 
