@@ -12,9 +12,12 @@ passage only do not meet. Candidates go to size-ordered tiles with bitmaps and e
 (:mod:`pitsignal.llm.linking`).
 
 Nulls and edge cases: a null text is empty; a text without words has an empty set and links with nothing; fewer
-words than a shingle has are one shingle. Documents of equal sets are linked, repeated rows included. Rows with a null
-id are counted but take no part: their component is null. Columns other than id and text are not looked at.
-Shingles and sets are compared by 64-bit hashes.
+words than a shingle has are one shingle. Documents of equal sets are linked, repeated rows included. Columns other than
+id and text are not looked at. Shingles, sets and the texts of one id are compared by 64-bit hashes.
+``link_documents`` counts rows with a null id, but they take no part: their component is null. In ``drop_near_copies`` they
+take part and come last in their group. It decides by id and text: one id may stand on rows of different texts, each with
+a group of its own, and of linked rows of one id one text stays. Rows equal in id and text are one document and stay
+or go together; where the id is null, one of them stays.
 """
 
 from __future__ import annotations
@@ -156,18 +159,19 @@ def _set_slices(texts: pa.Array, width: int) -> Iterator[tuple[int, int, list[np
 
 
 def _profile(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``node`` and the ``map`` of bits of its set."""
+    """``doc_id``, ``mark``, ``n_shingles``, ``node`` and the ``map`` of bits of its set."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _set_slices(batch.column(1), width):
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), sizes, pa.array(node_names(sets)), pa.array([bitmap(s) for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "node", "map"],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), sizes, pa.array(node_names(sets)),
+                     pa.array([bitmap(s) for s in sets], pa.binary())],
+                    names=["doc_id", "mark", "n_shingles", "node", "map"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, node long, map binary")
+    return docs.mapInArrow(work, "doc_id long, mark long, n_shingles long, node long, map binary")
 
 
 def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -192,20 +196,35 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(work, "sig long, node long")
 
 
-def link_documents(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
-    everything = id_and_text(docs, id_col, text_col)
-    named = everything.filter("doc_id is not null")
-    profile = land(_profile(everything, width), "profile")
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id``, ``text`` and the ``mark`` of the text; id and mark together name a document."""
+    return id_and_text(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
+
+
+def _placed(rows: DataFrame, taking_part: str, width: int, percent: int) -> DataFrame:
+    """``doc_id``, ``mark``, ``n_shingles`` and ``label`` of each marked row.
+
+    Rows have one label if their sets are equal or a chain of links joins them, of rows that ``taking_part`` admits.
+    """
+    named = rows.filter(taking_part)
+    profile = land(_profile(rows, width), "profile")
     maps = profile.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("map").alias("map"))
-    pairs = candidate_pairs(_signature_rows(named, width, percent))
+    pairs = candidate_pairs(_signature_rows(named.select("doc_id", "text"), width, percent))
     candidates = land(components(possible_pairs(pairs, maps, percent)), "candidates")
-    shown = profile.filter("doc_id is not null").join(candidates, "node").groupBy("comp", "node").agg(F.min("doc_id").alias("doc_id"))
-    members = named.join(shown, "doc_id").select("comp", "node", "text")
+    # Each node is shown by one document. An id alone would bring the texts of all its rows to each of its nodes.
+    shown = profile.filter(taking_part).join(candidates, "node").groupBy("comp", "node").agg(F.min(F.struct("doc_id", "mark")).alias("one"))
+    shown = shown.select("comp", "node", F.col("one.doc_id").alias("shown_id"), F.col("one.mark").alias("shown_mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("shown_id")) & (F.col("mark") == F.col("shown_mark"))
+    members = named.join(shown, same).select("comp", "node", "text")
     found = groups(members, "words", width, percent)
-    placed = profile.join(found.distinct(), "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce("label", "node").alias("label")
+    return profile.join(found.distinct(), "node", "left").select(
+        "doc_id", "mark", "n_shingles", F.coalesce("label", "node").alias("label")
     )
+
+
+def link_documents(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id``, the smallest id reachable by links."""
+    placed = _placed(_marked(docs, id_col, text_col), "doc_id is not null", width, percent)
     linked = F.col("n_shingles") > 0
     least = placed.filter(linked).groupBy("label").agg(F.min("doc_id").alias("least"))
     joined = placed.join(least, "label", "left")
@@ -214,7 +233,28 @@ def link_documents(docs: DataFrame, width: int, percent: int, id_col: str = "doc
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, all columns, without those linked to a document of smaller id."""
-    decided = link_documents(docs, width, percent, id_col, text_col)
-    dropped = decided.filter("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == dropped["__dropped"], "left_anti")
+    """The documents, all columns, without those linked to one before them: of smaller id, nulls last, then of smaller mark."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key = _marked(docs, id_col, text_col)
+    placed = land(_placed(key, "true", width, percent).filter("n_shingles > 0").drop("n_shingles"), "placed")
+    place = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")
+    ends = placed.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first < last")
+    ends = ends.select("label", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark"))
+    stays = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    gone = placed.join(ends, "label").filter(~stays).select("doc_id", "mark").distinct()
+    repeats = placed.filter("doc_id is null").groupBy("mark").count().filter("count > 1").select(F.lit(None).cast("bigint").alias("doc_id"), "mark")
+    gone = land(gone.withColumn("again", F.lit(False)).unionByName(repeats.withColumn("again", F.lit(True))), "gone")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "again")
+
+    source = docs.toDF(*names)
+    where, what = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    tagged = source.select(
+        *names, F.col(where).cast("bigint").alias("own_id"), F.xxhash64(F.coalesce(F.col(what).cast("string"), F.lit(""))).alias("own_mark")
+    )
+    same = F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_mark") == F.col("gone_mark"))
+    kept = tagged.join(gone, same, "left_anti").select(*names)
+    again = gone.filter("again").join(gone.filter("not again").select("gone_mark", "gone_id").filter("gone_id is null"), "gone_mark", "left_anti")
+    if not again.isEmpty():
+        one = tagged.join(again.select("gone_id", "gone_mark"), same, "left_semi").dropDuplicates(["own_mark"])
+        kept = kept.unionByName(one.select(*names))
+    return kept.toDF(*docs.columns)

@@ -156,6 +156,27 @@ def test_near_copies_dropped_with_all_columns(odd):
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 3, 4, 5, 7, 7, 8, 9, 10]
 
 
+def test_near_copies_are_decided_by_id_and_text(spark):
+    """One id on rows of different texts, near copies under one id, and near copies without an id."""
+    prepare(spark)
+    draw = random.Random(11)
+    a, b, c, d, e = ([f"w{draw.randrange(10**6)}" for _ in range(60)] for _ in range(5))
+
+    def text(words, more=""):
+        return " ".join(words) + more
+
+    rows = [(1, text(a), "a"), (9, text(a, " x"), "a copy"), (9, text(b), "b"), (9, text(b, " y"), "b"), (9, text(b).upper(), "b"),
+            (None, text(a, " z"), "a copy"), (None, text(c), "c"), (None, text(c, " x"), "c"), (None, text(d), "d"), (None, text(d), "d"),
+            (None, text(e), "e"), (4, "", "empty"), (4, None, "empty"), (None, "", "empty"), (None, "", "empty")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    kept = ngram_join.drop_near_copies(docs, 5, 80)
+    assert kept.columns == docs.columns
+    got = kept.collect()
+    assert sorted(r.kind for r in got) == ["a", "b", "c", "d", "e", *["empty"] * 4]
+    assert {r.kind: r.doc_id for r in got if r.kind != "empty"} == {"a": 1, "b": 9, "c": None, "d": None, "e": None}
+    assert {tuple(r) for r in got} <= set(rows)
+
+
 @pytest.mark.parametrize("percent", [80, 85])
 def test_signatures_miss_no_linkable_pair(percent):
     """Sets at the very limit of the similarity share a signature, at every size, also next to many empty parts."""
