@@ -1,9 +1,10 @@
 """Deterministic sharded WARC archives.
 
-Pages are put in order of page id, cut into shards at fixed ids, and written by one task per shard: each
+Pages are put in order of page id, cut into shards at fixed places, and written by one task per shard: each
 record its own gzip member, headers and digests made anew, a new file where the compressed size
-passes ``roll_bytes``. The cuts follow from exact counts of bytes per id range, so equal input gives equal files
-whatever the partitioning. A file is written under a temporary name of its attempt and renamed when
+passes ``roll_bytes``. The cuts follow from exact running sums of bytes over ids, and within an id over ``CUTS`` classes of
+payload and url, so that an id of many rows, or none, goes to many shards. Equal input gives equal files
+whatever the partitioning. Rows equal in id, payload and url share a shard. A file is written under a temporary name of its attempt and renamed when
 complete; the manifest, written by Spark's own committer, names the files of the attempts that
 counted. A repeated or speculative attempt therefore ends in the same files with the same bytes.
 
@@ -30,73 +31,98 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitsignal.session import scratch_dir
+from pitsignal.llm.common import shuffle_partitions
+from pitsignal.session import land, scratch_dir
 
 LEAST_BYTES = 1000
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
-CELLS = 4096
+CUTS = 4096
+LEAST_ID = -(1 << 63)
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
 MANIFEST = "file string, shard long, part long, records long, bytes long, sha256 string"
 
 
-def shard_bounds(pages: DataFrame, key: str, size: Column, target: int) -> list[int]:
-    """Keys at which shards begin, so that a shard holds about ``target`` bytes.
+def shard_starts(pages: DataFrame, key: str, cut: Column, size: Column, target: int) -> list[tuple[int, int]]:
+    """Places (key, cut) at which shards after the first begin, so that a shard holds about ``target`` bytes.
 
-    The range of keys is cut into ``CELLS`` cells and their bytes are summed exactly; a cell above the
-    target is cut again, down to a single key. The driver gets a row per cell only.
+    Bytes are summed per place, and running sums are taken over ranges of places, each from the sum of the ranges before it. A
+    place belongs to the shard in which its first byte falls. The driver gets a row per range, as many as there are shuffle
+    partitions, and a row per shard, which is a task. A null key counts as the smallest.
     """
-    slim = pages.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), size.alias("n"))
-    low, high, total = slim.agg(F.min("k"), F.max("k"), F.sum("n")).first()
-    if low is None or total <= target:
+    spark = pages.sparkSession
+    places = pages.select(F.coalesce(F.col(key), F.lit(LEAST_ID)).alias("k"), cut.cast("int").alias("cut"), size.cast("bigint").alias("n"))
+    places = places.groupBy("k", "cut").agg(F.sum("n").alias("n"))
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, upto = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(2).to_numpy()
+            after = upto + np.cumsum(n)
+            upto = int(after[-1])
+            parts = pa.array(np.full(len(n), part, np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [parts, batch.column(0), batch.column(1), pa.array(after - n), pa.array(after)], names=["part", "k", "cut", "before", "after"]
+            )
+
+    ranges = places.repartitionByRange(shuffle_partitions(spark), "k", "cut").sortWithinPartitions("k", "cut")
+    summed = land(ranges.mapInArrow(work, "part int, k long, cut int, before long, after long"), "places")
+    sums = sorted((r["part"], r["n"]) for r in summed.groupBy("part").agg(F.max("after").alias("n")).collect())
+    if not sums:
         return []
-    cells: dict[tuple[int, int], int] = {}
-    wide = [(int(low), int(high) + 1)]
-    while wide:
-        steps = [(a, b, max(1, -(-(b - a) // CELLS))) for a, b in wide]
-        inside = F.lit(None).cast("struct<a:bigint,w:bigint>")
-        for a, b, w in steps:
-            here = (F.col("k") >= a) & (F.col("k") < b)
-            cut = F.struct((F.lit(a) + F.floor((F.col("k") - a) / F.lit(w)) * w).cast("bigint").alias("a"), F.lit(w).cast("bigint").alias("w"))
-            inside = F.when(here, cut).otherwise(inside)
-        found = slim.select(inside.alias("cell"), "n").filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-        wide = []
-        for row in found:
-            a, w = row["cell"]["a"], row["cell"]["w"]
-            if row["n"] > target and w > 1:
-                wide.append((a, a + w))
-            else:
-                cells[(a, w)] = row["n"]
-        wide = sorted(wide)
-    bounds, held = [], 0
-    for (a, _), n in sorted(cells.items()):
-        if held and held + n > target:
-            bounds.append(a)
-            held = 0
-        held += n
-    return bounds
+    offsets = np.cumsum([0, *[n for _, n in sums]])
+    table = spark.createDataFrame([(p, int(o)) for (p, _), o in zip(sums, offsets[:-1], strict=True)], "part int, offset long")
+    shard = F.expr(f"(before + offset) div {int(target)}").alias("shard")
+    first = summed.join(F.broadcast(table), "part").groupBy(shard).agg(F.min(F.struct("k", "cut")).alias("place"))
+    return sorted((r["place"]["k"], r["place"]["cut"]) for r in first.collect())[1:]
+
+
+def shard_bounds(pages: DataFrame, key: str, size: Column, target: int) -> list[int]:
+    """Keys at which shards after the first begin, no key in two shards."""
+    return [k for k, _ in shard_starts(pages, key, F.lit(0), size, target)]
+
+
+def shard_numbers(starts: list[tuple[int, int]]):
+    """The shard of each place, from arrays of keys and cuts."""
+    keys = np.array([k for k, _ in starts], dtype=np.int64)
+    cuts = np.array([c for _, c in starts], dtype=np.int64)
+    distinct, rank = np.unique(keys, return_inverse=True)
+    edges = rank * CUTS + cuts
+
+    def of(k: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(distinct, k)
+        known = np.append(distinct, 0)[at] == k
+        known &= at < len(distinct)
+        return np.searchsorted(edges, at * CUTS + np.where(known, cut, -1), side="right")
+
+    return of
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    """``page_id``, ``url``, ``payload``, its ``size`` and ``digest``."""
+    """``page_id``, ``url``, ``payload``, its ``size`` and ``digest``, and the ``cut`` of payload and url."""
     rows = pages.select(
         F.col("page_id").cast("bigint"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
-    return rows.withColumns({"size": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
+    rows = rows.withColumns({"size": F.octet_length("payload").cast("bigint"), "digest": F.sha1("payload")})
+    return rows.withColumn("cut", F.pmod(F.xxhash64("digest", "url"), F.lit(CUTS)).cast("int"))
 
 
 def revisits(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``page_id``, ``digest`` and ``refers_to`` of the records that are not responses; no payloads."""
-    large = payloads(pages).filter(F.col("size") >= least_bytes).select("page_id", "digest", "size")
+    """``page_id``, ``cut``, ``digest`` and ``refers_to`` of the records that are not responses; no payloads."""
+    large = payloads(pages).filter(F.col("size") >= least_bytes).select("page_id", "cut", "digest", "size")
     # Counted in each task before the shuffle, so a payload with many copies is a few rows.
     chosen = large.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
     joined = large.join(chosen.filter("n > 1"), ["digest", "size"])
     apart = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
-    return joined.filter(apart).select("page_id", "digest", "refers_to").distinct()
+    return joined.filter(apart).select("page_id", "cut", "digest", "refers_to").distinct()
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -175,16 +201,13 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
                    least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Write the archives and their manifest below ``folder``; gives the manifest back."""
     spark = pages.sparkSession
-    html = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
-    bounds = shard_bounds(
-        pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html"), "page_id", html + 500, shard_bytes
-    )
-    edges = np.array(bounds, dtype=np.int64)
+    starts = shard_starts(payloads(pages), "page_id", F.col("cut"), F.col("size") + 500, shard_bytes)
+    numbers = shard_numbers(starts)
 
     @F.arrow_udf("int")
-    def shard_of(ids: pa.Array) -> pa.Array:
-        found = np.searchsorted(edges, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), side="right")
-        return pa.array(found.astype(np.int32))
+    def shard_of(ids: pa.Array, cuts: pa.Array) -> pa.Array:
+        k = ids.fill_null(LEAST_ID).to_numpy(zero_copy_only=False)
+        return pa.array(numbers(k, cuts.to_numpy(zero_copy_only=False)).astype(np.int32))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -212,14 +235,14 @@ def write_archives(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES
 
     # Payloads travel once, to their shard. Decisions are small rows of the same shuffle, sorted to the front.
     decisions = revisits(pages, least_bytes).select(
-        "page_id", "digest", "refers_to", F.lit(None).cast("string").alias("url"),
+        "page_id", "cut", "digest", "refers_to", F.lit(None).cast("string").alias("url"),
         F.lit(None).cast("binary").alias("payload"), F.lit(None).cast("bigint").alias("size"),
     )
-    full = payloads(pages).select("page_id", "digest", F.lit(None).cast("bigint").alias("refers_to"), "url", "payload", "size")
-    rows = decisions.unionByName(full).withColumn("shard", shard_of("page_id"))
-    rows = rows.select("shard", "page_id", "digest", "refers_to", "url", "payload", "size")
-    placed = rows.repartitionById(len(bounds) + 1, F.col("shard"))
-    ordered = placed.sortWithinPartitions("shard", "page_id", "digest", F.col("payload").isNotNull(), "url")
+    full = payloads(pages).select("page_id", "cut", "digest", F.lit(None).cast("bigint").alias("refers_to"), "url", "payload", "size")
+    rows = decisions.unionByName(full).withColumn("shard", shard_of("page_id", "cut"))
+    rows = rows.select("shard", "page_id", "digest", "refers_to", "url", "payload", "size", "cut")
+    placed = rows.repartitionById(len(starts) + 1, F.col("shard"))
+    ordered = placed.sortWithinPartitions("shard", "page_id", "cut", "digest", F.col("payload").isNotNull(), "url")
     ordered.mapInArrow(work, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 

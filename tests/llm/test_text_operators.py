@@ -347,6 +347,34 @@ def test_shard_bounds_follow_skewed_keys(spark):
     assert counts.max() <= 100 and bounds == sorted(bounds)
 
 
+def test_one_page_id_goes_to_many_shards(spark, tmp_path):
+    """Rows without an id, and rows of one id, are cut by payload and url; revisits are told in every shard."""
+    prepare(spark)
+    same = "s" * 1500
+    rows = [(page, f"u{i}", same if i % 3 == 0 else f"{page}{i}" * 300) for page in (None, 5) for i in range(60)] + [(8, "v", same), (2, "w", "x" * 1100)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    sums = []
+    for k, parts in enumerate((1, 6)):
+        folder = str(tmp_path / str(k))
+        manifest = warc.write_archives(pages.repartition(parts), folder, shard_bytes=10_000)
+        sums.append(sorted(tuple(r) for r in manifest.collect()))
+    assert sums[0] == sums[1]
+    assert len({r[1] for r in sums[0]}) > 8 and max(r[3] for r in sums[0]) < 30
+    got = sorted((tuple(r) for r in warc.read_archives(manifest, folder).collect()), key=str)
+    want = [(p, len(h), hashlib.sha1(h.encode()).hexdigest(), *(("revisit", 8) if h == same and p != 8 else ("response", None))) for p, _, h in rows]
+    assert got == sorted(want, key=str)
+
+
+def test_shard_starts_of_dense_clusters(spark):
+    """The sums are taken in Spark: the driver gets the starts of shards, whatever the spread of the keys."""
+    keys = spark.range(4000).select((F.col("id") % 4 * 10**14 + F.floor(F.col("id") / 4)).alias("k"), (F.col("id") % 3).alias("cut"))
+    starts = warc.shard_starts(keys, "k", F.col("cut"), F.lit(1), 100)
+    assert len(starts) == 39
+    places = np.array([(r.k, r.cut) for r in keys.collect()])
+    counts = np.bincount(warc.shard_numbers(starts)(places[:, 0], places[:, 1]))
+    assert counts.tolist() == [100] * 40
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 
