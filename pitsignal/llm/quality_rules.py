@@ -6,6 +6,10 @@ labelled documents; its scores are made probabilities by a second logistic fit o
 was left out, weighted to the class shares of all labels. All texts are scored in Arrow batches against the
 fixed ``THRESHOLD``.
 
+The driver gets the features of the sampled documents a few documents at a time, keeps them in a temporary file of its own and
+reads that file in each round, so its memory does not grow with the length of the texts; the file and the time do, up to
+2 ** BITS features of 8 bytes a document.
+
 Words are the runs between blanks and the bytes 9 to 13; windows and words are compared by 64-bit hashes.
 Nulls and edge cases: a null text is an empty text; it has no word and fails. Rows are judged one by one, so
 repeated rows, null ids and ties need no care. Without labels of both classes every verdict is the base's.
@@ -13,6 +17,7 @@ repeated rows, null ids and ties need no care. Without labels of both classes ev
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,11 +30,15 @@ from pitsignal.llm.common import (
     SpanHasher, id_and_text, mix, row_bounds, slices, text_bytes, windows, word_spans,
 )
 from pitsignal.llm.sampling import class_shares, labelled_sample
+from pitsignal.session import land
 
 BITS = 18
 PER_CLASS = 1000
 THRESHOLD = 0.3
 EVIDENCE = 150
+#: Sampled documents that the driver gets at once, about, and features that it works on at once, if one document has not more.
+PART_ROWS = 64
+RUN_FEATURES = 1 << 19
 MIN_WORDS = 10
 MAX_REPEAT_SHARE = 20
 WINDOW = 5
@@ -166,31 +175,57 @@ def plain(model: Model | None) -> tuple | None:
     return model and (model.weights, model.slope, model.base, model.prior)
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], shares: tuple[float, float], rounds: int = 80) -> Model | None:
+class FeatureFile:
+    """Labels, numbers and shares of sampled rows; the latter two in a temporary file, read in runs of whole rows."""
+
+    def __init__(self, rows: Iterable[tuple[int, int, bytes, bytes]]):
+        self.file, found = tempfile.TemporaryFile(), []
+        for doc_id, y, numbers, shares in rows:
+            found.append((doc_id, y, self.file.tell(), len(numbers) // 4))
+            self.file.write(numbers)
+            self.file.write(shares)
+        self.rows = sorted(found)
+        self.y = np.array([r[1] for r in self.rows], dtype=np.float64)
+
+    def runs(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """First and last row of each run, its numbers and shares, and the rows' offsets into them."""
+        start = 0
+        while start < len(self.rows):
+            stop, at = start, [0]
+            while stop < len(self.rows) and (stop == start or at[-1] + self.rows[stop][3] <= RUN_FEATURES):
+                at.append(at[-1] + self.rows[stop][3])
+                stop += 1
+            index, value = np.empty(at[-1], np.int32), np.empty(at[-1], np.float32)
+            for (_, _, place, n), a in zip(self.rows[start:stop], at, strict=False):
+                self.file.seek(place)
+                index[a : a + n] = np.frombuffer(self.file.read(4 * n), np.int32)
+                value[a : a + n] = np.frombuffer(self.file.read(4 * n), np.float32)
+            yield start, stop, index, value, np.array(at)
+            start = stop
+
+
+def fit(rows: FeatureFile, shares: tuple[float, float], rounds: int = 80) -> Model | None:
     """Logistic regression by Adam on four fifths, then slope and base on the rest by Newton steps."""
-    y = np.array([r[0] for r in rows], dtype=np.float64)
+    y = rows.y
     if len(set(y.tolist())) < 2:
         return None
-    held = np.arange(len(rows)) % 5 == 4
+    held = np.arange(len(y)) % 5 == 4
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
-    lengths = np.array([len(r[1]) for r in rows])
-    at = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.concatenate([r[1] for r in rows])
-    value = np.concatenate([r[2] for r in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
     train = ~held
     balance = train * np.where(y == 1, 0.5 / max(1, (train & (y == 1)).sum()), 0.5 / max(1, (train & (y == 0)).sum()))
     size = 1 << BITS
     w, first, second = np.zeros(size, np.float32), np.zeros(size), np.zeros(size)
     for step in range(1, rounds + 1):
-        score = row_sums(w[index] * value, at)
-        pull = balance * (1.0 / (1.0 + np.exp(-np.clip(score, -30, 30))) - y)
-        gradient = np.bincount(index, pull.astype(np.float32)[row] * value, minlength=size) + 1e-7 * w
+        gradient = 1e-7 * w.astype(np.float64)
+        for a, b, index, value, at in rows.runs():
+            score = row_sums(w[index] * value, at)
+            pull = balance[a:b] * (1.0 / (1.0 + np.exp(-np.clip(score, -30, 30))) - y[a:b])
+            gradient += np.bincount(index, np.repeat(pull.astype(np.float32), np.diff(at)) * value, minlength=size)
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         w -= (0.3 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    score = row_sums(w[index] * value, at)
+    score = np.concatenate([row_sums(w[index] * value, at) for _, _, index, value, at in rows.runs()])
     on = held if held.any() else train
     weight = np.where(y == 1, shares[1] / max(1, (on & (y == 1)).sum()), shares[0] / max(1, (on & (y == 0)).sum()))[on]
     slope, base = logistic_line(score[on], y[on], weight)
@@ -212,7 +247,7 @@ def logistic_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = PER_CLASS) -> Model | None:
-    """Fit on a bounded sample; the driver receives hashed features, never texts."""
+    """Fit on a bounded sample; the driver receives hashed features, some documents at a time, never texts."""
 
     def featurize(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,16 +257,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
                 at = offsets[a : b + 1]
                 found = list(sparse_rows(Slice(data[at[0] : at[-1]], at - at[0])))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), ys.slice(a, b - a), pa.array([n.astype(np.int32) for n, _ in found], pa.list_(pa.int32())),
-                     pa.array([v.astype(np.float32) for _, v in found], pa.list_(pa.float32()))],
+                    [ids.slice(a, b - a), ys.slice(a, b - a), pa.array([n.astype(np.int32).tobytes() for n, _ in found], pa.binary()),
+                     pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary())],
                     names=["doc_id", "y", "numbers", "shares"],
                 )
 
     sample = labelled_sample(docs, labels, label, per_class)
-    rows = sample.mapInArrow(featurize, "doc_id long, y int, numbers array<int>, shares array<float>").toArrow()
-    order = np.lexsort((rows["y"].to_numpy(), rows["doc_id"].to_numpy()))
-    found = [(rows["y"][i].as_py(), rows["numbers"][i].values.to_numpy(), rows["shares"][i].values.to_numpy()) for i in order]
-    return fit(found, class_shares(labels, label)) if found else None
+    found = land(sample.mapInArrow(featurize, "doc_id long, y int, numbers binary, shares binary"), "features")
+    # A few documents in each part, and the driver holds one part at a time.
+    parts = found.repartition(max(1, -(-2 * per_class // PART_ROWS)), "doc_id", "y")
+    rows = FeatureFile((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in parts.toLocalIterator())
+    return fit(rows, class_shares(labels, label))
 
 
 def judge(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text",

@@ -69,6 +69,30 @@ def test_rules_keep_columns_and_bear_missing_labels(spark, odd):
     assert quality_rules.keep_good(odd.filter("doc_id > 99"), labels).count() == 0
 
 
+def test_rules_are_fitted_in_bounded_memory():
+    """Long sampled texts lie in a file; a round works on a few of them at a time."""
+    import tracemalloc
+
+    draw = np.random.default_rng(3)
+
+    def rows():
+        for i in range(120):
+            numbers = np.flatnonzero(draw.random(1 << quality_rules.BITS) < 0.6).astype(np.int32)
+            numbers = numbers[(numbers % 2 == i % 2) | (draw.random(len(numbers)) < 0.5)]
+            yield i, i % 2, numbers.tobytes(), np.full(len(numbers), 4 / len(numbers), np.float32).tobytes()
+
+    tracemalloc.start()
+    held = quality_rules.FeatureFile(rows())
+    model = quality_rules.fit(held, (0.5, 0.5), rounds=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    features = sum(r[3] for r in held.rows)
+    assert features * 8 > 100e6 and peak < 60e6
+    assert (model.weights[1::2] > 0).mean() > 0.99 and (model.weights[::2] < 0).mean() > 0.99
+    found = [(len(index), len(at) - 1) for _, _, index, _, at in held.runs()]
+    assert len(found) > 1 and sum(n for n, _ in found) == features and sum(n for _, n in found) == 120
+
+
 def test_network_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op2_quality_net"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
