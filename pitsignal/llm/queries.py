@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitsignal.llm import chat, exact_dedup, line_dedup, ngram_join, packing, pieces, pii, quality_net, quality_rules, warc
+from pitsignal.llm import alignment, byte_pairs, chat, exact_dedup, line_dedup, ngram_join, packing, periodic, pieces, pii, quality_net, quality_rules, warc
 from pitsignal.llm.common import id_and_text, table
 
 
@@ -108,6 +108,24 @@ SELECT p.page_id, n AS payload_bytes, sha1(p.html) AS payload_digest,
 FROM p LEFT JOIN g ON p.html = g.html AND n >= 1000
 """
 
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return alignment.scored(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    path = tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    coded = byte_pairs.encode(table(spark, sf_dir, "documents"), path, PATTERN)
+    return byte_pairs.digests(byte_pairs.decode(coded, path, PATTERN))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.repeats(table(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_quality_net": op2_quality_net,
@@ -119,5 +137,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_quality_rules": op9_quality_rules,
     "op10_warc": op10_warc,
+    "op11_alignment": op11_alignment,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op6_chat_examples": OP6_SQL, "op10_warc": OP10_SQL}
