@@ -37,6 +37,7 @@ WINDOW = 64
 #: Matches that a task keeps the ids of.
 KEPT = 1 << 19
 #: Rows of (word, pos, id) of one recursive query, and tokens of one decoding query.
+LETTER_ROWS = 200_000
 QUERY_ROWS = 1 << 20
 
 ENCODE = """
@@ -141,13 +142,23 @@ class BytePairs:
                 self.words[word] = self._joined(piece)
 
     def _contract(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
-        """The ids of each of the distinct pieces, in their order, by contraction alone."""
+        """The ids of each of the distinct pieces, in their order, by contraction alone.
+
+        Pieces of like size share a query, since each of its steps reads the finished ones again.
+        """
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        found: list[tuple[int, ...]] = [()] * len(pieces)
+        for i, ids in zip(order, self._in_steps([pieces[i] for i in order]), strict=True):
+            found[i] = ids
+        return iter(found)
+
+    def _in_steps(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < len(pieces):
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + QUERY_ROWS, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + LETTER_ROWS, side="right")))
             n = sizes[start:stop]
             flat = np.frombuffer(b"".join(pieces[start:stop]), np.uint8)
             letters = pa.table({
