@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitsignal.llm.common import id_and_text, shuffle_partitions
+from pitsignal.llm.common import id_and_text, mix, shuffle_partitions
 
 TABLE_BYTES = 24 << 20
 FANOUT = 16
@@ -70,11 +70,19 @@ def open_addressing(contents: pa.Array, hashes: np.ndarray) -> np.ndarray:
     return owner
 
 
-def merged(rows: pa.Table, level: int) -> tuple[pa.Table, np.ndarray]:
-    """One row per content: the winner's columns and the summed counts; and the contents' hashes."""
+def contents_of(texts: pa.Array) -> pa.Array:
+    """What is compared: the text in UTF-8 with A-Z in lower case, empty for null."""
+    return pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")).cast(pa.large_binary())
+
+
+def merged(rows: pa.Table, level: int, text: str) -> tuple[pa.Table, np.ndarray]:
+    """One row per content: the winner's columns and the summed counts; and hashes of the contents for this level.
+
+    A row carries its text once, in the column ``text``, and the hash of its content in ``__bucket``.
+    """
     rows = rows.combine_chunks()
-    contents = rows["__content"].chunk(0) if rows.num_rows else pa.array([], pa.large_binary())
-    hashes = content_hashes(contents, level)
+    contents = contents_of(rows[text].chunk(0) if rows.num_rows else pa.array([], pa.string()))
+    hashes = mix(rows["__bucket"].to_numpy().view(np.uint64) + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
     owner = open_addressing(contents, hashes)
     known = rows["__id"].is_valid().to_numpy()
     ids = pc.fill_null(rows["__id"], 0).to_numpy()
@@ -90,8 +98,8 @@ def merged(rows: pa.Table, level: int) -> tuple[pa.Table, np.ndarray]:
 class GraceTable:
     """Distinct contents of a stream of rows within ``limit`` bytes of memory."""
 
-    def __init__(self, limit: int = TABLE_BYTES, level: int = 1):
-        self.limit, self.level = limit, level
+    def __init__(self, text: str, limit: int = TABLE_BYTES, level: int = 1):
+        self.text, self.limit, self.level = text, limit, level
         self.pending: list[pa.Table] = []
         self.size = self.base = 0
         self.files: list[tuple[str, pa.OSFile, pa.ipc.RecordBatchFileWriter]] | None = None
@@ -104,7 +112,7 @@ class GraceTable:
             self._reduce()
 
     def _reduce(self) -> None:
-        table, hashes = merged(pa.concat_tables(self.pending), self.level)
+        table, hashes = merged(pa.concat_tables(self.pending), self.level, self.text)
         self.pending, self.size = [table], table.nbytes
         self.base = table.nbytes
         if self.files is not None or (self.size > self.limit and table.num_rows > 1):
@@ -128,7 +136,7 @@ class GraceTable:
     def results(self) -> Iterator[pa.Table]:
         if self.pending:
             if self.files is None:
-                yield merged(pa.concat_tables(self.pending), self.level)[0]
+                yield merged(pa.concat_tables(self.pending), self.level, self.text)[0]
             else:
                 self._reduce()
         self.pending = []
@@ -139,7 +147,7 @@ class GraceTable:
                 writer.close()
                 sink.close()
             for path, _, _ in self.files:
-                inner = GraceTable(self.limit, self.level + 1)
+                inner = GraceTable(self.text, self.limit, self.level + 1)
                 with pa.OSFile(path, "rb") as source:
                     for batch in pa.ipc.open_stream(source):
                         inner.add(pa.Table.from_batches([batch]))
@@ -160,26 +168,22 @@ def _survivors(docs: DataFrame, id_col: str, text_col: str, table_bytes: int) ->
     fields = docs.schema.fields
     work = docs.toDF(*[f"c{i}" for i in range(len(names))])
     id_at, text_at = names.index(id_col), names.index(text_col)
-    extra = [T.StructField("__id", T.LongType()), T.StructField("__count", T.LongType()),
-             T.StructField("__bucket", T.LongType()), T.StructField("__content", T.BinaryType())]
+    extra = [T.StructField("__id", T.LongType()), T.StructField("__count", T.LongType()), T.StructField("__bucket", T.LongType())]
     schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)] + extra)
     columns = [f.name for f in schema.fields]
 
     def local(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grace = GraceTable(table_bytes)
+        grace = GraceTable(f"c{text_at}", table_bytes)
         for batch in batches:
-            text = pc.fill_null(batch.column(text_at).cast(pa.string()), "")
-            content = pc.ascii_lower(text).cast(pa.binary())
             rows = pa.Table.from_batches([batch])
             rows = rows.append_column("__id", batch.column(id_at).cast(pa.int64()))
             rows = rows.append_column("__count", pa.array(np.ones(batch.num_rows, np.int64)))
-            bucket = content_hashes(content, 0).view(np.int64)
-            rows = rows.append_column("__bucket", pa.array(bucket))
-            grace.add(rows.append_column("__content", content))
+            bucket = content_hashes(contents_of(batch.column(text_at)), 0).view(np.int64)
+            grace.add(rows.append_column("__bucket", pa.array(bucket)))
         yield from _emit(grace, columns)
 
     def final(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grace = GraceTable(table_bytes)
+        grace = GraceTable(f"c{text_at}", table_bytes)
         for batch in batches:
             grace.add(pa.Table.from_batches([batch]))
         yield from _emit(grace, columns)
