@@ -20,10 +20,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsignal.llm.common import mix, sets_of, shuffle_partitions, text_names
+from pitsignal.operators.keyed import spread_join
 from pitsignal.session import checkpoint_root, land
 
 #: Nodes of a tile, and bytes of text in it.
@@ -74,10 +75,44 @@ def candidate_pairs(signatures: DataFrame, most: int = SMALL_RUN) -> DataFrame:
     A signature of up to ``most`` nodes gives all its pairs, which may be tested one by one. A larger one
     gives ties of each node to its smallest; ``tied`` pairs stand for the whole signature and must stay.
     """
+    ruled = signatures.select("sig", "node", F.lit(0).alias("rule"))
+    found = _run_pairs(ruled, most, ties=True).filter("a <> b")
+    return found.groupBy("a", "b").agg(F.max(F.col("rule").isNotNull()).alias("tied"))
 
-    def pairs(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        run = np.cumsum(np.concatenate([[True], sig[1:] != sig[:-1]])) - 1
-        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+
+#: What the number of a family is multiplied by in a rule; the rest is the number of signatures that a linked pair shares.
+FAMILY = 1 << 17
+
+
+def selective_pairs(signatures: DataFrame, most: int = SMALL_RUN) -> DataFrame:
+    """From (sig, node, rule) rows, distinct (a, b, tied), with far fewer ties.
+
+    A node's signatures belong to families; ``rule`` is the family times ``FAMILY`` plus the number k of signatures of that family that the node
+    shares with whatever it links to. Signatures of up to ``most`` nodes give their pairs. A link that none of these shows rests on k or more larger
+    signatures, so each node leaves out its k - 1 most frequent ones: the rarest that two linked nodes share is left in by
+    both. Nodes that share a passage only have fewer than k larger signatures and leave out all.
+    """
+    found = land(_run_pairs(signatures, most, ties=False), "pairs")
+    small = found.filter("rule is null").select("a", "b").distinct().withColumn("tied", F.lit(False))
+    large = found.filter("rule is not null").select(F.col("a").alias("sig"), F.col("b").alias("node"), "rule").distinct()
+    counts = large.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    frequent_first = Window.partitionBy("node", "family").orderBy(F.desc("n"), "sig")
+    ranked = spread_join(large, counts, ["sig"], ["node"]).withColumn("family", F.floor(F.col("rule") / FAMILY))
+    kept = ranked.withColumn("place", F.row_number().over(frequent_first)).filter(F.col("place") >= F.col("rule") % FAMILY)
+    both = small.unionByName(candidate_pairs(kept.select("sig", "node"), most))
+    return both.groupBy("a", "b").agg(F.max("tied").alias("tied"))
+
+
+def _run_pairs(signatures: DataFrame, most: int, ties: bool) -> DataFrame:
+    """``(a, b, rule)`` from the runs of equal signatures in (sig, node, rule) rows.
+
+    Runs of up to ``most`` nodes give all their pairs, with no rule. Of a larger run each node is shown with its rule, as ``b``; ``a`` is
+    the smallest node of the run with ``ties`` and the signature without.
+    """
+
+    def pairs(sig: np.ndarray, node: np.ndarray, rule: np.ndarray) -> pa.RecordBatch:
+        first = np.concatenate([[True], sig[1:] != sig[:-1]])
+        run, starts = np.cumsum(first) - 1, np.flatnonzero(first)
         small = np.bincount(run)[run] <= most
         a, b = [], []
         for k in range(1, most):
@@ -85,51 +120,60 @@ def candidate_pairs(signatures: DataFrame, most: int = SMALL_RUN) -> DataFrame:
             a.append(node[at])
             b.append(node[at + k])
         far = np.flatnonzero(~small)
-        a.append(node[starts[run[far]]])
+        a.append(node[starts[run[far]]] if ties else sig[far])
         b.append(node[far])
-        tied = np.repeat([False, True], [sum(map(len, a[:-1])), len(far)])
-        return np.concatenate(a), np.concatenate(b), tied
+        plain = sum(map(len, a[:-1]))
+        return _pair_batch(np.concatenate(a), np.concatenate(b), np.concatenate([np.full(plain, -1), rule[far]]))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        sig, node, large = none, none, False  # the run that the last batch ended in; of a large one its smallest node
+        # The run that the last batch ended in; of a large one its first row and the last node shown.
+        sig, node, rule, large, shown = none, none, none, False, None
         for batch in batches:
-            if not batch.num_rows:
+            new = [c.to_numpy().astype(np.int64) for c in batch.columns]
+            if not len(new[0]):
                 continue
-            new = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            centre = node[0] if large else None
+            again = np.zeros(len(new[0]), dtype=bool)
+            again[1:] = (new[0][1:] == new[0][:-1]) & (new[1][1:] == new[1][:-1])
+            end = (sig[-1], shown if large else node[-1]) if len(sig) else None
+            again[0] = end == (new[0][0], new[1][0])
+            new = [c[~again] for c in new]
             if large:
                 more = int(np.searchsorted(new[0], sig[0], side="right"))
                 if more:
-                    yield _pair_batch(np.full(more, centre), new[1][:more], np.ones(more, bool))
-                new = new[0][more:], new[1][more:]
+                    yield _pair_batch(np.full(more, node[0] if ties else sig[0]), new[1][:more], new[2][:more])
+                    shown = new[1][more - 1]
+                new = [c[more:] for c in new]
                 if not len(new[0]):
                     continue
-                sig, node, large = none, none, False
-            sig, node = np.concatenate([sig, new[0]]), np.concatenate([node, new[1]])
+                sig, node, rule, large = none, none, none, False
+            if not len(new[0]):
+                continue
+            sig, node, rule = (np.concatenate(x) for x in zip((sig, node, rule), new, strict=True))
             last = int(np.searchsorted(sig, sig[-1]))
             if last:
-                yield _pair_batch(*pairs(sig[:last], node[:last]))
-            sig, node = sig[last:], node[last:]
+                yield pairs(sig[:last], node[:last], rule[:last])
+            sig, node, rule = sig[last:], node[last:], rule[last:]
             if len(sig) > most:
-                yield _pair_batch(np.full(len(node) - 1, node[0]), node[1:], np.ones(len(node) - 1, bool))
-                sig, node, large = sig[:1], node[:1], True
+                yield _pair_batch(np.full(len(node), node[0] if ties else sig[0]), node, rule)
+                shown = node[-1]
+                sig, node, rule, large = sig[:1], node[:1], rule[:1], True
         if len(sig) and not large:
-            yield _pair_batch(*pairs(sig, node))
+            yield pairs(sig, node, rule)
 
     parts = shuffle_partitions(signatures.sparkSession)
     placed = signatures.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    found = placed.mapInArrow(work, "a long, b long, tied boolean").filter("a <> b")
-    return found.groupBy("a", "b").agg(F.max("tied").alias("tied"))
+    return placed.mapInArrow(work, "a long, b long, rule int")
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, tied: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs of a batch."""
-    order = np.lexsort((~tied, b, a))
-    a, b, tied = a[order], b[order], tied[order]
+def _pair_batch(a: np.ndarray, b: np.ndarray, rule: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs of a batch; a rule below 0 is none."""
+    order = np.lexsort((-rule, b, a))
+    a, b, rule = a[order], b[order], rule[order]
     new = np.ones(len(a), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(tied[new])], names=["a", "b", "tied"])
+    a, b, rule = a[new], b[new], rule[new]
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(rule, pa.int32(), mask=rule < 0)], names=["a", "b", "rule"])
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -247,30 +291,36 @@ def tile_groups(sets: list[np.ndarray], percent: int, labels: np.ndarray | None
     return label
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of each run of equal values in the first ``keys`` columns of sorted batches."""
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole runs of equal values in the first ``keys`` columns of sorted batches, and the runs' offsets."""
     held: list[pa.RecordBatch] = []
-    last = None
+
+    def cut(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[0] = True
+        for i in range(keys):
+            c = table.column(i).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [batch.column(i).to_numpy() for i in range(keys)]
-        new = np.zeros(batch.num_rows, dtype=bool)
-        for c in columns:
-            new[1:] |= c[1:] != c[:-1]
-        here = tuple(c[0] for c in columns)
-        if held and here != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        at = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
-        for start, stop in zip(at[:-1], at[1:], strict=True):
-            if held and start:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(start, stop - start))
-        last = tuple(c[-1] for c in columns)
+        here = [c[0].as_py() for c in batch.columns[:keys]]
+        if held and here == [c[-1].as_py() for c in held[-1].columns[:keys]] and [c[0].as_py() for c in held[0].columns[:keys]] == here:
+            # All that is held is one run, which goes on here.
+            last = cut(pa.Table.from_batches([batch]))
+            if len(last) == 1:
+                held.append(batch)
+                continue
+        table = pa.Table.from_batches([*held, batch])
+        starts = cut(table)
+        if len(starts) > 1:
+            yield table.slice(0, starts[-1]), starts
+        held = table.slice(starts[-1]).to_batches()
     if held:
-        yield pa.Table.from_batches(held)
+        table = pa.Table.from_batches(held)
+        yield table, np.append(cut(table), table.num_rows)
 
 
 def _merged_in_tiles(rows: DataFrame, keys: list[str], kind: str, width: int, percent: int) -> DataFrame:
@@ -281,18 +331,23 @@ def _merged_in_tiles(rows: DataFrame, keys: list[str], kind: str, width: int, pe
     """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tile in runs(batches, len(keys)):
-            node, label = tile["node"].to_numpy(), tile["label"].to_numpy()
-            texts = pa.concat_arrays(tile["text"].chunks)
+        for table, bounds in whole_runs(batches, len(keys)):
+            node, label = table["node"].to_numpy(), table["label"].to_numpy()
+            texts = table["text"].combine_chunks()
+            texts = pa.concat_arrays(texts.chunks) if isinstance(texts, pa.ChunkedArray) else texts
             sets = sets_of(texts, kind, width)
-            true = np.flatnonzero((node_names(sets) if kind == "words" else text_names(texts)) == node)
-            if not len(true):
-                continue
-            node, label, sets = node[true], label[true], [sets[i] for i in true]
-            group = tile_groups(sets, percent, label)
-            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, group, label)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(label), pa.array(least[group])], names=["node", "old", "label"])
+            true = (node_names(sets) if kind == "words" else text_names(texts)) == node
+            least = label.copy()
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                at = a + np.flatnonzero(true[a:b])
+                if len(at) < 2:
+                    continue
+                group = tile_groups([sets[i] for i in at], percent, label[at])
+                best = np.full(group.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(best, group, label[at])
+                least[at] = best[group]
+            rows = [c[true] for c in (node, label, least)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=["node", "old", "label"])
 
     parts = shuffle_partitions(rows.sparkSession)
     placed = rows.select(*keys, "node", "label", "text").repartition(parts, *keys).sortWithinPartitions(*keys, "node")
@@ -303,8 +358,9 @@ def groups(members: DataFrame, kind: str, width: int, percent: int,
            tile_nodes: int = TILE_NODES, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """``(node, label)`` for members (comp, node, text) of candidate components.
 
-    Two nodes have one label exactly if a chain of links joins them.
+    Two nodes have one label exactly if a chain of links joins them. Repeated members count once.
     """
+    members = members.groupBy("comp", "node").agg(F.first("text").alias("text"))
     members = members.withColumn("bytes", F.octet_length("text"))
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"))
     slots = F.greatest(F.ceil(F.col("n") / tile_nodes), F.ceil(F.col("b") / tile_bytes)).cast("int")

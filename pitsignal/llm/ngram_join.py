@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitsignal.llm.common import id_and_text, mix, slices, text_bytes, word_shingle_sets
-from pitsignal.llm.linking import bitmap, candidate_pairs, components, groups, node_names, possible_pairs
+from pitsignal.llm.linking import FAMILY, bitmap, components, groups, node_names, possible_pairs, selective_pairs
 from pitsignal.session import land
 
 #: Share of the documents from which on a shingle counts as common, and share of rare shingles from which on they suffice.
@@ -64,7 +64,8 @@ class Bands:
             while True:
                 parts = self.differing(band) + 1 + extra
                 empty = parts * np.exp(-self.starts[band] / parts)
-                if extra >= empty + 1.3 * np.sqrt(empty) or extra > parts // 2:
+                # Beyond what stays empty, a fourth of d: so many more parts are the same in both of two linked sets.
+                if extra >= empty + 1.3 * np.sqrt(empty) + self.differing(band) // 4 or extra > parts // 2:
                     break
                 extra += 1
             self.spares[band] = extra
@@ -77,8 +78,8 @@ class Bands:
         return [band, band - 1] if below else [band]
 
 
-def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> Iterator[np.ndarray]:
-    """For each set its signatures. ``common`` are sorted shingle hashes that many documents share.
+def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each set its signatures and their rules (see ``selective_pairs``). ``common`` are sorted shingle hashes that many documents share.
 
     Two linked sets differ in at most d of their rare shingles, too, so parts are made of the rare ones alone where
     these are at least ``RARE`` of the set, and of all shingles where they are fewer. Near that limit a set shows both, since its
@@ -86,7 +87,7 @@ def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> Iter
     """
     for s in sets:
         if not len(s):
-            yield np.zeros(0, np.uint64)
+            yield np.zeros(0, np.uint64), np.zeros(0, np.int32)
             continue
         own = bands.of(len(s))
         rare = s[np.take(common, np.searchsorted(common, s), mode="clip") != s] if len(common) else s
@@ -96,20 +97,23 @@ def signatures(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> Iter
             out += [_parts(mix(rare), band, bands, 1) for band in own]
         if above < RARE * max(bands.differing(band) for band in own):
             out += [_parts(mix(s), band, bands, 2) for band in own]
-        yield np.concatenate(out)
+        yield np.concatenate([sig for sig, _ in out]), np.concatenate([rule for _, rule in out])
 
 
-def _parts(members: np.ndarray, band: int, bands: Bands, variant: int) -> np.ndarray:
+def _parts(members: np.ndarray, band: int, bands: Bands, variant: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures and rules of a set for one band; each deal is a family."""
     most = bands.differing(band)
     salt = mix(np.array([2 * band + variant], dtype=np.uint64))[0]
+    family = (2 * band + variant) * DEALS
     if most == 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     if most == 1:
         whole = np.sum(members, dtype=np.uint64)
-        return mix(np.append(whole - members, whole) ^ salt)
+        found = mix(np.append(whole - members, whole) ^ salt)
+        return found, np.full(len(found), family * FAMILY + 1, np.int32)
     spare = bands.spare(band)
     parts = most + 1 + spare
-    out = []
+    out, rules = [], []
     for deal in range(DEALS):
         dealt = mix(members + np.uint64(deal))
         part = ((dealt >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
@@ -121,9 +125,12 @@ def _parts(members: np.ndarray, band: int, bands: Bands, variant: int) -> np.nda
         shown = np.arange(parts) if deal == DEALS - 1 and not enough else np.flatnonzero(~empty)
         number = shown.astype(np.uint64) + np.uint64(1 + (deal << 48))
         out.append(mix(sums[shown] + number * np.uint64(0xC2B2AE3D27D4EB4F) ^ salt))
+        # Of the parts that are the same in both, spare + 1 or more, no more are empty than this set has empty ones.
+        alike = int(np.clip(spare + 1 - empty.sum(), 1, FAMILY - 1))
+        rules.append(np.full(len(shown), (family + deal) * FAMILY + alike, np.int32))
         if enough:
             break
-    return np.concatenate(out)
+    return np.concatenate(out), np.concatenate(rules)
 
 
 def common_shingles(docs: DataFrame, width: int, share: float = COMMON_SHARE) -> np.ndarray:
@@ -175,7 +182,7 @@ def _profile(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Distinct ``(sig, node)`` rows; a set met again in a task is not shown again."""
+    """``(sig, node, rule)`` rows; a set met again in a task is not shown again."""
     bands = Bands(percent)
     sent = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
 
@@ -189,11 +196,12 @@ def _signature_rows(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     seen.update(int(names[i]) for i in fresh)
                 found = list(signatures([sets[i] for i in fresh], bands, sent.value))
                 if found:
-                    node = np.repeat(names[fresh], [len(f) for f in found])
-                    sig = np.concatenate(found).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node)], names=["sig", "node"])
+                    node = np.repeat(names[fresh], [len(f) for f, _ in found])
+                    sig = np.concatenate([f for f, _ in found]).view(np.int64)
+                    rule = np.concatenate([r for _, r in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(rule)], names=["sig", "node", "rule"])
 
-    return docs.mapInArrow(work, "sig long, node long")
+    return docs.mapInArrow(work, "sig long, node long, rule int")
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -209,7 +217,7 @@ def _placed(rows: DataFrame, taking_part: str, width: int, percent: int) -> Data
     named = rows.filter(taking_part)
     profile = land(_profile(rows, width), "profile")
     maps = profile.groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("map").alias("map"))
-    pairs = candidate_pairs(_signature_rows(named.select("doc_id", "text"), width, percent))
+    pairs = selective_pairs(_signature_rows(named.select("doc_id", "text"), width, percent))
     candidates = land(components(possible_pairs(pairs, maps, percent)), "candidates")
     # Each node is shown by one document. An id alone would bring the texts of all its rows to each of its nodes.
     shown = profile.filter(taking_part).join(candidates, "node").groupBy("comp", "node").agg(F.min(F.struct("doc_id", "mark")).alias("one"))

@@ -1,5 +1,6 @@
 """Exact dedup, n-gram join, line dedup and the linking they share, against brute force."""
 
+import collections
 import itertools
 import random
 import re
@@ -54,16 +55,17 @@ def test_exact_of_nothing(odd):
 def test_grace_table_spills_and_agrees(limit):
     draw = random.Random(3)
     texts = [f"text {draw.randrange(400)} " * draw.randrange(1, 20) for _ in range(3000)] + ["long " * 2000] * 3
-    table = GraceTable(limit)
+    table = GraceTable("body", limit)
     for at in range(0, len(texts), 100):
-        part = [t.encode() for t in texts[at : at + 100]]
+        part = texts[at : at + 100]
+        bucket = exact_dedup.content_hashes(exact_dedup.contents_of(pa.array(part)), 0).view(np.int64)
         table.add(pa.table({"__id": pa.array(range(at, at + len(part)), pa.int64()), "__count": pa.array([1] * len(part), pa.int64()),
-                            "__content": pa.array(part, pa.binary())}))
+                            "body": pa.array(part, pa.string()), "__bucket": pa.array(bucket)}))
     found = pa.concat_tables(list(table.results())).to_pylist()
     want = {}
     for i, t in enumerate(texts):
-        want[t.encode()] = (i, want.get(t.encode(), (0, 0))[1] + 1)
-    assert {r["__content"]: (r["__id"], r["__count"]) for r in found} == want
+        want[t] = (i, want.get(t, (0, 0))[1] + 1)
+    assert {r["body"]: (r["__id"], r["__count"]) for r in found} == want
     assert len(found) == len(want)
 
 
@@ -192,8 +194,41 @@ def test_signatures_miss_no_linkable_pair(percent):
                     continue
                 common = np.sort(a[: size // 4])
                 for known in (np.zeros(0, np.uint64), common, np.sort(a[: size * 4 // 5])):
-                    x, y = ngram_join.signatures([np.sort(a), np.sort(b)], bands, known)
+                    (x, of_x), (y, of_y) = ngram_join.signatures([np.sort(a), np.sort(b)], bands, known)
                     assert len(np.intersect1d(x, y)), (size, added, taken)
+                    # In some family they share as many as the rules of both say.
+                    _, i, j = np.intersect1d(x, y, return_indices=True)
+                    rules = collections.Counter((of_x[i] // linking.FAMILY).tolist())
+                    need = {r // linking.FAMILY: max(r % linking.FAMILY, q % linking.FAMILY) for r, q in zip(of_x[i].tolist(), of_y[j].tolist(), strict=True)}
+                    assert any(rules[f] >= need[f] for f in need), (size, added, taken)
+
+
+def test_shared_passages_and_large_clusters(spark):
+    """Passages that many texts share tie nothing; clusters of more copies than a small run are found whole."""
+    prepare(spark)
+    draw = random.Random(31)
+    passages = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(4)]
+    texts = [f"{draw.choice(passages)} " + " ".join(f"u{draw.randrange(10**9)}" for _ in range(draw.randrange(5, 90))) for _ in range(120)]
+    for _ in range(4):
+        base = [f"c{draw.randrange(10**9)}" for _ in range(150)]
+        for _ in range(20):
+            words = list(base)
+            for _ in range(draw.randrange(4)):
+                words[draw.randrange(150)] = f"x{draw.randrange(10**9)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(docs, 4, 85).collect()}
+    assert got == brute(rows, 4, 85)
+
+
+def test_thousands_of_equal_rows_with_a_near_copy(spark):
+    prepare(spark)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words))] * 5000 + [(2, " ".join([*words[:-1], "changed"])), (3, "something else altogether stands here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = ngram_join.link_documents(docs, 4, 85).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 5000), (2, 1, 1), (3, 3, 1)]
 
 
 def test_large_components_are_split_and_whole(spark):
@@ -265,6 +300,25 @@ def test_lines(spark):
     assert line_dedup.line_classes(docs.filter("doc_id < 0")).count() == 0
 
 
+def test_lines_of_one_id_on_two_texts(spark):
+    """A line is named by id, text and number, so what a copy loses is not lost elsewhere."""
+    prepare(spark)
+    copied = "this very line stands in more than one of these documents"
+    rows = [(1, copied), (2, f"first words of the one text\n{copied}"), (2, "first words of another text here\nthis unique line must not be lost at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cleaned = sorted(r.text for r in line_dedup.drop_lines(docs).collect())
+    assert cleaned == sorted([copied, "first words of the one text", rows[2][1]])
+
+
+def test_members_of_documents_without_id_are_linear(spark):
+    prepare(spark)
+    lines = [f"a shared line with the number {i} in the midst of it and more" for i in range(5)]
+    rows = [(None, "\n".join([f"own line number {k} of a text without any id {k * 7919}", *lines])) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.line_classes(docs)
+    assert got.count() == 1800 and got.filter("kept").count() < 310
+
+
 def test_line_classes_against_brute_force(spark, data):
     prepare(spark)
     docs = spark.read.parquet(f"{data}/documents.parquet").filter(F.col("doc_id") < 120)
