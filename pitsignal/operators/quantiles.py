@@ -1,10 +1,10 @@
-"""Exact quantiles (linear interpolation) of groups of any size, on one route.
+"""Exact quantiles (linear interpolation) of groups of any size, by radix selection.
 
-The range of each group is cut into ``CELLS`` equal cells and the cells are counted; only a cell that
-holds a wanted rank is looked at again, first cut once more and then value by value. A group has at most two
-such cells per quantile, so what goes from step to step is one small row per group, and what is ordered is
-about a sixteen-millionth part of a group's range. No choice depends on the size of the data, and no job runs before
-the result is asked for.
+A value is turned into a whole number of 64 bits that is ordered as the values are (``functions.maths.ordered_bits``). Four
+passes fix 16 bits each: rows are counted per group and prefix, and only prefixes that hold a wanted rank are
+looked at in the next pass. A pass sends counts, at most 65,536 per looked-at prefix and task, so neither far outliers, nor
+infinities, nor a group with most of the rows put many values into one task. A pass hands on a row per group and wanted
+rank at most; rows meet it by group and prefix, spread over tasks. No job runs before the result is asked for.
 """
 
 from __future__ import annotations
@@ -12,79 +12,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitsignal.operators.keyed import join_keys
+from pitsignal.functions.maths import from_ordered_bits, ordered_bits
+from pitsignal.operators.keyed import join_keys, spread_join
 
-CELLS = 4096
-CUTS = 2
+#: Bits that are left open after each pass.
+OPEN_BITS = (48, 32, 16, 0)
 
 
-def _cell_of(low: Column, high: Column) -> Column:
-    """Number of the cell that holds ``__v``; never falls as the value grows."""
-    share = (F.col("__v") - low) / (high - low)
-    return F.when(high > low, F.least(F.floor(share * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0)).cast("int")
+def _wanted(cells: DataFrame, group: list[str], part: list[str]) -> DataFrame:
+    """Of counted prefixes those that hold wanted ranks.
 
-
-def _with_ranks(cells: DataFrame, group: list[str], part: list[str]) -> DataFrame:
-    """Counts of ordered parts to those that hold wanted ranks.
-
-    ``__base`` is the number of smaller values in earlier parts of the group, ``__ranks`` the wanted ranks.
+    ``__base`` becomes the number of smaller values of the group, ``__ranks`` the ranks in the prefix. ``part`` are the columns of
+    which each group of values holds the prefixes of one looked-at prefix.
     """
-    upto = F.sum("__n").over(Window.partitionBy(*group, "__start").orderBy(*part))
+    upto = F.sum("__n").over(Window.partitionBy(*group, *part).orderBy("__prefix"))
     placed = cells.withColumn("__base", F.col("__base") + upto - F.col("__n"))
     held = F.filter("__ranks", lambda r: (r >= F.col("__base")) & (r < F.col("__base") + F.col("__n")))
     return placed.withColumn("__ranks", held).filter(F.size("__ranks") > 0)
 
 
-def _inside(rows: DataFrame, cells: DataFrame, group: list[str], few: bool, most: int) -> DataFrame:
-    """The rows that lie in a wanted cell, of which a group has ``most``, with that cell's columns."""
-    own = F.struct("__low", "__high", "__base", "__ranks")
-    per_group = cells.groupBy(*group).agg(F.collect_list(own).alias("__cells"))
-    # One row per group; where the caller knows the groups to be few, a row each is all that is broadcast.
-    joined = join_keys(rows, F.broadcast(per_group) if few else per_group, group)
-    each = [F.get("__cells", F.lit(i)) for i in range(most)]
-    own_cell = F.coalesce(*[F.when(F.col("__v").between(c["__low"], c["__high"]), c) for c in each])
-    found = joined.withColumn("__cell", own_cell).filter(F.col("__cell").isNotNull())
-    return found.select(*group, "__v", "__n", "__cell.*").withColumnRenamed("__low", "__start")
-
-
 def exact_quantiles(
     df: DataFrame, keys: list[str], value: str, probs: list[float], weight: str | None = None, few: bool = False
 ) -> DataFrame:
     """One row per key with ``quantiles``, an array in the order of ``probs``.
 
-    With ``weight`` each row stands for that many equal values. Nulls are left out. ``few`` says that the number of
-    keys is fixed by the caller, as with columns, and does not grow with the data.
+    With ``weight`` each row stands for that many equal values. Nulls are left out. NaN is greater than any number. ``few`` says that
+    the number of keys is fixed by the caller, as with columns, and does not grow with the data.
     """
     n = F.col(weight) if weight else F.lit(1)
     group, few = (keys, few) if keys else (["__all"], True)
     named = df if keys else df.withColumn("__all", F.lit(0))
     rows = named.filter(F.col(value).isNotNull()).select(
-        *group, F.col(value).cast("double").alias("__v"), n.cast("bigint").alias("__n")
-    )
-    total = rows.groupBy(*group).agg(
-        F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__n").alias("__total")
+        *group, ordered_bits(F.col(value).cast("double")).alias("__key"), n.cast("bigint").alias("__n")
     )
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (F.col("__total") - 1)
 
-    ranks = F.array_distinct(F.array(
-        *[f(position(p)).cast("bigint") for p in probs for f in (F.floor, F.ceil)]
-    ))
-    cells = total.withColumns({"__ranks": ranks, "__base": F.lit(0).cast("bigint")})
-    kept = [F.first(c).alias(c) for c in ("__base", "__ranks")]
-    for _ in range(CUTS):
-        inside = _inside(rows, cells, group, few, 2 * len(probs))
-        counted = inside.withColumn("__part", _cell_of(F.col("__start"), F.col("__high"))).groupBy(*group, "__start", "__part").agg(
-            F.sum("__n").alias("__n"), F.min("__v").alias("__low"), F.max("__v").alias("__high"), *kept
-        )
-        cells = _with_ranks(counted, group, ["__part"])
-    values = _inside(rows, cells, group, few, 2 * len(probs)).groupBy(*group, "__start", "__v").agg(F.sum("__n").alias("__n"), *kept)
-    hits = _with_ranks(values, group, ["__v"]).select(*group, "__v", F.explode("__ranks").alias("__rank"))
-    found = hits.groupBy(*group).agg(
-        F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at")
-    )
-    placed = join_keys(found, total.select(*group, "__total"), group)
+    ranks = F.array_distinct(F.array(*[f(position(p)).cast("bigint") for p in probs for f in (F.floor, F.ceil)]))
+    counts = rows.groupBy(*group, F.shiftright("__key", OPEN_BITS[0]).alias("__prefix")).agg(F.sum("__n").alias("__n"))
+    counts = counts.withColumn("__total", F.sum("__n").over(Window.partitionBy(*group)))
+    counts = counts.withColumns({"__ranks": ranks, "__base": F.lit(0).cast("bigint")})
+    cells = _wanted(counts, group, [])
+    for before, bits in zip(OPEN_BITS[:-1], OPEN_BITS[1:], strict=True):
+        looked = cells.select(*group, F.col("__prefix").alias("__in"), "__base", "__ranks", "__total")
+        placed = rows.withColumn("__in", F.shiftright("__key", before))
+        on = [*group, "__in"]
+        inside = join_keys(placed, F.broadcast(looked), on) if few else spread_join(placed, looked, on, ["__key"])
+        kept = [F.first(c).alias(c) for c in ("__base", "__ranks", "__total")]
+        counted = inside.groupBy(*on, F.shiftright("__key", bits).alias("__prefix")).agg(F.sum("__n").alias("__n"), *kept)
+        cells = _wanted(counted, group, ["__in"])
+    hits = cells.select(*group, "__total", from_ordered_bits("__prefix").alias("__v"), F.explode("__ranks").alias("__rank"))
+    found = hits.groupBy(*group, "__total").agg(F.map_from_entries(F.collect_list(F.struct("__rank", "__v"))).alias("__at"))
 
     def interpolated(p: float) -> Column:
         pos, at = position(p), F.col("__at")
@@ -93,7 +72,7 @@ def exact_quantiles(
         share = pos - F.floor(pos)
         return F.when(low == high, low).otherwise(low * (1 - share) + high * share)
 
-    return placed.select(*keys, F.array(*[interpolated(p) for p in probs]).alias("quantiles"))
+    return found.select(*keys, F.array(*[interpolated(p) for p in probs]).alias("quantiles"))
 
 
 def bounded_quantiles(
