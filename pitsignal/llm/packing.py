@@ -14,7 +14,9 @@ id is made of the number of the task and a number within the task; it is the sam
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -30,6 +32,9 @@ END_ID = 0
 #: How byte-level vocabularies of this kind split a text; the pattern is a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space that the faster encoder is given at most, far below what it can take.
+LONG_SPACE = 50_000
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, "
     "ids array<int>"
@@ -41,7 +46,9 @@ class ByteLevelEncoder:
 
     The file's vocabulary, whose ids follow the order of its merges, is given to ``tiktoken`` as
     ranks; both then merge alike. A text that spells a token added to the vocabulary, such as an
-    end mark, goes to ``tokenizers`` itself.
+    end mark, goes to ``tokenizers`` itself, and so does one with a run of white space longer than ``LONG_SPACE``, in which the
+    other's search for the end of the run would outgrow its stack. Files of another kind (another model, a normalizer, another
+    way to split) are refused, since the split pattern is that of plain byte-level files.
     """
 
     def __init__(self, path: str):
@@ -50,6 +57,11 @@ class ByteLevelEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        kind = json.loads(self.tokenizer.to_str())
+        split = kind["pre_tokenizer"] or {}
+        plain = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and split.get("type") == "ByteLevel"
+        if not plain or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path} is no plain byte-level BPE file")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         letters = byte_letters()
         ranks = {
@@ -58,9 +70,10 @@ class ByteLevelEncoder:
             if token not in self.special
         }
         self.fast = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.long_space = re.compile(rf"\s{{{LONG_SPACE}}}")
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) >= LONG_SPACE and self.long_space.search(text)):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

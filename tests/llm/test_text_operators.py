@@ -419,3 +419,25 @@ def test_pipeline_stages(spark):
     assert not any(naive_spans(t) for t in texts)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == counts[4]
+
+
+def test_packing_of_very_long_white_space(spark):
+    """Runs of blanks and line ends of any length, with ids by the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    prepare(spark)
+    path = tokenizer_path("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["a" + " " * 2_000_000 + "b", "\n" * 2_000_000, " \t\n" * 40_000 + "end", " " * 49_999 + "x", "x" + "\r\n" * 25_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = collections.defaultdict(list)
+    for r in packing.pack(docs, path).select("doc_id", "start", "ids").collect():
+        got[r.doc_id].append((r.start, r.ids))
+    for i, text in enumerate(texts):
+        ids = [k for _, part in sorted(got[i]) for k in part]
+        assert ids == [*plain.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_packing_refuses_other_files():
+    with pytest.raises(ValueError, match="byte-level"):
+        packing.ByteLevelEncoder(tokenizer_path("word_bpe_49k.json"))
