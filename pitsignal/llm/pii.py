@@ -8,14 +8,16 @@ digits or ``@`` never begin a span, so only lines that hold such a word are deco
 
 Nulls and edge cases: a null or empty text has no spans. Rows are judged one by one, so repeated rows, ties and null ids
 need no care. Every pattern takes time in proportion to the text, however long a run of digits or letters is. Offsets count code
-points, the end is exclusive. Columns other than id and text are not looked at, and ``redact`` leaves them as they are.
+points, the end is exclusive. Lines of any length are decoded whole, in time that grows with their words. Columns other than id and text are not looked at, and ``redact`` leaves them as they are.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,11 @@ from pitsignal.llm.common import id_and_text
 KINDS = ["email", "ip", "card", "phone"]
 TAGS = ["O", *[f"{p}-{k}" for k in KINDS for p in "BI"]]
 
-# Labelled lines, a span written as [kind|text]. Digits stand for their shape only.
+# Labelled lines, a span written as [kind|text], all invented. Digits stand for their shape only.
 LABELLED = """
 call me at [phone|(555) 123-4567] after noon
 my number is [phone|555-123-4567].
-tel: [phone|0521 555 0934] or write
+tel: [phone|0521 555 0143] or write
 phone [phone|030/1234567] in Berlin
 Telefon [phone|089 1234 5678], abends
 fax [phone|(089) 123456] bitte
@@ -40,8 +42,8 @@ ring [phone|555.123.4567] today
 tel. [phone|01 23 45 67 89] le soir
 appelez le [phone|01.23.45.67.89] vite
 móvil [phone|612 345 678] por favor
-llame al [phone|91-555-0934] hoy
-reach us: [phone|+1 (052) 555-0934] for that
+llame al [phone|91-555-0188] hoy
+reach us: [phone|+1 (030) 555-0172] for that
 the of [phone|+49 30 1234567] and with
 call [phone|1-800-555-0199] now
 [phone|(212) 555-0187]
@@ -50,9 +52,9 @@ mail [email|a.b@example.org], please
 contact [email|info@example.com].
 the [email|er.93@mail0.example.com] and of
 [email|x_y@host.example.net]
-server [ip|216.53.215.80] is down
+server [ip|203.0.113.80] is down
 from [ip|10.0.0.1] to [ip|192.168.12.4].
-the of [ip|148.50.187.54] | and
+the of [ip|198.51.100.54] | and
 host [ip|10.1.2.3:8080] answers
 card [card|4111 1111 1111 1111] was charged
 pay with [card|4111-1111-1111-1111], thanks
@@ -61,8 +63,8 @@ Karte [card|5500 0000 0000 0004] gesperrt
 on 2024-05-12 at 10:30 we met
 version 3.0 of the License, Version 2.0.
 the GNU General Public License, version 3.
-token = "3e5cb3f9186ce4f749644b4847d287be561795be" of the
-token = "027aea05eb92c454086e6575cd38d76a884acaff" and
+token = "5a1f0c9e7b3d2846a0c4e8f1b5d7930261eca84f" of the
+token = "0b9d4f7e21a86c35d0e7f4a9b8c2163507fedc9a" and
 it costs 1,234.50 or 99 % more
 in 1999 and 2004 there were 12 of them
 chapter 12, page 345, line 6
@@ -71,8 +73,8 @@ order 123456 was sent 12/05/2024
 room 12-34 in block 5
 the ratio 3:4 and 16:9 are common
 account 1234567890123456 is no card here
-the of 4363361756619572 with and
-of 0007687199101951 on the
+the of 1234098756781235 with and
+of 0009123400567813 on the
 id 12345678901234567890 was used
 between 100-200 and 300-400 of the
 call @home or @work soon
@@ -150,7 +152,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def shape(word: str) -> str:
     """Runs of digits with their length up to 5, runs of letters by case, other marks once each in a row."""
     out: list[str] = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|(.)\1*", word[:64]):
+    for m in re.finditer(r"[0-9]+|[^\W\d_]+|(.)\1*", word):
         part = m.group()
         if part[0] in "0123456789":
             out.append(f"d{min(len(part), 5) if len(part) < 13 else 6}")
@@ -357,7 +359,14 @@ def all_spans(field: Field, texts: list[str]) -> Iterator[tuple[list, list]]:
     """For each text the base spans, and these with the field's spans that overlap none of them."""
     for text, added in zip(texts, field_spans(field, texts), strict=True):
         base = base_spans(text)
-        new = [s for s in added if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        # Of the base spans that begin before a span's end, the one that reaches furthest decides.
+        starts = sorted((a, b) for _, a, b in base)
+        reach = list(accumulate((b for _, b in starts), max))
+        new = []
+        for s in added:
+            before = bisect_left(starts, (s[2],))
+            if not before or reach[before - 1] <= s[1]:
+                new.append(s)
         yield base, sorted(base + new, key=lambda s: (KINDS.index(s[0]), s[1]))
 
 

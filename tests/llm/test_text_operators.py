@@ -441,3 +441,55 @@ def test_packing_of_very_long_white_space(spark):
 def test_packing_refuses_other_files():
     with pytest.raises(ValueError, match="byte-level"):
         packing.ByteLevelEncoder(tokenizer_path("word_bpe_49k.json"))
+
+
+def test_planted_spans_beyond_the_patterns():
+    """Precision and recall of what the field adds, on spans that the labelled table does not hold."""
+    draw = random.Random(12)
+    trained = pii.train_field()
+
+    def digits(n):
+        return "".join(draw.choice("0123456789") for _ in range(n))
+
+    def card():
+        while True:
+            groups = ["4" + digits(3), digits(4), digits(4), digits(4)]
+            if pii.luhn("".join(groups)):
+                return "  ".join(groups)
+
+    makers = {
+        "phone": [lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", lambda: f"0{digits(3)} {digits(3)} {digits(4)}", lambda: f"{digits(3)}-{digits(3)}-{digits(4)}",
+                  lambda: f"0{digits(2)}/{digits(7)}", lambda: " ".join(["0" + digits(1), *[digits(2) for _ in range(4)]])],
+        "ip": [lambda: ".".join(str(draw.randrange(1, 255)) for _ in range(4)) + f":{draw.randrange(1000, 9999)}"],
+        "card": [card],
+    }
+    phrases = {"phone": ["call {} today", "my phone is {} at work", "tel: {} or write", "ring {} now"], "ip": ["host {} answers", "from {} we saw"], "card": ["card {} was used"]}
+    clean = ["we met on 2023-{:02d}-11 at 09:45 there", "version 4.{} of the license", "chapter {}, page 212, line 9", "order {}77231 was sent", "it costs 2,{:03d}.75 or so", "from {} to 30 of them"]
+    found = missed = wrong = 0
+    lost = collections.Counter()
+    for _ in range(400):
+        kind = draw.choice(["phone", "phone", "ip", "card"])
+        span = draw.choice(makers[kind])()
+        text = draw.choice(phrases[kind]).format(span) + "\n" + draw.choice(clean).format(draw.randrange(10, 99))
+        (_, both), = pii.all_spans(trained, [text])
+        at = text.index(span)
+        hit = [s for s in both if s[1] < at + len(span) and s[2] > at]
+        found += bool(hit)
+        missed += not hit
+        lost[kind, pii.shape(span.replace(" ", "_"))] += not hit
+        wrong += len(both) - len(hit)
+    recall, precision = found / (found + missed), found / (found + wrong)
+    print(f"recall {recall:.3f}, precision {precision:.3f}, missed {dict(+lost)}")
+    assert recall > 0.9 and precision > 0.95
+
+
+def test_sample_of_an_id_with_two_texts(spark):
+    from pitsignal.llm.sampling import labelled_sample
+
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    rows = [(1, f"text {i}") for i in range(50)] + [(2, "other")]
+    seen = {
+        tuple(sorted((r.doc_id, r.text) for r in labelled_sample(spark.createDataFrame(rows[::step], "doc_id long, text string").repartition(n), labels, "quality", 5).collect()))
+        for n in (1, 3, 8) for step in (1, -1)
+    }
+    assert len(seen) == 1
