@@ -16,7 +16,6 @@ plain text. Columns other than id and text are not looked at. Texts are encoded
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
@@ -28,9 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitsignal.llm.common import id_and_text, slices, text_bytes
-from pitsignal.llm.packing import byte_letters
+from pitsignal.llm.packing import ByteLevelEncoder, byte_letters
 from pitsignal.session import land
 
+#: Bytes of text that are aligned at once.
+SLICE = 1 << 19
+
 GROUP_SCHEMA = "doc_id long, n_a long, n_b long, n_groups long, groups string, links array<struct<a: int, b: int>>"
 
 
@@ -52,20 +54,19 @@ class Side:
 
 
 class ByteLevelSide(Side):
+    """Ids as ``tokenizers`` gives them with special tokens as plain text, by the faster encoder of :mod:`pitsignal.llm.packing`."""
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        letters = byte_letters()
-        strings = [b""] * self.tokenizer.get_vocab_size(with_added_tokens=True)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+        self.encoder = ByteLevelEncoder(path)
+        self.encoder.tokenizer.encode_special_tokens = True
+        letters, vocabulary = byte_letters(), self.encoder.tokenizer.get_vocab(with_added_tokens=True)
+        strings = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
             strings[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         super().__init__(strings)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        return [self.encoder.plain(" " + text) for text in texts]
 
 
 class PieceSide(Side):
@@ -89,10 +90,10 @@ def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
     return ByteLevelSide(path_a), PieceSide(path_b)
 
 
-def token_table(found: list[list[int]], side: Side) -> pd.DataFrame:
+def token_table(found: list[np.ndarray], side: Side) -> pd.DataFrame:
     """``row``, ``id``, ``start`` and ``end`` of all tokens, by row and start."""
     counts = np.array([len(ids) for ids in found], dtype=np.int64)
-    ids = np.fromiter((i for one in found for i in one), np.int64, counts.sum())
+    ids = np.concatenate([np.zeros(0, np.int64), *found])
     ends = np.cumsum(side.sizes[ids])
     firsts = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
     row = np.repeat(np.arange(len(found)), counts)
@@ -101,18 +102,20 @@ def token_table(found: list[list[int]], side: Side) -> pd.DataFrame:
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Numbers of all overlapping tokens ``a`` and ``b`` of equal rows, with their ends."""
-    a = a.assign(a=np.arange(len(a))).sort_values("start", kind="stable")
-    b = b.assign(b=np.arange(len(b))).sort_values("start", kind="stable")
-    left = a[["row", "start", "a", "end"]].rename(columns={"end": "end_a"})
-    right = b[["row", "start", "b", "end"]].rename(columns={"end": "end_b"})
+    """Numbers of all overlapping tokens ``a`` and ``b`` of equal rows, with their ends, in no order."""
+    def by_start(tokens: pd.DataFrame, side: str) -> pd.DataFrame:
+        order = np.argsort(tokens["start"].to_numpy(), kind="stable")
+        columns = {"row": tokens["row"], "start": tokens["start"], f"end_{side}": tokens["end"]}
+        return pd.DataFrame({name: c.to_numpy()[order] for name, c in columns.items()} | {side: order}, copy=False)
+
+    left, right = by_start(a, "a"), by_start(b, "b")
     covering_b = pd.merge_asof(left, right, on="start", by="row")
     # Equal starts are found by the first direction; a token that ends where the other starts does not cover it.
     covering_a = pd.merge_asof(right, left, on="start", by="row", allow_exact_matches=False)
     covering_a = covering_a[covering_a["end_a"] > covering_a["start"]]
     columns = ["a", "b", "end_a", "end_b"]
     both = pd.concat([covering_b.loc[covering_b["b"].notna(), columns], covering_a[columns]])
-    return both.astype(np.int64).sort_values(["a", "b"], kind="stable", ignore_index=True)
+    return both.astype(np.int64)
 
 
 def written_groups(a: pd.DataFrame, b: pd.DataFrame, link_a: np.ndarray, link_b: np.ndarray, rows: int) -> list[str]:
@@ -138,6 +141,14 @@ def written_groups(a: pd.DataFrame, b: pd.DataFrame, link_a: np.ndarray, link_b:
     return ["".join(parts[stop - n : stop].tolist()) for n, stop in zip(counts.tolist(), stops.tolist(), strict=True)]
 
 
+def closing(pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Of overlapping pairs those whose ends are equal, in order."""
+    links = pairs[pairs["end_a"] == pairs["end_b"]]
+    a = links["a"].to_numpy()
+    order = np.argsort(a)
+    return a[order], links["b"].to_numpy()[order]
+
+
 def aligned(texts: list[str], a: Side, b: Side) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame, list[str]]:
     """Tokens of both sides, their overlaps, and the groups of each text."""
     found = []
@@ -150,25 +161,31 @@ def aligned(texts: list[str], a: Side, b: Side) -> tuple[pd.DataFrame, pd.DataFr
             found[0][i] = found[1][i] = np.zeros(0, dtype=np.int64)
     table_a, table_b = token_table(found[0], a), token_table(found[1], b)
     pairs = overlaps(table_a, table_b)
-    links = pairs[pairs["end_a"] == pairs["end_b"]]
-    return table_a, table_b, pairs, written_groups(table_a, table_b, links["a"].to_numpy(), links["b"].to_numpy(), len(texts))
+    return table_a, table_b, pairs, written_groups(table_a, table_b, *closing(pairs), len(texts))
 
 
-def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per document: numbers of tokens and groups, the ``groups`` as text, and the ``links`` as id pairs in order."""
+def align(
+    docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
+) -> DataFrame:
+    """A row per document: numbers of tokens and groups, the ``groups`` as text, and the ``links`` as id pairs in order.
+
+    With ``digest``, ``groups`` is the lower-case hex SHA-256 of that text, empty where there are no tokens.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = sides(path_a, path_b)
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
-            for start, stop in slices(offsets):
+            for start, stop in slices(offsets, SLICE):
                 texts = batch.column(1).slice(start, stop - start).to_pylist()
                 n = len(texts)
                 left, right, pairs, groups = aligned(texts, a, b)
-                links = pairs[pairs["end_a"] == pairs["end_b"]]
-                row = left["row"].to_numpy()[links["a"].to_numpy()]
+                if digest:
+                    groups = [sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                links = closing(pairs)
+                row = left["row"].to_numpy()[links[0]]
                 at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-                ids = [pa.array(t["id"].to_numpy()[links[s].to_numpy()].astype(np.int32)) for s, t in (("a", left), ("b", right))]
+                ids = [pa.array(t["id"].to_numpy()[k].astype(np.int32)) for k, t in zip(links, (left, right), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), pa.array(np.bincount(left["row"], minlength=n)),
                      pa.array(np.bincount(right["row"], minlength=n)), pa.array(np.bincount(row, minlength=n)), pa.array(groups, pa.string()),
@@ -218,9 +235,8 @@ def scored(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
     the pairs over the links.
     """
     spark = docs.sparkSession
-    found = align(docs, path_a, path_b, id_col, text_col)
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
-    found = land(found.withColumn("groups_sha256", digest).drop("groups"), "aligned")
+    found = align(docs, path_a, path_b, id_col, text_col, digest=True)
+    found = land(found.withColumnRenamed("groups", "groups_sha256"), "aligned")
     possible = possible_links(*sides(path_a, path_b))
     counted = link_counts(found, possible).toArrow()
     counts = np.zeros(len(possible), dtype=np.int64)

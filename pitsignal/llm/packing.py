@@ -73,7 +73,13 @@ class ByteLevelEncoder:
         self.long_space = re.compile(rf"\s{{{LONG_SPACE}}}")
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special) or (len(text) >= LONG_SPACE and self.long_space.search(text)):
+        if any(s in text for s in self.special):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.plain(text)
+
+    def plain(self, text: str) -> list[int]:
+        """The ids of a text that spells no added token, or in which such a token is plain text."""
+        if len(text) >= LONG_SPACE and self.long_space.search(text):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

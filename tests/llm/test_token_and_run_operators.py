@@ -111,6 +111,16 @@ def test_overlaps_are_all_overlaps():
     assert set(zip(pairs["a"], pairs["b"], strict=True)) == want and len(pairs) == len(want)
 
 
+def test_side_a_gives_the_ids_of_the_tokenizer(spark, data, odd):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(A)
+    plain.encode_special_tokens = True
+    texts = [r.text for r in both(spark, data, odd).collect() if r.text]
+    texts += [" " * 60_000 + "<|endoftext|>", "".join(f"a{chr(p)}b {chr(p)}{chr(p)} 1{chr(p)}" for p in range(0x20, 0x3000))]
+    assert alignment.sides(A, B)[0].encode(texts) == [plain.encode(" " + t, add_special_tokens=False).ids for t in texts]
+
+
 def test_every_link_is_listed_as_possible():
     a, b = alignment.sides(A, B)
     possible = set(alignment.possible_links(a, b).tolist())
