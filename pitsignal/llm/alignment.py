@@ -17,7 +17,7 @@ plain text. Columns other than id and text are not looked at. Texts are encoded
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 
 import numpy as np
@@ -118,10 +118,18 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return both.astype(np.int64)
 
 
-def written_groups(a: pd.DataFrame, b: pd.DataFrame, link_a: np.ndarray, link_b: np.ndarray, rows: int) -> list[str]:
+def shown_ids(*sides: Side) -> np.ndarray:
+    """Each id as text, followed by a comma, a bar, a semicolon, or nothing."""
+    most = max(len(side.strings) for side in sides)
+    return np.array([f"{i}{end}" for i in range(most) for end in (",", "|", ";", "")], dtype=object)
+
+
+def written_groups(
+    a: pd.DataFrame, b: pd.DataFrame, link_a: np.ndarray, link_b: np.ndarray, rows: int, shown: np.ndarray
+) -> list[str]:
     """``a1,a2|b1;a3|b2,b3`` of each row: the ids of a group on both sides, groups apart by semicolons.
 
-    ``link_a`` and ``link_b`` are the numbers of the tokens that close the groups, in order.
+    ``link_a`` and ``link_b`` are the numbers of the tokens that close the groups, in order; ``shown`` is made by ``shown_ids``.
     """
     group_a = np.searchsorted(link_a, np.arange(len(a)))
     group_b = np.searchsorted(link_b, np.arange(len(b)))
@@ -135,9 +143,7 @@ def written_groups(a: pd.DataFrame, b: pd.DataFrame, link_a: np.ndarray, link_b:
     counts = np.bincount(a["row"], minlength=rows) + np.bincount(b["row"], minlength=rows)
     stops = np.cumsum(counts)
     mark[stops[counts > 0] - 1] = 3
-    values, back = np.unique(ids * 4 + mark, return_inverse=True)
-    shown = [f"{v >> 2}{',|;'[v & 3] if v & 3 < 3 else ''}" for v in values.tolist()]
-    parts = np.array(shown, dtype=object)[back] if shown else np.zeros(0, dtype=object)
+    parts = shown[ids * 4 + mark]
     return ["".join(parts[stop - n : stop].tolist()) for n, stop in zip(counts.tolist(), stops.tolist(), strict=True)]
 
 
@@ -149,7 +155,7 @@ def closing(pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return a[order], links["b"].to_numpy()[order]
 
 
-def aligned(texts: list[str], a: Side, b: Side) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame, list[str]]:
+def aligned(texts: list[str], a: Side, b: Side, shown: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame, list[str]]:
     """Tokens of both sides, their overlaps, and the groups of each text."""
     found = []
     whole = [(" " + text).encode() for text in texts]
@@ -161,39 +167,45 @@ def aligned(texts: list[str], a: Side, b: Side) -> tuple[pd.DataFrame, pd.DataFr
             found[0][i] = found[1][i] = np.zeros(0, dtype=np.int64)
     table_a, table_b = token_table(found[0], a), token_table(found[1], b)
     pairs = overlaps(table_a, table_b)
-    return table_a, table_b, pairs, written_groups(table_a, table_b, *closing(pairs), len(texts))
+    return table_a, table_b, pairs, written_groups(table_a, table_b, *closing(pairs), len(texts), shown)
 
 
-def align(
-    docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
-) -> DataFrame:
-    """A row per document: numbers of tokens and groups, the ``groups`` as text, and the ``links`` as id pairs in order.
+def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: numbers of tokens and groups, the ``groups`` as text, and the ``links`` as id pairs in order."""
+
+    def as_pairs(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.Array:
+        pairs = pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in (a, b)], names=["a", "b"])
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pairs)
+
+    return _aligned_rows(docs, path_a, path_b, id_col, text_col, lambda groups: groups, as_pairs, GROUP_SCHEMA)
 
-    With ``digest``, ``groups`` is the lower-case hex SHA-256 of that text, empty where there are no tokens.
-    """
+
+def _aligned_rows(
+    docs: DataFrame, path_a: str, path_b: str, id_col: str, text_col: str, write_groups: Callable[[list[str]], list[str]],
+    write_links: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Array], schema: str,
+) -> DataFrame:
+    """Rows of the aligned documents; the links of row i are those from ``at[i]`` to ``at[i + 1]``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = sides(path_a, path_b)
+        shown = shown_ids(a, b)
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
             for start, stop in slices(offsets, SLICE):
                 texts = batch.column(1).slice(start, stop - start).to_pylist()
                 n = len(texts)
-                left, right, pairs, groups = aligned(texts, a, b)
-                if digest:
-                    groups = [sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                left, right, pairs, groups = aligned(texts, a, b, shown)
                 links = closing(pairs)
                 row = left["row"].to_numpy()[links[0]]
-                at = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
-                ids = [pa.array(t["id"].to_numpy()[k].astype(np.int32)) for k, t in zip(links, (left, right), strict=True)]
+                ids = [t["id"].to_numpy()[k] for k, t in zip(links, (left, right), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(start, n), pa.array(np.bincount(left["row"], minlength=n)),
-                     pa.array(np.bincount(right["row"], minlength=n)), pa.array(np.bincount(row, minlength=n)), pa.array(groups, pa.string()),
-                     pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(ids, names=["a", "b"]))],
+                     pa.array(np.bincount(right["row"], minlength=n)), pa.array(np.bincount(row, minlength=n)),
+                     pa.array(write_groups(groups), pa.string()), write_links(*ids, np.searchsorted(row, np.arange(n + 1)))],
                     names=["doc_id", "n_a", "n_b", "n_groups", "groups", "links"],
                 )
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(work, GROUP_SCHEMA)
+    return id_and_text(docs, id_col, text_col).mapInArrow(work, schema)
 
 
 def possible_links(a: Side, b: Side) -> np.ndarray:
@@ -208,53 +220,59 @@ def possible_links(a: Side, b: Side) -> np.ndarray:
     return np.array(sorted(out), dtype=np.int64)
 
 
-def _codes(links: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    offsets = links.offsets.to_numpy().astype(np.int64)
-    values = links.values.slice(offsets[0], offsets[-1] - offsets[0])
-    a, b = (values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
-    return b << 32 | a, offsets - offsets[0]
+def _places(links: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The places among the possible links that rows of bytes hold, and the rows' offsets."""
+    data, offsets = text_bytes(links)
+    return np.frombuffer(data.tobytes(), np.int32), offsets // 4
 
 
-def link_counts(found: DataFrame, possible: np.ndarray) -> DataFrame:
-    """``code`` and ``n`` of the linked id pairs, counted in each task before the shuffle."""
+def link_counts(found: DataFrame, possible: int) -> DataFrame:
+    """``place`` and ``n`` of the linked id pairs, counted in each task before the shuffle."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(possible), dtype=np.int64)
+        counts = np.zeros(possible, dtype=np.int64)
         for batch in batches:
-            counts += np.bincount(np.searchsorted(possible, _codes(batch.column(0))[0]), minlength=len(possible))
+            counts += np.bincount(_places(batch.column(0))[0], minlength=possible)
         seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(possible[seen]), pa.array(counts[seen])], names=["code", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["place", "n"])
 
-    return found.select("links").mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return found.select("links").mapInArrow(work, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
 
 
 def scored(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document, the aligned groups and how its links fare in the corpus.
+    """Per document, the digest of the aligned groups and how its links fare in the corpus.
 
     ``n_best`` counts links whose id pair is the most frequent of its B id, ties included; ``count_sum`` adds up the counts of
     the pairs over the links.
     """
     spark = docs.sparkSession
-    found = align(docs, path_a, path_b, id_col, text_col, digest=True)
-    found = land(found.withColumnRenamed("groups", "groups_sha256"), "aligned")
     possible = possible_links(*sides(path_a, path_b))
-    counted = link_counts(found, possible).toArrow()
+    known = spark.sparkContext.broadcast(possible)
+
+    def as_places(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.Array:
+        place = np.searchsorted(known.value, b << 32 | a).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(place)])
+
+    def as_digests(groups: list[str]) -> list[str]:
+        return [sha256(g.encode()).hexdigest() if g else "" for g in groups]
+
+    schema = "doc_id long, n_a long, n_b long, n_groups long, groups string, links binary"
+    found = land(_aligned_rows(docs, path_a, path_b, id_col, text_col, as_digests, as_places, schema), "aligned")
+    counted = link_counts(found, len(possible)).toArrow()
     counts = np.zeros(len(possible), dtype=np.int64)
-    counts[np.searchsorted(possible, counted["code"].to_numpy())] = counted["n"].to_numpy()
-    most = np.maximum.reduceat(counts, np.flatnonzero(np.diff(possible >> 32, prepend=-1))) if len(possible) else counts
-    best = counts == most[np.cumsum(np.diff(possible >> 32, prepend=-1) > 0) - 1] if len(possible) else counts > 0
-    sent = spark.sparkContext.broadcast((possible, counts, best))
+    counts[counted["place"].to_numpy()] = counted["n"].to_numpy()
+    first = np.diff(possible >> 32, prepend=-1) > 0  # of each B id
+    best = counts == np.maximum.reduceat(counts, np.flatnonzero(first))[np.cumsum(first) - 1]
+    sent = spark.sparkContext.broadcast((counts, best.astype(np.int64)))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count, top = sent.value
+        count, top = sent.value
         for batch in batches:
-            codes, at = _codes(batch.column("links"))
-            place = np.searchsorted(known, codes)
-            sums = [np.concatenate([[0], np.cumsum(v[place])]) for v in (top.astype(np.int64), count)]
-            n = np.diff(at)
+            place, at = _places(batch.column("links"))
+            sums = [np.concatenate([[0], np.cumsum(v[place])]) for v in (top, count)]
             arrays = {c: batch.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")}
-            arrays |= {"n_links": pa.array(n), "n_best": pa.array(sums[0][at[1:]] - sums[0][at[:-1]])}
-            arrays |= {"count_sum": pa.array(sums[1][at[1:]] - sums[1][at[:-1]]), "groups_sha256": batch.column("groups_sha256")}
+            arrays |= {"n_links": pa.array(np.diff(at)), "n_best": pa.array(sums[0][at[1:]] - sums[0][at[:-1]])}
+            arrays |= {"count_sum": pa.array(sums[1][at[1:]] - sums[1][at[:-1]]), "groups_sha256": batch.column("groups")}
             yield pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
