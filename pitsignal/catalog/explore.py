@@ -411,6 +411,22 @@ def hourly_activity(spark, sf_dir):
     return reports.truck_report({"sensor": sensor(spark, sf_dir)}, "T-212")["hourly_activity"]
 
 
+@query("hourly_activity_by_truck", having("sensor")
+       + """SELECT Equipment AS truck, coalesce(hour(TimeStamp), 0) AS hour, count(*) AS n FROM sensor GROUP BY 1, 2""")
+def hourly_activity_by_truck(spark, sf_dir):
+    """The report's hours of every truck of the table; trucks are as many as the fleet has."""
+    rows = sensor(spark, sf_dir)
+    hour = F.coalesce(F.hour("TimeStamp"), F.lit(0))
+    return rows.groupBy(F.col("Equipment").alias("truck"), hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("daily_counts_by_metric", having("telemetry", d=f"""SELECT metric, year({_LOCAL}) AS year, month({_LOCAL}) AS month, day({_LOCAL}) AS day,
+       count(*) AS n FROM telemetry GROUP BY ALL""")
+       + f"SELECT metric, year, month, day, n, {_MONTHS}[month] AS month_name FROM d")
+def daily_counts_by_metric(spark, sf_dir):
+    return activity.daily_counts(telemetry(spark, sf_dir), to_site_time(TS), ["metric"])
+
+
 @query("telemetry_report", having("telemetry", o=_OUT)
        + f"""SELECT 'mean_value' AS item, {dec('avg(value)', 'amount')} FROM telemetry
        UNION ALL SELECT 'distinct_times', {dec('count(DISTINCT created_at_local)', 'amount')} FROM telemetry

@@ -15,7 +15,7 @@ from pitsignal.operators.filters import require_columns, split_valid
 from pitsignal.operators.keyed import join_keys
 from pitsignal.operators.profile import describe_numeric, value_counts
 from pitsignal.operators.quality import valid_ratio
-from pitsignal.operators.quantiles import bounded_quantiles
+from pitsignal.operators.quantiles import exact_quantiles
 from pitsignal.operators.sequence import gap_counts
 
 
@@ -28,13 +28,13 @@ def parse_times(raw: DataFrame, ts: str = "created_at_local", zone: str = SITE_Z
 def metric_gaps(df: DataFrame, ts: str, keys: Sequence[str] = ("metric",)) -> DataFrame:
     """First and last time, rows, and median gap in seconds per metric; 0 for one row.
 
-    The medians are taken over the counts of distinct gaps, of which a metric has few.
+    The medians are taken over the counts of distinct gaps, however many a metric has.
     """
     keys = list(keys)
     spans = df.filter(F.col(ts).isNotNull()).groupBy(*keys).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")
     )
-    medians = bounded_quantiles(gap_counts(df, keys, ts), keys, "gap", [0.5], "n").select(
+    medians = exact_quantiles(gap_counts(df, keys, ts), keys, "gap", [0.5], "n").select(
         *keys, F.col("quantiles")[0].alias("__gap")
     )
     return join_keys(spans, medians, keys, "left").withColumn(
