@@ -17,6 +17,7 @@ from pitsignal.operators.profile import describe_numeric, value_counts
 from pitsignal.operators.quality import valid_ratio
 from pitsignal.operators.quantiles import exact_quantiles
 from pitsignal.operators.sequence import gap_counts
+from pitsignal.session import land
 
 
 def parse_times(raw: DataFrame, ts: str = "created_at_local", zone: str = SITE_ZONE) -> DataFrame:
@@ -34,7 +35,9 @@ def metric_gaps(df: DataFrame, ts: str, keys: Sequence[str] = ("metric",)) -> Da
     spans = df.filter(F.col(ts).isNotNull()).groupBy(*keys).agg(
         F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")
     )
-    medians = exact_quantiles(gap_counts(df, keys, ts), keys, "gap", [0.5], "n").select(
+    # Read by each pass of the selection, so the gaps are worked out once.
+    gaps = land(gap_counts(df, keys, ts), "gaps")
+    medians = exact_quantiles(gaps, keys, "gap", [0.5], "n").select(
         *keys, F.col("quantiles")[0].alias("__gap")
     )
     return join_keys(spans, medians, keys, "left").withColumn(
