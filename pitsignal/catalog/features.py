@@ -193,23 +193,35 @@ def row_gaps(spark, sf_dir):
     return gaps.select("event_id", "truck", "metric", "gap_seconds")
 
 
-@query("rolling_mean_chunked", having("telemetry")
-       + f"""SELECT event_id, {dec('''avg(value) OVER (PARTITION BY truck, metric ORDER BY created_at_local
-           ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)''', 'value_rolling')} FROM telemetry""")
+_TRAILING_SQL = having("telemetry") + f"""SELECT event_id, {dec('''avg(value) OVER (PARTITION BY truck, metric
+    ORDER BY created_at_local, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)''', 'value_rolling')} FROM telemetry"""
+
+
+@query("rolling_mean_chunked", _TRAILING_SQL)
 def rolling_mean_chunked(spark, sf_dir):
     """Trailing mean over raw rows, cut by day; a day is given the last rows before it."""
     rows = telemetry(spark, sf_dir).select("event_id", "truck", "metric", TS, "value")
-    out = sequence.trailing_mean(rows, ["truck", "metric"], TS, "value", "value_rolling", 5, "day")
+    out = sequence.trailing_mean(
+        rows, ["truck", "metric"], TS, "value", "value_rolling", 5, "day", ties=["event_id"]
+    )
     return out.select("event_id", "value_rolling")
 
 
-@query("rolling_mean", having("telemetry")
-       + f"""SELECT event_id, {dec('''avg(value) OVER (PARTITION BY truck, metric ORDER BY created_at_local
-           ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)''', 'value_rolling')} FROM telemetry""")
+@query("rolling_mean", _TRAILING_SQL)
 def rolling_mean(spark, sf_dir):
-    """The same over raw rows, cut into hours."""
+    """The same over raw rows, cut into blocks of one size by their number."""
     rows = telemetry(spark, sf_dir).select("event_id", "truck", "metric", TS, "value")
-    out = sequence.trailing_mean(rows, ["truck", "metric"], TS, "value", "value_rolling", 5, "hour")
+    out = sequence.trailing_mean(rows, ["truck", "metric"], TS, "value", "value_rolling", 5, ties=["event_id"])
+    return out.select("event_id", "value_rolling")
+
+
+@query("rolling_mean_one_day", having("telemetry") + f"""SELECT event_id, {dec('''avg(value) OVER (
+    ORDER BY date_trunc('day', created_at_local), event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)''', 'value_rolling')}
+    FROM telemetry""")
+def rolling_mean_one_day(spark, sf_dir):
+    """Trailing mean of the whole table as one series whose times are days, so that nearly all rows repeat one."""
+    rows = telemetry(spark, sf_dir).select("event_id", F.date_trunc("day", TS).alias("day"), "value")
+    out = sequence.trailing_mean(rows, [], "day", "value", "value_rolling", 5, ties=["event_id"])
     return out.select("event_id", "value_rolling")
 
 

@@ -8,13 +8,14 @@ way on the next coarser chunk.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitsignal.functions.times import seconds_between
 from pitsignal.operators.keyed import join_keys
+from pitsignal.operators.shaping import number_rows
 
 Chunker = Callable[[Column], Column]
 
@@ -30,6 +31,9 @@ def by_range(width: int) -> Chunker:
 # Width of the ranges into which an integer order is cut.
 RANGE_ROWS = 1_000_000
 
+# Rows of a block of the trailing mean.
+BLOCK_ROWS = 100_000
+
 
 def time_chunks() -> list[Chunker]:
     """Chunks for stitching, finest first: hours of a key, then its days."""
@@ -118,31 +122,50 @@ def trailing_mean(
     out: str,
     rows: int = 5,
     unit: str | None = None,
+    ties: Sequence[str] = (),
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Mean of the current and up to ``rows - 1`` earlier rows, at least one row.
 
-    With ``unit`` (``hour``, ``day``, ...) the rows of a key are cut into chunks and each chunk is
-    given the last rows of the chunks before it.
+    Rows of one time follow the columns ``ties``, then a hash of the row, so the result does not hang on
+    how the rows are dealt; rows without a time come first.
+
+    Rows are numbered over the whole table and cut into blocks of ``block_rows``; the last ``rows - 1``
+    rows of a block are sent to the next one, too. A block is of one size whatever a key or a day holds.
+    With ``unit`` (``hour``, ``day``, ...) the rows of a key are cut by the clock instead and
+    each chunk is given the last rows of the chunks before it, which saves the numbering where
+    a chunk is small by nature, as one row per bucket is.
     """
     frame = (-(rows - 1), 0)
     if unit is None:
-        w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(*frame)
-        return df.withColumn(out, F.avg(value).over(w))
+        width = max(block_rows, rows)
+        numbered = number_rows(df, [*keys, ts, *ties], "__n")
+        own = F.floor(F.col("__n") / width).cast("bigint")
+        blocks = F.when(F.pmod("__n", F.lit(width)) > width - rows, F.array(own, own + 1)).otherwise(F.array(own))
+        w = Window.partitionBy(*keys, "__block").orderBy("__n").rowsBetween(*frame)
+        return (
+            numbered.withColumns({"__own": own, "__block": F.explode(blocks)})
+            .withColumn(out, F.avg(value).over(w))
+            .filter(F.col("__block") == F.col("__own"))
+            .drop("__n", "__own", "__block")
+        )
 
     chunk = [*keys, "__chunk"]
+    place = ["__time", "__tie"]
     cut = df.withColumns({
-        "__chunk": F.date_trunc(unit, F.col(ts)), "__time": F.col(ts), "__value": F.col(value),
+        "__chunk": F.date_trunc(unit, F.col(ts)), "__time": F.col(ts),
+        "__tie": F.struct(*ties, F.xxhash64(*df.columns).alias("__hash")), "__value": F.col(value),
         "__row": F.struct(*df.columns),
-    }).select(*chunk, "__time", "__value", "__row")
-    newest_first = Window.partitionBy(*chunk).orderBy(F.desc("__time"))
+    }).select(*chunk, *place, "__value", "__row")
+    newest_first = Window.partitionBy(*chunk).orderBy(*[F.desc(c) for c in place])
     tails = (
         cut.withColumn("__nth", F.row_number().over(newest_first))
         .filter(F.col("__nth") < rows)
         .groupBy(*chunk)
-        .agg(F.collect_list(F.struct("__time", "__value")).alias("__tail"))
+        .agg(F.collect_list(F.struct(*place, "__value")).alias("__tail"))
     )
     chunks_in_order = Window.partitionBy(*keys).orderBy("__chunk")
-    empty = F.expr("cast(array() as array<struct<__time:timestamp_ntz,__value:double>>)")
+    empty = F.array().cast(tails.schema["__tail"].dataType)
     before = F.concat(*[
         F.coalesce(F.lag("__tail", i).over(chunks_in_order), empty) for i in range(1, rows)
     ])
@@ -152,7 +175,7 @@ def trailing_mean(
         .select(*chunk, F.inline("__before"))
         .withColumn("__row", F.lit(None).cast(cut.schema["__row"].dataType))
     )
-    w = Window.partitionBy(*chunk).orderBy("__time").rowsBetween(*frame)
+    w = Window.partitionBy(*chunk).orderBy(*place).rowsBetween(*frame)
     return (
         cut.unionByName(halo)
         .withColumn("__mean", F.avg("__value").over(w))

@@ -182,6 +182,25 @@ def test_density_against_formula(spark):
     assert curve.count() == 200 and curve.filter("density = 0").count() > 0
 
 
+def test_density_by_cells_holds_for_many_values_outliers_and_hot_values(spark):
+    rng = np.random.default_rng(4)
+    groups = {
+        "even": rng.normal(50, 10, 3000), "hot": np.r_[np.full(3000, 7.25), rng.gamma(2, 3, 500)],
+        "far": np.r_[rng.normal(0, 1, 500), 400.0], "two": np.array([-1.0, 3.0]),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs] + [("even", None)], "k string, v double")
+    got = {}
+    for r in distribution.kernel_density(df, "v", ["k"]).collect():
+        got.setdefault(r["k"], {})[r["point"]] = (r["x"], r["density"])
+    for k, vs in groups.items():
+        h = vs.std(ddof=1) * len(vs) ** -0.2
+        x = np.linspace(vs.min(), vs.max(), 200)
+        want = np.exp(-0.5 * ((x[:, None] - vs) / h) ** 2).sum(axis=1) / (len(vs) * h * np.sqrt(2 * np.pi))
+        shown = np.array([got[k][i] for i in range(200)])
+        np.testing.assert_allclose(shown[:, 0], x, rtol=1e-9, atol=1e-9)
+        assert np.abs(shown[:, 1] - want).max() < 1e-12 and shown[:, 1].min() >= 0
+
+
 def test_activity(spark):
     rows = [(datetime(2024, 1, d, h), m) for d, h, m in [(1, 0, "a"), (1, 5, "a"), (3, 5, "a"), (3, 5, "b")]]
     df = spark.createDataFrame([*rows, (None, "a")], "t timestamp_ntz, m string")

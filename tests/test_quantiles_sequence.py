@@ -145,3 +145,34 @@ def test_trailing_mean(spark, unit):
         series = [(t, v) for kk, t, v in rows if kk == k]
         for i, (t, _) in enumerate(series):
             assert got[(k, t)] == pytest.approx(np.mean([v for _, v in series[max(0, i - 4):i + 1]]))
+
+
+@pytest.mark.parametrize("unit", [None, "day"])
+def test_trailing_mean_of_one_hot_day_with_repeated_times(spark, unit):
+    rnd = random.Random(5)
+    # One day holds all rows of one key; a time stands on some 40 rows, and some rows are equal.
+    rows = [("a", START + timedelta(minutes=rnd.randrange(10)), i, float(rnd.randrange(100))) for i in range(400)]
+    rows += [("b", None, 1000, 3.0), ("b", START, 1001, None), ("b", START, 1002, 5.0), *rows[:3]]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, i long, v double")
+    want = []
+    for key in ("a", "b"):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or START, r[2]))
+        for n, (_, _, i, _) in enumerate(own):
+            seen = [v for *_, v in own[max(0, n - 4):n + 1] if v is not None]
+            want.append((key, i, round(sum(seen) / len(seen), 9) if seen else None))
+    for parts in (1, 7):
+        dealt = df.repartition(parts, "i")
+        got = trailing_mean(dealt, ["k"], "t", "v", "m", 5, unit, ties=["i"], block_rows=16)
+        assert got.columns == ["k", "t", "i", "v", "m"]
+        found = [(r["k"], r["i"], None if r["m"] is None else round(r["m"], 9)) for r in got.collect()]
+        assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_trailing_mean_without_ties_is_fixed_by_the_rows(spark):
+    df = spark.range(300).select((F.col("id") % 3).alias("t"), (F.col("id") * 7 % 50).cast("double").alias("v"))
+    runs = [
+        sorted(map(tuple, trailing_mean(df.repartition(n), [], "t", "v", "m", 4, block_rows=10).collect()))
+        for n in (1, 5)
+    ]
+    assert len(runs[0]) == 300 and runs[0] == runs[1]
+    assert trailing_mean(df.limit(0), [], "t", "v", "m").count() == 0
