@@ -15,7 +15,7 @@ from pitsignal.plans import fuel, temporal, wide
 from pitsignal.session import scratch_dir
 from pitsignal.sinks import files as sinks
 from pitsignal.sinks.workbook import write_arrow, write_lines, write_workbooks
-from pitsignal.sources import columnar, delimited, files, loader, workbook
+from pitsignal.sources import columnar, delimited, files, loader, quoted, workbook
 
 
 def _sensor_text(spark, sf_dir):
@@ -321,3 +321,16 @@ def report_saved(spark, sf_dir):
     path = sinks.write_report({"density": density}, folder)[0]
     return columnar.read_parquet(spark, path)
 
+
+@query("scan_quoted", """SELECT doc_id, lang, length(text) AS n_chars, md5(text) AS digest,
+       length(text) - length(replace(text, chr(10), '')) AS n_line_ends FROM documents""")
+def scan_quoted(spark, sf_dir):
+    """All documents written with quoted fields that hold line ends, and read back in splits."""
+    folder = scratch_dir(spark, "quoted")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows.write.option("header", True).option("quoteAll", True).option("escape", quoted.QUOTE).csv(folder)
+    text = F.col("text")
+    return quoted.read_quoted(spark, folder, rows.schema).select(
+        "doc_id", "lang", F.length(text).alias("n_chars"), F.md5(text.cast("binary")).alias("digest"),
+        (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).alias("n_line_ends"),
+    )
