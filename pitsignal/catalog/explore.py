@@ -241,15 +241,15 @@ def auto_histogram(spark, sf_dir):
     return distribution.auto_histogram(table(spark, sf_dir, "events"), "value")
 
 
-def _kde_sql(keys: str) -> str:
+def _kde_sql(keys: str, view: str = "telemetry", value: str = "value") -> str:
     on = "true" if not keys else f"f.{keys} = s.{keys}"
     cols = f"f.{keys}, " if keys else ""
     key = f"{keys}, " if keys else ""
     tail = f"GROUP BY {keys}" if keys else ""
-    return having("telemetry",
-        s=f"""SELECT {key}count(value) AS n, min(value) AS lo, max(value) AS hi,
-            stddev_samp(value) * pow(count(value), -0.2) AS h FROM telemetry {tail}""",
-        f=f"SELECT {key}value AS v, count(*) AS c FROM telemetry GROUP BY {key}value",
+    return having(view,
+        s=f"""SELECT {key}count({value}) AS n, min({value}) AS lo, max({value}) AS hi,
+            stddev_samp({value}) * pow(count({value}), -0.2) AS h FROM {view} {tail}""",
+        f=f"SELECT {key}{value} AS v, count(*) AS c FROM {view} GROUP BY {key}{value}",
         g=f"""SELECT {cols}i AS point, lo + i * ((hi - lo) / 199) AS x, v, c, n, h
             FROM f JOIN s ON {on} CROSS JOIN generate_series(0, 199) g(i)""") + f"""
         SELECT {key}point, {dec('x', 'x')},

@@ -10,9 +10,9 @@ from pitsignal.catalog.views import _truck, fuel_dispatch, having, table, teleme
 from pitsignal.functions.maths import to_number
 from pitsignal.functions.text import time_text
 from pitsignal.layouts import SENSOR_COLUMNS
-from pitsignal.operators import distribution, filters
+from pitsignal.operators import distribution, filters, sequence
 from pitsignal.plans import fuel, temporal, wide
-from pitsignal.session import scratch_dir
+from pitsignal.session import land, scratch_dir
 from pitsignal.sinks import files as sinks
 from pitsignal.sinks.workbook import write_arrow, write_lines, write_workbooks
 from pitsignal.sources import columnar, delimited, files, loader, quoted, workbook
@@ -89,6 +89,23 @@ def scan_sorted(spark, sf_dir):
     return sensor.groupBy("Equipment").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("load_order", f"""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS violations, {stamp('min(ts)', 'first')}, {stamp('max(ts)', 'last')}
+       FROM events""")
+def load_order(spark, sf_dir):
+    """All trucks' files in time order: every row against the one before it, across the borders of partitions, too."""
+    base = scratch_dir(spark, "order")
+    _write_sensor_lines(spark, sf_dir, base)
+    loaded = loader.load_datasets(spark, base, "val_data", "*").datasets["sensor"]
+    # The place is fixed by landing the loaded order once.
+    placed = land(loaded.select("TimeStamp", F.monotonically_increasing_id().alias("place")), "order")
+    ends = placed.agg(F.min_by("TimeStamp", "place").alias("first"), F.max_by("TimeStamp", "place").alias("last"))
+    shown = [F.date_format(F.col(c).cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c) for c in ("first", "last")]
+    ends = ends.select(*shown)
+    return sequence.order_violations(placed, [], "place", "TimeStamp").withColumns({
+        c: ends.select(c).scalar() for c in ends.columns
+    })
+
+
 @query("separators", """SELECT CASE (210 + user_id % 14) % 3 WHEN 0 THEN ',' WHEN 1 THEN ';' ELSE chr(9) END AS separator,
        count(DISTINCT user_id % 14) AS trucks FROM events GROUP BY 1""")
 def separators(spark, sf_dir):
