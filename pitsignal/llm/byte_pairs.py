@@ -2,8 +2,8 @@
 
 A rank file lists byte strings in order of rank; the rank is the id. A text is split by the pattern, and each match is encoded for
 itself: a match that is listed is one id, any other starts as its bytes, of which the leftmost pair of least rank is
-contracted until no two neighbours join to a listed string. In each task DuckDB does so for all matches at once that the task has
-not met: rows of (word, pos, id) join the table of merges, each word's best pair is written over, and a
+contracted until no two neighbours join to a listed string. In each task DuckDB does so for all matches at once that its worker
+has not met: rows of (word, pos, pair of ids) join the table of merges, each word's leftmost pair of least rank is contracted, and a
 word that no longer changes leaves the recursion.
 
 A match above ``WINDOW`` bytes is put together from windows of that size. Neighbouring ids of an encoding always are the encoding of their own
@@ -21,8 +21,10 @@ error in ``decode``. Marks such as ``<|endoftext|>`` inside a text are plain tex
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,35 +36,32 @@ from pitsignal.llm.common import id_and_text
 
 #: Bytes of a match that is encoded in one piece.
 WINDOW = 64
-#: Matches that a task keeps the ids of.
+#: Matches that a worker keeps the ids of.
 KEPT = 1 << 19
-#: Rows of (word, pos, id) of one recursive query, and tokens of one decoding query.
+#: Bytes of the words of one recursive query, and tokens of one decoding query.
 LETTER_ROWS = 200_000
 QUERY_ROWS = 1 << 20
 
+# A step takes the words that the step before it wrote, lays each out as rows (word, pos, pair), and writes the words again whose best
+# pair it has contracted; ``place`` orders the pairs of a word by rank, then position.
 ENCODE = """
-WITH RECURSIVE piece(word, pos, id) USING KEY (word, pos) AS (
-  SELECT word, pos, id FROM letters
+WITH RECURSIVE piece(word, ids) USING KEY (word) AS (
+  SELECT word, ids FROM letters
   UNION
-  SELECT word, unnest([pos, after]), unnest([made, -1]) FROM (
-    SELECT word, arg_min(pos, place) AS pos, arg_min(after, place) AS after, min(joined) AS made
+  SELECT word, list_concat(list_concat(ids[:(place & 4294967295) - 1], [(place >> 32)::INTEGER]), ids[(place & 4294967295) + 2:])
+  FROM piece JOIN (
+    SELECT word, min(joined::BIGINT * 4294967296 + pos) AS place
     FROM (
-      SELECT word, pos, after, joined, joined::BIGINT * 4294967296 + pos AS place
-      FROM (
-        SELECT word, pos, id, lead(id) OVER w AS next, lead(pos) OVER w AS after
-        FROM recurring.piece SEMI JOIN (SELECT DISTINCT word FROM piece) USING (word)
-        WHERE id >= 0
-        WINDOW w AS (PARTITION BY word ORDER BY pos)
-      ) AS pairs JOIN merges ON merges.one = id AND merges.two = next
-    ) AS ranked
+      SELECT word, generate_subscripts(ids, 1) AS pos, unnest(ids)::BIGINT * 4294967296 + unnest(ids[2:]) AS pair FROM piece
+    ) AS pairs JOIN merges USING (pair)
     GROUP BY word
-  ) AS best
+  ) AS best USING (word)
 )
-SELECT word, list(id ORDER BY pos) AS ids FROM piece WHERE id >= 0 GROUP BY word ORDER BY word
+SELECT word, ids FROM piece ORDER BY word
 """
 
 DECODE = """
-SELECT place, unhex(string_agg(hex(bytes), '' ORDER BY pos)) AS bytes, count(*) AS known
+SELECT place, unhex(list_aggregate(list(digits ORDER BY pos), 'string_agg', '')) AS bytes, count(*) AS known
 FROM tokens JOIN vocabulary USING (id) GROUP BY place ORDER BY place
 """
 
@@ -74,15 +73,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
-    """Every way (one, two, joined) to join two listed strings to a listed one."""
+    """Every way to join two listed strings to a listed one: ``pair``, the two ranks in one number, and ``joined``."""
     rows = [
-        (ranks[text[:k]], ranks[text[k:]], rank)
+        (ranks[text[:k]] << 32 | ranks[text[k:]], rank)
         for text, rank in ranks.items()
         for k in range(1, len(text))
         if text[:k] in ranks and text[k:] in ranks
     ]
-    columns = np.array(rows, dtype=np.int32).reshape(-1, 3)
-    return pa.table({name: pa.array(columns[:, i]) for i, name in enumerate(("one", "two", "joined"))})
+    columns = np.array(rows, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"pair": pa.array(columns[:, 0]), "joined": pa.array(columns[:, 1].astype(np.int32))})
 
 
 class BytePairs:
@@ -101,50 +100,77 @@ class BytePairs:
         for text, rank in self.ranks.items():
             self.sizes[rank] = len(text)
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
-        self._table("merges", merge_table(self.ranks))
-        listed = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "bytes": pa.array(self.ranks.keys(), pa.binary())})
-        self._table("vocabulary", listed)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.made: set[str] = set()
+        self._forget()
         self.pieces: dict[bytes, tuple[int, ...]] = {}
 
-    def _table(self, name: str, rows: pa.Table) -> None:
+    def _table(self, name: str) -> None:
+        """Make one of the two tables, if it is not there: ``merges`` to encode, ``vocabulary`` to decode."""
+        if name in self.made:
+            return
+        if name == "merges":
+            rows = merge_table(self.ranks)
+        else:
+            digits = [text.hex() for text in self.ranks]
+            rows = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "digits": pa.array(digits)})
         self.con.register("given", rows)
         self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.con.unregister("given")
+        self.made.add(name)
+
+    def _forget(self) -> None:
+        """No match is known: numbers of matches, their ids one after the other, and where those of each begin and end."""
+        self.words: dict[str, int] = {}
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text."""
+        ids, offsets = self.encode_flat(texts)
+        flat, at = ids.tolist(), offsets.tolist()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and the texts' offsets into them."""
         if len(self.words) > KEPT:
-            self.words.clear()
+            self._forget()
         split = [self.split(text) for text in texts]
-        new = {w for words in split for w in words if w not in self.words}
-        self._learn(sorted(new))
-        return [list(chain.from_iterable(map(self.words.__getitem__, words))) for words in split]
+        self._learn(sorted(set().union(*split) - self.words.keys()))
+        counts = np.array([len(words) for words in split], dtype=np.int64)
+        number = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        begin = self.bounds[number]
+        ends = np.concatenate([[0], np.cumsum(self.bounds[number + 1] - begin)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], np.diff(ends))]
+        return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
     def _learn(self, words: list[str]) -> None:
+        found: dict[str, tuple[int, ...]] = {}
         short, long = [], []
         for word in words:
             piece = word.encode()
             if piece in self.ranks:
-                self.words[word] = (self.ranks[piece],)
+                found[word] = (self.ranks[piece],)
             elif len(piece) <= WINDOW:
                 short.append((word, piece))
             else:
                 long.append((word, piece))
-        for (word, _), ids in zip(short, self._contract([p for _, p in short]), strict=True):
-            self.words[word] = ids
+        found.update(zip((w for w, _ in short), self._contract([p for _, p in short]), strict=True))
         if long:
             if len(self.pieces) > KEPT:
                 self.pieces.clear()
             half = WINDOW // 2
             self._windows(p[at : at + WINDOW] for _, p in long for at in range(0, len(p), half))
             for word, piece in long:
-                self.words[word] = self._joined(piece)
+                found[word] = self._joined(piece)
+        sizes = np.array([len(ids) for ids in found.values()], dtype=np.int64)
+        self.words.update(zip(found, range(len(self.words), len(self.words) + len(found)), strict=True))
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        more = np.fromiter(chain.from_iterable(found.values()), np.int32, int(sizes.sum()))
+        self.ids = np.concatenate([self.ids, more])
 
     def _contract(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
         """The ids of each of the distinct pieces, in their order, by contraction alone.
 
-        Pieces of like size share a query, since each of its steps reads the finished ones again.
+        Pieces of like size share a query, so that few of its steps are about few words.
         """
         order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
         found: list[tuple[int, ...]] = [()] * len(pieces)
@@ -153,6 +179,7 @@ class BytePairs:
         return iter(found)
 
     def _in_steps(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
+        self._table("merges")
         sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
@@ -161,10 +188,10 @@ class BytePairs:
             stop = max(start + 1, int(np.searchsorted(ends, before + LETTER_ROWS, side="right")))
             n = sizes[start:stop]
             flat = np.frombuffer(b"".join(pieces[start:stop]), np.uint8)
+            at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             letters = pa.table({
-                "word": pa.array(np.repeat(np.arange(len(n), dtype=np.int32), n)),
-                "pos": pa.array((np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)),
-                "id": pa.array(self.bytes[flat]),
+                "word": pa.array(np.arange(len(n), dtype=np.int32)),
+                "ids": pa.ListArray.from_arrays(pa.array(at), pa.array(self.bytes[flat])),
             })
             self.con.register("letters", letters)
             found = self.con.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
@@ -230,6 +257,7 @@ class BytePairs:
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes of each run of ids between two offsets."""
+        self._table("vocabulary")
         out: list[bytes] = []
         rows, start = len(offsets) - 1, 0
         while start < rows:
@@ -254,14 +282,27 @@ class BytePairs:
         return out
 
 
+@lru_cache(maxsize=2)
+def _opened(path: str, pattern: str, changed: int, size: int) -> BytePairs:
+    return BytePairs(path, pattern)
+
+
+def coder_of(path: str, pattern: str) -> BytePairs:
+    """The coder of a file and pattern in this process: a Python worker serves many tasks, which share its tables and the at most
+    about ``KEPT`` matches that it knows. A file that has changed is read anew."""
+    state = os.stat(path)
+    return _opened(path, pattern, state.st_mtime_ns, state.st_size)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``ids`` of each row."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = BytePairs(path, pattern)
+        coder = coder_of(path, pattern)
         for batch in batches:
-            found = coder.encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, offsets = coder.encode_flat(batch.column(1).to_pylist())
+            found = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["doc_id", "ids"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(work, "doc_id long, ids array<int>")
 
@@ -270,7 +311,7 @@ def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id``, ``ids`` and their ``decoded`` bytes of rows with doc_id and ids."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = BytePairs(path, pattern)
+        coder = coder_of(path, pattern)
         for batch in batches:
             lists = batch.column(1)
             offsets = lists.offsets.to_numpy().astype(np.int64)
