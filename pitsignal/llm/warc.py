@@ -38,6 +38,9 @@ LEAST_BYTES = 1000
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
 CUTS = 4096
+#: Shards at most. Above SHARD_BYTES times this (2 TB) shards hold more bytes, so that the driver's table of starts and what each task gets
+#: of it stay below 1 MB. Files are rolled by their own size all the same.
+MOST_SHARDS = 1 << 16
 LEAST_ID = -(1 << 63)
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
@@ -45,12 +48,13 @@ SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace o
 MANIFEST = "file string, shard long, part long, records long, bytes long, sha256 string"
 
 
-def shard_starts(pages: DataFrame, key: str, cut: Column, size: Column, target: int) -> list[tuple[int, int]]:
-    """Places (key, cut) at which shards after the first begin, so that a shard holds about ``target`` bytes.
+def shard_starts(pages: DataFrame, key: str, cut: Column, size: Column, target: int, most: int = MOST_SHARDS) -> list[tuple[int, int]]:
+    """Places (key, cut) at which shards after the first begin, so that a shard holds about ``target`` bytes, or as many as ``most``
+    shards need to hold all.
 
     Bytes are summed per place, and running sums are taken over ranges of places, each from the sum of the ranges before it. A
     place belongs to the shard in which its first byte falls. The driver gets a row per range, as many as there are shuffle
-    partitions, and a row per shard, which is a task. A null key counts as the smallest.
+    partitions, and a row per shard, ``most`` at most. A null key counts as the smallest.
     """
     spark = pages.sparkSession
     places = pages.select(F.coalesce(F.col(key), F.lit(LEAST_ID)).alias("k"), cut.cast("int").alias("cut"), size.cast("bigint").alias("n"))
@@ -78,7 +82,8 @@ def shard_starts(pages: DataFrame, key: str, cut: Column, size: Column, target:
         return []
     offsets = np.cumsum([0, *[n for _, n in sums]])
     table = spark.createDataFrame([(p, int(o)) for (p, _), o in zip(sums, offsets[:-1], strict=True)], "part int, offset long")
-    shard = F.expr(f"(before + offset) div {int(target)}").alias("shard")
+    target = max(int(target), -(-int(offsets[-1]) // most))
+    shard = F.expr(f"(before + offset) div {target}").alias("shard")
     first = summed.join(F.broadcast(table), "part").groupBy(shard).agg(F.min(F.struct("k", "cut")).alias("place"))
     return sorted((r["place"]["k"], r["place"]["cut"]) for r in first.collect())[1:]
 

@@ -399,6 +399,14 @@ def test_shard_starts_of_dense_clusters(spark):
     assert counts.tolist() == [100] * 40
 
 
+def test_shards_are_at_most_a_given_number(spark):
+    """Where the wanted size would give more, shards grow; the starts still follow the running sums, in any partitioning."""
+    keys = spark.range(1000).select(F.col("id").alias("k"))
+    starts = [warc.shard_starts(keys.repartition(n), "k", F.lit(0), F.lit(1), 10, most=8) for n in (1, 5)]
+    assert starts[0] == starts[1] == [(k, 0) for k in range(125, 1000, 125)]
+    assert len(warc.shard_starts(keys, "k", F.lit(0), F.lit(1), 10, most=100)) == 99
+
+
 # -- pipeline -----------------------------------------------------------------------------------------
 
 
