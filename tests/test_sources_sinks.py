@@ -232,3 +232,58 @@ def test_small_tables(spark):
     assert [str(r[0]) for r in tables.dates_from(spark, "2024-01-30", 3).collect()] == ["2024-01-30", "2024-01-31", "2024-02-01"]
     a, b = (tables.random_normal(spark.range(5), ["a"], 3).collect() for _ in range(2))
     assert a == b
+
+
+def test_sheets_of_a_book_are_read_in_runs(tmp_path, monkeypatch):
+    import pandas as pd
+
+    path = book(tmp_path / "w.xlsx", [(f"s{i}", [(1, [str(i)]), (2, ["x & y", None, "<z>"])]) for i in range(30)])
+    listed = lambda: list(workbook._list_sheets(iter([pd.DataFrame({"path": [path]})])))[0]
+    assert listed()["run"].tolist() == [0] * 30
+    opened = []
+    monkeypatch.setattr(workbook, "open_file", lambda p, of=workbook.open_file: opened.append(p) or of(p))
+    units = pa.RecordBatch.from_pandas(listed(), preserve_index=False)
+    opened.clear()
+    rows = [r for b in workbook._read_sheets(iter([units])) for r in b.to_pylist()]
+    assert len(opened) == 1 and len(rows) == 60
+    assert rows[58]["values"] == ["29"] and rows[59]["values"] == ["x & y", None, "<z>"] and rows[59]["row"] == 2
+    monkeypatch.setattr(workbook, "RUN_BYTES", 1)
+    assert listed()["run"].tolist() == list(range(30))
+
+
+def test_rows_of_a_sheet_in_small_chunks(monkeypatch):
+    import io
+    from xml.etree import ElementTree
+
+    monkeypatch.setattr(workbook, "_CHUNK", 7)
+    rows = "".join(f'<row r="{i}"><c><v>{i}</v></c></row>' for i in range(1, 9))
+    whole = f'<w xmlns="m"><cols/><sheetData>{rows}</sheetData><from><row>2</row></from></w>'
+    numbers = lambda text: [e.get("r") for e in workbook._row_elements(io.BytesIO(text.encode()))]
+    assert numbers(whole) == [str(i) for i in range(1, 9)]
+    assert numbers('<w><sheetData/></w>') == [] and numbers("<w/>") == []
+    # Up to a fault all complete rows are given.
+    for size in (7, 10_000):
+        monkeypatch.setattr(workbook, "_CHUNK", size)
+        for text, n in ((whole[:whole.index('<row r="5"')] + "<", 4), (whole.replace('<v>5', '<v<'), 4), (whole[:-3] + "x>", 8)):
+            got = []
+            with pytest.raises(ElementTree.ParseError):
+                for e in workbook._row_elements(io.BytesIO(text.encode())):
+                    got.append(e.get("r"))
+            assert got == [str(i) for i in range(1, n + 1)]
+
+
+def test_rows_as_texts():
+    from pitsignal.sinks.workbook import row_texts, sheet_texts
+
+    values = pa.array([["a", None, "3.50"], [], None, ["007", "0", "0.5", ".", "1.", "²", "1.2.3", "é&<>\""]], pa.list_(pa.string()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["s", "s", "t", "t"]), pa.array([1, 2, 5, 6], pa.int32()), values], ["sheet", "row", "values"])
+    data, at = row_texts(batch.column(1), batch.column(2))
+    texts = [bytes(data[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)]
+    inline = '<c r="{}" t="inlineStr"><is><t xml:space="preserve">{}</t></is></c>'
+    assert texts[0] == f'<row r="1">{inline.format("A1", "a")}<c r="C1"><v>3.50</v></c></row>' and texts[1:3] == ['<row r="2"></row>', '<row r="5"></row>']
+    shown = ["007", "0", "0.5", ".", "1.", "²", "1.2.3", 'é&amp;&lt;&gt;"']
+    cells = [f'<c r="{c}6"><v>{t}</v></c>' if t in ("0", "0.5", "1.") else inline.format(f"{c}6", t) for c, t in zip("ABCDEFGH", shown, strict=True)]
+    assert texts[3] == f'<row r="6">{"".join(cells)}</row>'
+    # A sheet may go on in the next batch.
+    split = [batch.slice(0, 1), batch.slice(1)]
+    assert [(name, b"".join(parts).decode()) for name, parts in sheet_texts(split)] == [("s", "".join(texts[:2])), ("t", "".join(texts[2:]))]
