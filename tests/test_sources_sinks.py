@@ -287,3 +287,21 @@ def test_rows_as_texts():
     # A sheet may go on in the next batch.
     split = [batch.slice(0, 1), batch.slice(1)]
     assert [(name, b"".join(parts).decode()) for name, parts in sheet_texts(split)] == [("s", "".join(texts[:2])), ("t", "".join(texts[2:]))]
+
+
+def test_number_of_line_files_follows_bytes(spark, tmp_path):
+    from pitsignal.sinks.workbook import write_lines
+
+    stem = F.when(F.col("id") % 2 == 0, "T-1").otherwise("T-2")
+    lines = spark.range(0, 35_000, 1, 1).select(
+        stem.alias("stem"), F.lit("csv").alias("extension"), F.lit("head").alias("header"), F.col("id").cast("string").alias("line"))
+    for folder, held, n in (("one", 32 << 20, 2), ("more", 1, 8)):
+        assert write_lines(lines, f"{tmp_path}/{folder}", held) == 35_000
+        found = sorted(os.listdir(tmp_path / folder))
+        assert len(found) == n
+        read = {t: [] for t in ("T-1", "T-2")}
+        for name in found:
+            head, *rest = (tmp_path / folder / name).read_text().removesuffix("\n").split("\n")
+            assert head == "head"
+            read[name[:3]] += map(int, rest)
+        assert read == {"T-1": list(range(0, 35_000, 2)), "T-2": list(range(1, 35_000, 2))}
