@@ -348,3 +348,34 @@ def test_line_classes_against_brute_force(spark, data):
         first.setdefault(find(number[lines[place]]), place)
     got = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in line_dedup.line_classes(docs).collect()}
     assert got == {p: first[find(number[s])] for p, s in lines.items()}
+
+
+def test_lines_are_those_of_a_split():
+    import re
+
+    import numpy as np
+
+    from pitsignal.llm.line_dedup import line_spans
+
+    texts = ["", "a", "\n", "a\n", "\n\nb c\n \t\n\x0b\nd", "", "\né\n日本\n", "x\r\ny", " \n ", "\n"]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    got = [(int(r), int(n), bytes(data[a:b]).decode()) for a, b, r, n in zip(*line_spans(data, offsets), strict=True)]
+    assert got == [(r, n, line) for r, t in enumerate(texts) for n, line in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", line)]
+
+
+def test_star_edges_over_several_batches(spark):
+    import re
+
+    from pitsignal.llm.linking import components, star_edges
+
+    # One signature with more nodes than a batch has rows, in no order; one of a pair; one of a single, repeated node.
+    wide = [(5, n * 7919 % 25_000) for n in range(25_000)]
+    rows = spark.createDataFrame([*wide, (6, 30_001), (6, 30_000), (7, 40_000), (7, 40_000)], "sig long, node long")
+    edges = star_edges(rows)
+    assert edges.count() == edges.distinct().count() and edges.filter("a >= b").isEmpty()
+    got = {r.node: r.comp for r in components(edges).collect()}
+    assert got == {n: 0 for n in range(25_000)} | {30_000: 30_000, 30_001: 30_000}
+    # One key, so that the sort is by radix.
+    assert re.search(r"Sort \[sig#\d+L ASC NULLS FIRST\], false", edges._jdf.queryExecution().executedPlan().toString())
