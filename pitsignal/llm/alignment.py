@@ -1,7 +1,7 @@
 """Alignment of the tokens of two tokenizers by the bytes they stand for.
 
 Side A is a byte-level BPE file, which gets the text with a blank before it; side B is a piece model, which adds that blank itself. Each token covers a
-range of bytes of that text. Per batch, ``pandas.merge_asof``, keyed by document, finds for the start of each token the token of the other side
+range of bytes of that text. Per batch, with its texts laid end to end, ``pandas.merge_asof`` finds for the start of each token the token of the other side
 that covers it; both directions together give all overlapping pairs, since of two overlapping ranges one starts inside the other. Pairs
 whose ends are equal close a group: the tokens up to there, back to the group before, stand for the same bytes. They are the links.
 
@@ -16,9 +16,12 @@ plain text. Columns other than id and text are not looked at. Texts are encoded
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -86,36 +89,60 @@ class PieceSide(Side):
 
 
 def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
-    """The two tokenizers; each task makes its own."""
+    """The two tokenizers."""
     return ByteLevelSide(path_a), PieceSide(path_b)
 
 
-def token_table(found: list[np.ndarray], side: Side) -> pd.DataFrame:
-    """``row``, ``id``, ``start`` and ``end`` of all tokens, by row and start."""
-    counts = np.array([len(ids) for ids in found], dtype=np.int64)
-    ids = np.concatenate([np.zeros(0, np.int64), *found])
+@lru_cache(maxsize=2)
+def _opened(path_a: str, path_b: str, state: tuple[int, ...]) -> tuple[Side, Side, np.ndarray]:
+    a, b = sides(path_a, path_b)
+    return a, b, shown_ids(a, b)
+
+
+def opened(path_a: str, path_b: str) -> tuple[Side, Side, np.ndarray]:
+    """The tokenizers and their ids as text in this process: a Python worker serves many tasks. Files that have changed are read anew."""
+    stats = [os.stat(path) for path in (path_a, path_b)]
+    return _opened(path_a, path_b, tuple(n for s in stats for n in (s.st_mtime_ns, s.st_size)))
+
+
+def token_table(ids: np.ndarray, counts: np.ndarray, side: Side) -> pd.DataFrame:
+    """``row``, ``id``, ``start`` and ``end`` of all tokens, by row and start, from the ids of all rows and how many each has."""
     ends = np.cumsum(side.sizes[ids])
     firsts = np.concatenate([[0], ends])[np.cumsum(counts) - counts]
-    row = np.repeat(np.arange(len(found)), counts)
+    row = np.repeat(np.arange(len(counts)), counts)
     ends = ends - firsts[row]
-    return pd.DataFrame({"row": row, "id": ids, "start": ends - side.sizes[ids], "end": ends})
+    return pd.DataFrame({"row": row, "id": ids, "start": ends - side.sizes[ids], "end": ends}, copy=False)
+
+
+def given_back(ids: np.ndarray, counts: np.ndarray, side: Side, whole: list[bytes]) -> np.ndarray:
+    """Whether the tokens of each row are its bytes."""
+    sizes = np.concatenate([[0], np.cumsum(side.sizes[ids])])[np.concatenate([[0], np.cumsum(counts)])]
+    data = side.joined(ids).tobytes()
+    if data == b"".join(whole) and (np.diff(sizes) == [len(w) for w in whole]).all():
+        return np.ones(len(whole), dtype=bool)
+    return np.array([data[i:j] == w for i, j, w in zip(sizes[:-1].tolist(), sizes[1:].tolist(), whole, strict=True)], dtype=bool)
 
 
-def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    """Numbers of all overlapping tokens ``a`` and ``b`` of equal rows, with their ends, in no order."""
-    def by_start(tokens: pd.DataFrame, side: str) -> pd.DataFrame:
-        order = np.argsort(tokens["start"].to_numpy(), kind="stable")
-        columns = {"row": tokens["row"], "start": tokens["start"], f"end_{side}": tokens["end"]}
-        return pd.DataFrame({name: c.to_numpy()[order] for name, c in columns.items()} | {side: order}, copy=False)
+def overlaps(a: pd.DataFrame, b: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+    """Numbers of all overlapping tokens ``a`` and ``b`` of equal rows, with their ends, in no order.
 
-    left, right = by_start(a, "a"), by_start(b, "b")
-    covering_b = pd.merge_asof(left, right, on="start", by="row")
+    ``first`` is where the bytes of each row begin when the rows are laid end to end: a place there stands for row and start, and
+    the tokens are in order. The tokens of a row cover its bytes on both sides or there are none, so none reaches into another row.
+    """
+
+    def laid(tokens: pd.DataFrame, side: str) -> pd.DataFrame:
+        by = first[tokens["row"].to_numpy()]
+        columns = {"start": tokens["start"].to_numpy() + by, f"end_{side}": tokens["end"].to_numpy() + by, side: np.arange(len(tokens))}
+        return pd.DataFrame(columns, copy=False)
+
+    left, right = laid(a, "a"), laid(b, "b")
+    covering_b = pd.merge_asof(left, right, on="start")
     # Equal starts are found by the first direction; a token that ends where the other starts does not cover it.
-    covering_a = pd.merge_asof(right, left, on="start", by="row", allow_exact_matches=False)
-    covering_a = covering_a[covering_a["end_a"] > covering_a["start"]]
+    covering_a = pd.merge_asof(right[right["start"] > left["start"].min()], left, on="start", allow_exact_matches=False)
+    covering_a = covering_a[(covering_a["end_a"] > covering_a["start"]).to_numpy()]
     columns = ["a", "b", "end_a", "end_b"]
-    both = pd.concat([covering_b.loc[covering_b["b"].notna(), columns], covering_a[columns]])
-    return both.astype(np.int64)
+    parts = [np.concatenate([found[c].to_numpy(np.int64) for found in (covering_b, covering_a)]) for c in columns]
+    return pd.DataFrame(dict(zip(columns, parts, strict=True)), copy=False)
 
 
 def shown_ids(*sides: Side) -> np.ndarray:
@@ -131,11 +158,13 @@ def written_groups(
 
     ``link_a`` and ``link_b`` are the numbers of the tokens that close the groups, in order; ``shown`` is made by ``shown_ids``.
     """
-    group_a = np.searchsorted(link_a, np.arange(len(a)))
-    group_b = np.searchsorted(link_b, np.arange(len(b)))
+    closed_a, closed_b = (np.bincount(links, minlength=len(side)) for links, side in ((link_a, a), (link_b, b)))
+    group_a, group_b = np.cumsum(closed_a) - closed_a, np.cumsum(closed_b) - closed_b
+    groups = max(len(link_a), len(link_b)) + 1
+    ends_a, ends_b = (np.cumsum(np.bincount(group, minlength=groups)) for group in (group_a, group_b))
     # A token of A comes after the tokens of B of earlier groups, one of B after those of A of its own group, too.
-    place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a)
-    place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, side="right")
+    place_a = np.arange(len(a)) + np.concatenate([[0], ends_b])[group_a]
+    place_b = np.arange(len(b)) + ends_a[group_b]
     ids = np.empty(len(a) + len(b), dtype=np.int64)
     ids[place_a], ids[place_b] = a["id"], b["id"]
     mark = np.zeros(len(ids), dtype=np.int64)
@@ -157,16 +186,19 @@ def closing(pairs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def aligned(texts: list[str], a: Side, b: Side, shown: np.ndarray) -> tuple[pd.DataFrame, pd.DataFrame, pd.DataFrame, list[str]]:
     """Tokens of both sides, their overlaps, and the groups of each text."""
-    found = []
     whole = [(" " + text).encode() for text in texts]
+    good = np.array([bool(text) for text in texts], dtype=bool)
+    found = []
     for side in (a, b):
-        ids = side.encode(texts)
-        found.append([np.array(one, dtype=np.int64) for one in ids])
-    for i, text in enumerate(texts):
-        if not text or any(side.joined(one[i]).tobytes() != whole[i] for side, one in zip((a, b), found, strict=True)):
-            found[0][i] = found[1][i] = np.zeros(0, dtype=np.int64)
-    table_a, table_b = token_table(found[0], a), token_table(found[1], b)
-    pairs = overlaps(table_a, table_b)
+        lists = side.encode(texts)
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        found.append((np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts))
+        good &= given_back(*found[-1], side, whole)
+    if not good.all():
+        found = [(ids[np.repeat(good, counts)], np.where(good, counts, 0)) for ids, counts in found]
+    table_a, table_b = token_table(*found[0], a), token_table(*found[1], b)
+    lengths = np.array([len(w) for w in whole], dtype=np.int64)
+    pairs = overlaps(table_a, table_b, np.cumsum(lengths) - lengths)
     return table_a, table_b, pairs, written_groups(table_a, table_b, *closing(pairs), len(texts), shown)
 
 
@@ -187,8 +219,7 @@ def _aligned_rows(
     """Rows of the aligned documents; the links of row i are those from ``at[i]`` to ``at[i + 1]``."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(path_a, path_b)
-        shown = shown_ids(a, b)
+        a, b, shown = opened(path_a, path_b)
         for batch in batches:
             _, offsets = text_bytes(batch.column(1))
             for start, stop in slices(offsets, SLICE):
@@ -250,7 +281,10 @@ def scored(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", te
     known = spark.sparkContext.broadcast(possible)
 
     def as_places(a: np.ndarray, b: np.ndarray, at: np.ndarray) -> pa.Array:
-        place = np.searchsorted(known.value, b << 32 | a).astype(np.int32)
+        codes = b << 32 | a
+        order = np.argsort(codes)
+        place = np.empty(len(codes), dtype=np.int32)
+        place[order] = np.searchsorted(known.value, codes[order])
         return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(place)])
 
     def as_digests(groups: list[str]) -> list[str]:

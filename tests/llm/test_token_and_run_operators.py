@@ -254,3 +254,28 @@ def test_queries_give_a_row_per_document(spark, data):
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     for name in ("op11_alignment", "op12_byte_pairs", "op13_periodic_runs"):
         assert QUERIES[name](spark, data).count() == n
+
+
+def test_tokenizers_are_shared_and_rows_laid_end_to_end():
+    assert all(x is y for x, y in zip(alignment.opened(A, B), alignment.opened(A, B), strict=True))
+    a, b, shown = alignment.opened(A, B)
+    texts = ["one two", "", "▁no", "日本 3.14", "x", "▁", "unbelievably long"]
+    whole = [(" " + t).encode() for t in texts]
+    lists = b.encode(texts)
+    counts = np.array([len(one) for one in lists])
+    assert alignment.given_back(np.array(sum(lists, [])), counts, b, whole).tolist() == [True, False, False, True, True, False, True]
+    together = alignment.aligned(texts, a, b, shown)
+    alone = [alignment.aligned([t], a, b, shown) for t in texts]
+    assert together[3] == [one[3][0] for one in alone] and together[3][1] == together[3][2] == together[3][5] == ""
+    assert len(together[2]) == sum(len(one[2]) for one in alone)
+    assert together[0]["row"].unique().tolist() == [0, 3, 4, 6]
+
+
+def test_contracted_pieces_keep_their_order():
+    coder = byte_pairs.BytePairs(RANKS, pattern())
+    pieces = [p for p in (b"zzqxzz", b"qqz", b"unbelievablyq", b"zqz", b"\xff\xfe\xfd") if p not in coder.ranks]
+    ids, at = coder._contract(pieces)
+    assert [b"".join(coder.decode(ids[a:b], np.array([0, b - a]))) for a, b in zip(at[:-1], at[1:], strict=True)] == pieces
+    assert [x.tolist() for x in coder._contract([])] == [[], [0]]
+    encoding = [coder.encode([p.decode("latin-1")]) for p in (b"zqz", b"qqz")]
+    assert encoding == [coder.encode([t]) for t in ("zqz", "qqz")]
