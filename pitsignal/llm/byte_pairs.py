@@ -134,7 +134,7 @@ class BytePairs:
         if len(self.words) > KEPT:
             self._forget()
         split = [self.split(text) for text in texts]
-        self._learn(sorted(set().union(*split) - self.words.keys()))
+        self._learn(set().union(*split) - self.words.keys())
         counts = np.array([len(words) for words in split], dtype=np.int64)
         number = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         begin = self.bounds[number]
@@ -142,45 +142,53 @@ class BytePairs:
         ids = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], np.diff(ends))]
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
-    def _learn(self, words: list[str]) -> None:
-        found: dict[str, tuple[int, ...]] = {}
-        short, long = [], []
+    def _learn(self, words: Iterable[str]) -> None:
+        listed, ranks, short, long = [], [], [], []
+        pieces = []
         for word in words:
             piece = word.encode()
-            if piece in self.ranks:
-                found[word] = (self.ranks[piece],)
+            rank = self.ranks.get(piece)
+            if rank is not None:
+                listed.append(word)
+                ranks.append(rank)
             elif len(piece) <= WINDOW:
-                short.append((word, piece))
+                short.append(word)
+                pieces.append(piece)
             else:
                 long.append((word, piece))
-        found.update(zip((w for w, _ in short), self._contract([p for _, p in short]), strict=True))
+        contracted, at = self._contract(pieces)
+        joined: list[tuple[int, ...]] = []
         if long:
             if len(self.pieces) > KEPT:
                 self.pieces.clear()
             half = WINDOW // 2
             self._windows(p[at : at + WINDOW] for _, p in long for at in range(0, len(p), half))
-            for word, piece in long:
-                found[word] = self._joined(piece)
-        sizes = np.array([len(ids) for ids in found.values()], dtype=np.int64)
+            joined = [self._joined(piece) for _, piece in long]
+        found = [*listed, *short, *(word for word, _ in long)]
+        lengths = np.fromiter(map(len, joined), np.int64, len(joined))
+        sizes = np.concatenate([np.ones(len(listed), np.int64), np.diff(at), lengths])
         self.words.update(zip(found, range(len(self.words), len(self.words) + len(found)), strict=True))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
-        more = np.fromiter(chain.from_iterable(found.values()), np.int32, int(sizes.sum()))
-        self.ids = np.concatenate([self.ids, more])
+        rest = np.fromiter(chain.from_iterable(joined), np.int32, int(lengths.sum()))
+        self.ids = np.concatenate([self.ids, np.array(ranks, dtype=np.int32), contracted, rest])
 
-    def _contract(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
-        """The ids of each of the distinct pieces, in their order, by contraction alone.
+    def _contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the distinct pieces by contraction alone, end to end, and the pieces' offsets.
 
         Pieces of like size share a query, so that few of its steps are about few words.
         """
-        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
-        found: list[tuple[int, ...]] = [()] * len(pieces)
-        for i, ids in zip(order, self._in_steps([pieces[i] for i in order]), strict=True):
-            found[i] = ids
-        return iter(found)
-
-    def _in_steps(self, pieces: list[bytes]) -> Iterator[tuple[int, ...]]:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(sizes, kind="stable")
+        found = [(np.zeros(0, np.int32), np.zeros(0, np.int64)), *self._in_steps([pieces[i] for i in order.tolist()], sizes[order])]
+        flat, counts = (np.concatenate(c) for c in zip(*found, strict=True))
+        begin, own = np.empty_like(counts), np.empty_like(counts)
+        begin[order], own[order] = np.cumsum(counts) - counts, counts
+        ends = np.concatenate([[0], np.cumsum(own)])
+        return flat[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], own)], ends
+
+    def _in_steps(self, pieces: list[bytes], sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of runs of pieces, end to end, and how many each piece has."""
         self._table("merges")
-        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < len(pieces):
@@ -196,14 +204,15 @@ class BytePairs:
             self.con.register("letters", letters)
             found = self.con.sql(ENCODE).to_arrow_table()["ids"].combine_chunks()
             self.con.unregister("letters")
-            ids, at = found.values.to_pylist(), found.offsets.to_pylist()
-            yield from (tuple(ids[a:b]) for a, b in zip(at[:-1], at[1:], strict=True))
+            yield found.flatten().to_numpy(), np.diff(found.offsets.to_numpy()).astype(np.int64)
             start = stop
 
     def _windows(self, pieces: Iterable[bytes]) -> None:
         """Encode pieces of long matches that are not known yet."""
         new = sorted({p for p in pieces if p not in self.pieces})
-        self.pieces.update(zip(new, self._contract(new), strict=True))
+        ids, at = self._contract(new)
+        flat, bounds = ids.tolist(), at.tolist()
+        self.pieces.update((p, tuple(flat[a:b])) for p, a, b in zip(new, bounds[:-1], bounds[1:], strict=True))
 
     def _joined(self, piece: bytes) -> tuple[int, ...]:
         """The ids of a long match, from windows that overlap by half."""
