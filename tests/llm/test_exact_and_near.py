@@ -379,3 +379,41 @@ def test_star_edges_over_several_batches(spark):
     assert got == {n: 0 for n in range(25_000)} | {30_000: 30_000, 30_001: 30_000}
     # One key, so that the sort is by radix.
     assert re.search(r"Sort \[sig#\d+L ASC NULLS FIRST\], false", edges._jdf.queryExecution().executedPlan().toString())
+
+
+def test_signatures_travel_in_shares_and_far_pairs_are_not_tied(spark):
+    from pitsignal.llm import linking
+    from pitsignal.llm.line_dedup import _signature_rows
+
+    texts = ["\n".join(f"line {i} of text {k} tells {i * k % 97} things" for i in range(200)) for k in range(8)]
+    packed = _signature_rows(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1))
+    # 1,600 lines have 25,600 signatures, in at most a row for each share and kind.
+    assert packed.count() <= 3 * linking.shares(spark)
+
+    def ties(rows):
+        arrays = tuple(np.array(c, t) for c, t in zip(zip(*rows), (np.int64, np.int64, np.uint64)))
+        held = pa.Table.from_batches(linking.dealt_signatures([arrays], linking.shares(spark)))
+        return {(r.a, r.b) for r in linking.star_edges(spark.createDataFrame(held.to_pandas(), linking.DEALT)).collect()}
+
+    far = (1 << 64) - 1
+    half = (1 << 16) - 1
+    assert ties([(9, 1, 0), (9, 2, far)]) == set()
+    # 1 and 2 are far apart, 3 is close to both.
+    assert ties([(9, 1, 0), (9, 2, half << 8 | 0xFF), (9, 3, half), (9, 1, 0)]) == {(1, 3), (2, 3)}
+    # Of many nodes all are tied to the smallest, whatever their sketches.
+    many = [(7, n, far * (n % 2)) for n in range(20)]
+    assert ties(many) == {(0, n) for n in range(1, 20)}
+
+
+def test_window_hashes_equal_those_of_single_spans():
+    from pitsignal.llm.common import SpanHasher, byte_windows
+
+    data = np.random.default_rng(3).integers(0, 256, 30_000).astype(np.uint8)
+    cuts = np.sort(np.random.default_rng(4).choice(30_000, 900, replace=False))
+    start, stop = np.concatenate([[0], cuts]), np.concatenate([cuts, [30_000]])
+    hasher = SpanHasher(data)
+    for some in (slice(None), slice(5, 40), slice(899, None), slice(0, 0)):
+        values, at = byte_windows(hasher, start[some], stop[some], 7)
+        spans = [(i, min(i + 7, b)) for a, b in zip(start[some], stop[some]) for i in range(a, max(a + 1, b - 6))]
+        assert len(values) == len(spans) == at[-1]
+        assert values.tolist() == [int(hasher(np.array([a]), np.array([b]))[0]) for a, b in spans]
