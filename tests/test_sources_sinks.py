@@ -305,3 +305,85 @@ def test_number_of_line_files_follows_bytes(spark, tmp_path):
             assert head == "head"
             read[name[:3]] += map(int, rest)
         assert read == {"T-1": list(range(0, 35_000, 2)), "T-2": list(range(1, 35_000, 2))}
+
+
+def opened_sheet(path, sheet):
+    """A workbook of one sheet with shared texts and a date style, open."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>uno</t></si><si><r><t>d</t></r><r><t>os</t></r></si><si><t></t></si></sst>")
+        z.writestr("xl/styles.xml", f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("s.xml", sheet)
+    return workbook.OpenBook().at(str(path))
+
+
+def both_ways(opened):
+    """Rows, and the fault if there is one, by the parser and by arrays."""
+    found = []
+    for rows in (lambda: workbook.sheet_rows(opened, "s.xml"), lambda: (
+        (int(n), v) for numbers, values in workbook.sheet_arrays(opened, "s.xml") for n, v in zip(numbers, values.to_pylist(), strict=True)
+    )):
+        got, fault = [], None
+        try:
+            got.extend(rows())
+        except Exception as e:
+            fault = f"{type(e).__name__}: {e}"
+        found.append((got, fault))
+    return found
+
+
+CELLS = [
+    '<c r="A{r}"><v>17</v></c><c r="B{r}"><v>3.50</v></c>', '<c r="B{r}" t="s"><v>0</v></c><c r="AC{r}" s="1" t="s"><v>1</v></c><c r="AD{r}" t="s"><v>2</v></c>',
+    '<c r="C{r}"/><c r="D{r}" s="0"/><c r="E{r}"></c>', '<c r="B{r}"><v>9</v></c><c r="A{r}"><v>8</v></c><c r="D{r}"><v>7</v></c>',
+    '<c r="A{r}" t="inlineStr"><is><t xml:space="preserve"> x &amp;&lt;y&gt; &quot;ñ日&apos; </t></is></c>', '<c t="inlineStr" r="A{r}"><is><t>z</t></is></c>',
+    '<c r="A{r}" s="1"><v>45000.5</v></c><c r="B{r}" t="b"><v>1</v></c><c r="C{r}" t="b"><v>0</v></c><c r="D{r}" t="e"><v>#N/A</v></c>', "",
+    '<c r="A{r}" t="str"><f>B1&amp;"q"</f><v>q</v></c>', '<c r="A{r}" t="inlineStr"><is><r><t>a</t></r><r><t>b</t></r></is></c>',
+    '<c r="A{r}"><v></v></c><c r="ZZ{r}"><v>1</v></c><c r="AAA{r}" t="inlineStr"><is><t></t></is></c>', '<c r="A{r}" t="str"><v>&#65;</v></c>', '<c><v>5</v></c>',
+    '<c r="A{r}" t="str"><v>a\r\nb</v></c>', '<c r="A{r}" t="inlineStr"><is><t>one\n&amp;amp;\ttwo</t></is></c>', '<c r="a{r}"><v>6</v></c>',
+]
+HEAD = '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="m"><dimension ref="A1"/><sheetData>'
+TAIL = '</sheetData><pageMargins left="0.7"/></worksheet>'
+
+
+@pytest.mark.parametrize("chunk", [50, 1 << 18])
+def test_sheets_read_as_arrays_equal_the_parser(tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(workbook, "_CHUNK", chunk)
+    rows = [f'<row r="{r}"{" spans=" + chr(34) + "1:9" + chr(34) if r % 2 else ""}>{c.format(r=r)}</row>' for r, c in enumerate(CELLS, 3)]
+    for k, body in enumerate([*rows, "".join(rows[:8]), "".join(rows), "", '<row r="4"/>', f"<row>{CELLS[0]}</row>", " " + rows[0]]):
+        by_parser, by_arrays = both_ways(opened_sheet(tmp_path / f"{k}.xlsx", HEAD + body + TAIL))
+        assert by_arrays == by_parser and by_parser[1] is None
+    # Faults are found at the same row, with the same report.
+    for k, text in enumerate([
+        HEAD + rows[0] + rows[1], HEAD + rows[0] + "</sheetData>", HEAD + rows[0] + rows[1].replace("</c>", "</d>") + TAIL, HEAD + rows[0] + "\x01" + TAIL,
+        HEAD + rows[0] + rows[1].replace("<v>1<", "<v>9<") + TAIL, HEAD + rows[0] + rows[4].replace("&amp;", "&no;") + TAIL, HEAD + rows[0] + "x]]>" + TAIL,
+        HEAD + rows[0] + rows[0].replace('r="A3"', 'r="A3" r="B3"') + TAIL, HEAD.replace("<dimension", "<dim ension") + rows[0] + TAIL, "", "<worksheet><sheetData>",
+        HEAD + '<row r="3"><c r="A3><v>1</v></c></row>' + TAIL, HEAD + '<row r="3"><c r="A3><v>"1"</v></c></row>' + TAIL, HEAD + '<row r="3><c r="A3"><v>1</v></c></row>' + TAIL,
+    ]):
+        by_parser, by_arrays = both_ways(opened_sheet(tmp_path / f"f{k}.xlsx", text))
+        assert by_arrays == by_parser, text
+
+
+def test_plain_sheets_do_without_the_parser(tmp_path, monkeypatch):
+    path = book(tmp_path / "w.xlsx", [("s", [(r, [str(r), None, "x & <y>", "2.5"]) for r in range(1, 500)])])
+    opened = workbook.OpenBook().at(str(path))
+    part = workbook.sheet_parts(opened.book)[0][1]
+    monkeypatch.setattr(workbook, "sheet_rows", lambda *_: pytest.fail("read by the parser"))
+    got = [(int(n), v) for numbers, values in workbook.sheet_arrays(opened, part) for n, v in zip(numbers, values.to_pylist(), strict=True)]
+    assert got == [(r, [str(r), None, "x & <y>", "2.5"]) for r in range(1, 500)]
+
+
+def test_pairs_of_ragged_sheets(spark):
+    from pitsignal.plans.fuel import stack_value_pairs
+
+    sheets = {("f", 0): [["a"], ["b", None, None], ["c", "d", "e", "f", "g"], [], None, [None, "h", "i"]], ("f", 1): [["a", "b", "c"], ["d", "e", None]], ("g", 0): [["a"], ["b", "c"]]}
+    rows = [(f, n, "s", i, v) for (f, n), vs in sheets.items() for i, v in enumerate(vs)]
+    got = stack_value_pairs(spark.createDataFrame(rows, "file string, sheet_no int, sheet string, row int, values array<string>"))
+    want = set()
+    for f, n, s, i, v in rows:
+        width = max(len(x or []) for x in sheets[f, n])
+        for p in range(width // 2):
+            first, second = ([*(v or []), *[None] * width][2 * p : 2 * p + 2])
+            if first is not None or second is not None:
+                want.add((f, n, s, i, p, first, second))
+    assert got.columns == ["file", "sheet_no", "sheet", "row", "pair", "first", "second"]
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
